@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from pulseloom.functions.once import bind
+
 # Frequent function words per language.
 FUNCTION_WORDS = {
     "en": "the and of to in is that it for was on are as with they at be this have from or by but not what all were when we there can an your which their if will each about how up out them then she many some so these would other into has more her like him see time could no make than been its who now my did may very after just where most",
@@ -24,16 +26,20 @@ FUNCTION_WORDS = {
 }
 
 
+def _listed(words: str | list[str]) -> str:
+    words = words.split() if isinstance(words, str) else words
+    return "(" + ", ".join('"' + w + '"' for w in words) + ")"
+
+
 def tokens(text: Column) -> Column:
     return F.split(F.lower(text), r"[^\p{L}']+")
 
 
 def detect_language(text: Column, languages: dict[str, str] = FUNCTION_WORDS) -> Column:
-    parts = tokens(text)
-    scored = []
-    for rank, (code, listed) in enumerate(languages.items()):
-        vocabulary = listed.split()
-        hits = F.size(F.filter(parts, lambda t: t.isin(vocabulary)))
-        scored.append(F.struct(hits.alias("hits"), F.lit(-rank).alias("rank"), F.lit(code).alias("code")))
-    best = F.array_max(F.array(*scored))
-    return F.when(best["hits"] > 0, best["code"])
+    """Language code, or null. Written as SQL text: the word lists would be a thousand single literals otherwise."""
+    known = _listed(sorted({w for listed in languages.values() for w in listed.split()}))
+    scored = ", ".join(f"struct(size(filter(found, w -> w in {_listed(listed)})) as hits, {-rank} as rank, '{code}' as code)"
+                       for rank, (code, listed) in enumerate(languages.items()))
+    found = F.call_function("filter", tokens(text), F.expr(f"w -> w in {known}"))
+    best = F.call_function("transform", F.array(found), F.expr(f"found -> array_max(array({scored}))"))
+    return bind(best[0], lambda b: F.when(b["hits"] > 0, b["code"]))

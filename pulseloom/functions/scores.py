@@ -27,7 +27,7 @@ def engagement_velocity(likes: Column, comments: Column, taken: Column, as_of: C
 
 
 def clamp01(x: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
 
 
 def min_max(x: Column, lowest: Column, highest: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, functions as F
 from pyspark.sql.functions import pandas_udf
 
 from pulseloom import settings
+from pulseloom.functions.once import bind
 
 # Patterns in Java regex dialect.
 TAG = r"<[^>]+>"
@@ -19,8 +20,7 @@ BOILERPLATE = (
 EMOJI = (
     r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{1F1E6}-\x{1F1FF}\x{2190}-\x{21FF}\x{FE0F}]+"
 )
-HASHTAG_CAPITAL = r"(?U)(?<=#\w{1,255})(?=[A-Z])"
-HASHTAG = r"(?U)#(\w+)"
+TAG_WORD = r"(?U)^\w+"
 REPEATED_MARK = r"([!?.]){2,}"
 BLANK = r"(?U)[\s\x1c-\x1f]+"
 
@@ -48,8 +48,16 @@ def strip_emoji(text: Column) -> Column:
 
 
 def spell_hashtags(text: Column) -> Column:
-    """``#AICodingTools`` becomes ``A I Coding Tools``: a blank before every later capital, then the mark goes."""
-    return F.regexp_replace(F.regexp_replace(text, HASHTAG_CAPITAL, " "), HASHTAG, "$1")
+    """``#AICodingTools`` becomes ``A I Coding Tools``; a ``#`` before anything but a word stays."""
+    def spell(part: Column) -> Column:
+        word = F.regexp_extract(part, TAG_WORD, 0)
+        return F.when(word == "", F.concat(F.lit("#"), part)).otherwise(
+            F.concat(F.regexp_replace(word, r"(?!^)(?=[A-Z])", " "), F.substr(part, F.length(word) + 1)))
+
+    def joined(parts: Column) -> Column:
+        return F.concat(parts[0], F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), spell), ""))
+
+    return bind(text, lambda t: F.when(F.contains(t, F.lit("#")), bind(F.split(t, "#"), joined)).otherwise(t))
 
 
 def collapse_marks(text: Column) -> Column:
@@ -73,7 +81,7 @@ def compose(title: Column, body: Column) -> Column:
 
 
 def truncate(text: Column, limit: int, mark: str = "...") -> Column:
-    return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit(mark))).otherwise(text)
+    return bind(text, lambda t: F.when(F.length(t) > limit, F.concat(F.substring(t, 1, limit), F.lit(mark))).otherwise(t))
 
 
 def quote(text: Column, limit: int = 280) -> Column:
@@ -97,16 +105,12 @@ def digits(text: Column) -> Column:
 
 def chunk_words(text: Column, size: int = 180, overlap: int = 30) -> Column:
     """Overlapping word chunks; a short text is its own single chunk, an empty one gives none."""
-    w = words(text)
-    step = size - overlap
-    last = F.greatest(F.size(w) - overlap - 1, F.lit(0))
-    starts = F.sequence(F.lit(0), last, F.lit(step))
-    chunks = F.transform(starts, lambda i: F.array_join(F.slice(w, i + 1, size), " "))
-    return (
-        F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>"))
-        .when(F.size(w) <= size, F.array(text))
-        .otherwise(chunks)
-    )
+    def cut(w: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(w) - overlap - 1, F.lit(0)), F.lit(size - overlap))
+        pieces = F.transform(starts, lambda i: F.array_join(F.slice(w, i + 1, size), " "))
+        return F.when(F.size(w) <= size, F.array(text)).otherwise(pieces)
+
+    return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).otherwise(bind(words(text), cut))
 
 
 def token_estimate(text: Column) -> Column:
