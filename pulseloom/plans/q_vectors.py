@@ -1 +1,194 @@
-"""Queries."""
+"""Queries: vectors, similarity, grouping, diversification, clustering."""
+
+from pyspark.sql import functions as F
+
+from pulseloom.functions import text as tx, vectors as ve
+from pulseloom.operators import clusters as cl, components as co, diversify as dv, embedding as em, grouping as gr, similarity as si
+from pulseloom.plans.registry import FRAGMENTS, query
+
+VEC = dict(keys=["session_id"], id_col="vec_id", vec_col="embedding")
+COS = "list_cosine_similarity(a.embedding::double[], b.embedding::double[])"
+
+
+def queries_and_docs(t):
+    v = t.vectors
+    is_query = F.col("vec_id") % 500 < 5
+    return v.filter(is_query).select("session_id", F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec")), v.filter(~is_query)
+
+
+def query_scores(t):
+    queries, docs = queries_and_docs(t)
+    return si.best_query_similarity(docs, queries, key="session_id", id_col="vec_id", vec_col="embedding").withColumnRenamed("relevance_score", "score")
+
+
+@query("sim_01_cosine", f"select a.vec_id, round({COS}, 6) as sim from embeddings a join embeddings b on b.vec_id = a.vec_id + 1")
+def cosine(t):
+    a = t.embeddings.select("vec_id", ve.as_double(F.col("embedding")).alias("va"))
+    b = t.embeddings.select((F.col("vec_id") - 1).alias("vec_id"), ve.as_double(F.col("embedding")).alias("vb"))
+    return a.join(b, "vec_id").select("vec_id", F.round(ve.cosine(F.col("va"), F.col("vb")), 6).alias("sim"))
+
+
+@query("sim_02_unit", "select vec_id, round(embedding[1]::double / sqrt(list_sum(list_transform(embedding::double[], lambda x: x * x))), 6) as first, round(embedding[64]::double / sqrt(list_sum(list_transform(embedding::double[], lambda x: x * x))), 6) as last from embeddings")
+def unit(t):
+    u = t.embeddings.select("vec_id", ve.unit(ve.as_double(F.col("embedding"))).alias("u"))
+    return u.select("vec_id", F.round(F.col("u")[0], 6).alias("first"), F.round(F.col("u")[63], 6).alias("last"))
+
+
+@query("sim_03_best_query", "select session_id, vec_id, round(score, 6) as score from @query_scores")
+def best_query(t):
+    return query_scores(t).withColumn("score", F.round("score", 6))
+
+
+@query("jon_06_docs_by_queries", "select session_id, vec_id, round(score, 6) as score from @query_scores")
+def docs_by_queries(t):
+    queries, docs = queries_and_docs(t)
+    # no broadcast: documents and queries meet by session
+    met = si.best_query_similarity(docs, queries, key="session_id", id_col="vec_id", vec_col="embedding", broadcast_bytes=0)
+    return met.select("session_id", "vec_id", F.round("relevance_score", 6).alias("score"))
+
+
+def _search_sql(metric: str) -> str:
+    d = {"cosine": f"1 - {COS}", "l2": "pow(list_distance(a.embedding::double[], b.embedding::double[]), 2)",
+         "dot": "1 - list_inner_product(a.embedding::double[], b.embedding::double[])"}[metric]
+    return f"""select query_id, id, rank, round(distance, 6) as distance, round(1 - distance, 6) as similarity from (
+        select *, row_number() over (partition by query_id order by distance, id) as rank from (
+            select b.vec_id as query_id, a.vec_id as id, {d} as distance from embeddings a join embeddings b on b.vec_id % 250 < 2)) where rank <= 5"""
+
+
+def _search(metric):
+    def run(t):
+        q = t.embeddings.filter("vec_id % 250 < 2").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+        found = si.vector_search(t.embeddings, q, 5, metric, id_col="vec_id", vec_col="embedding")
+        return found.select("query_id", "id", "rank", F.round("distance", 6).alias("distance"), F.round("similarity", 6).alias("similarity"))
+    return run
+
+
+for _m in ("cosine", "l2", "dot"):
+    query(f"sim_04_search_{_m}", _search_sql(_m))(_search(_m))
+
+FRAGMENTS["near"] = f"select a.session_id, a.vec_id as id_a, b.vec_id as id_b, {COS} as sim from @vectors a join @vectors b on a.session_id = b.session_id and a.vec_id < b.vec_id"
+
+
+@query("sim_05_similar_pairs", "select session_id, id_a, id_b, round(sim, 6) as sim from @near where sim > 0.3")
+def similar_pairs(t):
+    return si.similar_pairs(t.vectors, 0.3, **VEC).withColumn("sim", F.round("sim", 6))
+
+
+@query("jon_05_theta_join", "select session_id, id_a, id_b, round(sim, 6) as sim from @near where sim >= 0.35")
+def theta_join(t):
+    return si.similar_pairs(t.vectors, 0.35, inclusive=True, **VEC).withColumn("sim", F.round("sim", 6))
+
+
+@query("sim_06_stored_or_embedded", "select doc_id, doc_id % 3 = 0 as stored from documents where doc_id % 2 = 0")
+def stored_or_embedded(t):
+    d = t.documents.filter("doc_id % 2 = 0").select("doc_id", F.concat(F.lit("topic "), F.col("doc_id").cast("string")).alias("text"))
+    store = d.filter("doc_id % 3 = 0").select(tx.topic_id(F.col("text")).alias("id"), F.array_repeat(F.lit(2.0), 16).alias("vector"))
+    return em.stored_or_embedded(d, store, "text", dims=16).select("doc_id", (F.col("vec")[0] == 2.0).alias("stored"))
+
+
+@query("sim_07_topics_to_index", """
+    select min(ord) as ord, sha256(lower(query)) as id from @candidates where sha256(lower(query)) not in (select sha256(lower(query)) from @candidates where ord % 450 < 100) group by lower(query)""")
+def topics_to_index(t):
+    batch = t.candidates.select("ord", F.col("query").alias("text"))
+    store = batch.filter("ord % 450 < 100").select(tx.topic_id(F.col("text")).alias("id")).distinct()
+    return em.topics_to_index(batch, store).select("ord", "id")
+
+
+@query("emb_01_embed", "select doc_id, cast(64 as bigint) as dims, case when regexp_matches(text, '[\\p{L}'']') then 1.0 else 0.0 end::double as length from documents")
+def embed(t):
+    e = em.embed(t.documents, "text", dims=64)
+    return e.select("doc_id", F.size("vec").cast("bigint").alias("dims"), F.round(ve.norm(F.col("vec")), 6).alias("length"))
+
+
+# ---- near duplicates -------------------------------------------------------------------------------------------------
+
+def greedy_sql(threshold: float, priority: str) -> str:
+    """Best-first grouping, one row of a session after the other."""
+    return f"""
+    with recursive nodes as (select session_id, vec_id, row_number() over (partition by session_id order by {priority} desc, vec_id) as rn from @vectors),
+    links as (select session_id, id_a, id_b from @near where sim > {threshold} union all select session_id, id_b, id_a from @near where sim > {threshold}),
+    near_lists as (select n.session_id, n.vec_id, n.rn, coalesce(list(m.rn) filter (where m.rn is not null), []) as nb
+        from nodes n left join links l on l.session_id = n.session_id and l.id_a = n.vec_id
+        left join nodes m on m.session_id = l.session_id and m.vec_id = l.id_b group by all),
+    walk as (select session_id, 0::bigint as rn, []::bigint[] as kept from (select distinct session_id from nodes)
+        union all select w.session_id, w.rn + 1, case when list_has_any(n.nb, w.kept) then w.kept else list_append(w.kept, n.rn) end
+        from walk w join near_lists n on n.session_id = w.session_id and n.rn = w.rn + 1),
+    done as (select session_id, kept from (select *, row_number() over (partition by session_id order by rn desc) as z from walk) where z = 1)
+    select n.session_id, n.vec_id, m.vec_id as leader_id from near_lists n join done d on d.session_id = n.session_id
+    join nodes m on m.session_id = n.session_id and m.rn = case when list_contains(d.kept, n.rn) then n.rn else list_min(list_intersect(n.nb, d.kept)) end"""
+
+
+FRAGMENTS["greedy"] = greedy_sql(0.3, "vec_id % 37")
+
+
+def groups(t):
+    return gr.near_duplicates(t.vectors.withColumn("p", F.col("vec_id") % 37), 0.3, priority_col="p", ordinal_col="vec_id", **VEC)
+
+
+@query("dup_01_near_duplicates", "select * from @greedy")
+def near_duplicates(t):
+    return groups(t)
+
+
+@query("dup_02_children", "select session_id, leader_id, vec_id as child_id from @greedy where vec_id <> leader_id")
+def children(t):
+    return gr.children(groups(t), keys=["session_id"], id_col="vec_id")
+
+
+@query("dup_02_representatives", "select session_id, leader_id as vec_id, count(*) - 1 as duplicate_count from @greedy group by session_id, leader_id")
+def representatives(t):
+    return gr.representatives(t.vectors, groups(t), keys=["session_id"], id_col="vec_id").select("session_id", "vec_id", "duplicate_count")
+
+
+@query("dup_03_minhash_pairs")
+def minhash_pairs(t):
+    from pulseloom.functions.language import tokens
+    docs = t.documents.select("doc_id", F.filter(tokens(F.col("text")), lambda w: w != "").alias("toks"))
+    return gr.shingle_pairs(docs, 0.7, id_col="doc_id", tokens_col="toks").select("id_a", "id_b", F.round("jaccard", 6).alias("jaccard"))
+
+
+@query("dup_04_diversify", f"""
+    with recursive ext as (select session_id, min(vec_id % 97) as lo, max(vec_id % 97) as hi from @vectors group by session_id),
+    v as (select session_id, vec_id, embedding, ((vec_id % 97) - lo)::double / (hi - lo) as rel from @vectors join ext using (session_id)),
+    sims as (select session_id, id_a as p, id_b as c, sim from @near union all select session_id, id_b, id_a, sim from @near),
+    walk as (select session_id, vec_id, rel, null::double as near, 0 as step, null::bigint as won from v
+        union all
+        select w.session_id, w.vec_id, w.rel, greatest(w.near, s.sim), w.step + 1, w.best
+        from (select *, arg_max(vec_id, (0.7 * rel - 0.3 * coalesce(near, 0), -vec_id)) over (partition by session_id) as best from walk) w
+        join sims s on s.session_id = w.session_id and s.p = w.best and s.c = w.vec_id where w.step < 40)
+    select session_id, won as vec_id, cast(step as integer) as pick from walk where step > 0 group by session_id, won, step""")
+def diversify(t):
+    return dv.diversify(t.vectors.withColumn("rel", F.col("vec_id") % 97), 40, 0.7, relevance_col="rel", ordinal_col="vec_id", **VEC)
+
+
+@query("clu_01_density_clusters")
+def density_clusters(t):
+    picked = dv.diversify(t.vectors.withColumn("rel", F.col("vec_id") % 97), relevance_col="rel", ordinal_col="vec_id", **VEC)
+    return cl.density_clusters(t.vectors.join(picked, ["session_id", "vec_id"], "left_semi"), **VEC)
+
+
+@query("clu_02_small_sessions", "select floor(vec_id / 2)::bigint as session_id, vec_id, 0 as cluster_id from embeddings")
+def small_sessions(t):
+    pairs = t.embeddings.withColumn("session_id", F.floor(F.col("vec_id") / 2))
+    return cl.density_clusters(pairs, **VEC)
+
+
+@query("clu_03_noise", "select session_id, count(*) filter (where doc_id % 37 = 0) as noise, count(*) filter (where doc_id % 37 <> 0) as clustered from @posts group by session_id")
+def noise(t):
+    marked = t.posts.withColumn("cluster_id", F.col("doc_id") % 37 - 1)
+    noise_, rest = marked.filter("cluster_id = -1"), marked.filter("cluster_id <> -1")
+    count = lambda df, name: df.groupBy("session_id").agg(F.count("*").alias(name))
+    return count(rest, "clustered").join(count(noise_, "noise"), "session_id", "left").na.fill(0)
+
+
+COMPONENTS = """
+    with recursive links as (select n.session_id, id_a as a, id_b as b from @near n where sim >= 0.35 and (id_a % 9 = 0) = (id_b % 9 = 0)),
+    both_ways as (select * from links union select session_id, b, a from links),
+    reach as (select session_id, vec_id as a, vec_id as b from @vectors union select r.session_id, r.a, l.b from reach r join both_ways l on l.session_id = r.session_id and l.a = r.b)
+    select session_id, a as cluster_id, min(b) as component from reach group by session_id, a"""
+FRAGMENTS["components"] = COMPONENTS
+
+
+@query("sig_04_components", "select * from @components")
+def components(t):
+    return co.merge_groups(t.signals, 0.35, keys=["session_id"], id_col="cluster_id", vec_col="embedding", flag_col="is_anomaly").drop("is_anomaly")
