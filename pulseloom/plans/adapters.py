@@ -85,7 +85,7 @@ ADAPTERS = {
                case vec_id % 4 when 0 then 'reddit' when 1 then 'youtube' when 2 then 'hackerNews' else 'instagram' end as source_a,
                case vec_id % 3 when 0 then 'reddit' when 1 then 'youtube' else 'hackerNews' end as source_b,
                concat('quote ', cast(vec_id as string)) as quote,
-               (vec_id % 100) / 100.0 as avg_relevance, (vec_id % 37) / 10.0 as avg_engagement
+               (vec_id % 100) / cast(100 as double) as avg_relevance, (vec_id % 37) / cast(10 as double) as avg_engagement
         from {embeddings}""",
     "urls": """
         select page_id, url, split_part(split_part(url, '/', 4), '?', 1) as tag, html from {pages}""",

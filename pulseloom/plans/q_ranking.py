@@ -16,8 +16,8 @@ def harvest_rank(t):
 
 
 @query("rnk_02_distinct_rank", """
-    with f as (select session_id, native_id, min(query_ord * 1000000000 + pos) as at from @posts_repeat group by session_id, native_id)
-    select session_id, native_id, rank from (select *, row_number() over (partition by session_id order by at) as rank from f) where rank <= 60""")
+    with f as (select session_id, native_id, min(query_ord * 1000000000 + pos) as seen_at from @posts_repeat group by session_id, native_id)
+    select session_id, native_id, rank from (select *, row_number() over (partition by session_id order by seen_at) as rank from f) where rank <= 60""")
 def distinct_rank(t):
     return rk.harvest_rank_distinct(t.posts_repeat, ["session_id"], "native_id", "query_ord", "pos", 60).select("session_id", "native_id", "rank")
 
