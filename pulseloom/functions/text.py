@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
 
 from pulseloom import settings
@@ -25,7 +25,7 @@ REPEATED_MARK = r"([!?.]){2,}"
 BLANK = r"(?U)[\s\x1c-\x1f]+"
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def _unescape(texts: pd.Series) -> pd.Series:
     return texts.map(html.unescape, na_action="ignore")
 

@@ -10,6 +10,7 @@ from pulseloom.functions.scores import share_of_max, with_extent
 from pulseloom.operators.aggregates import cluster_quotes, cluster_summary, majority
 from pulseloom.operators.filters import score_or_anomaly
 from pulseloom.operators.ranking import top_n, top_per_cluster
+from pulseloom.session import cut
 
 PROMPT = "Describe the shared subject of these posts.\nTopic: {seed}\n{n} posts from {sources}\n\n{posts}\nAnswer with one JSON object."
 ODD_PROMPT = "Describe what sets these outlying posts apart.\nTopic: {seed}\n{n} posts from {sources}\n\n{posts}\nAnswer with one JSON object."
@@ -106,9 +107,9 @@ def merge_aggregate(signals: DataFrame, *, keys: list[str], ordinal: str) -> Dat
 
 def merge_signals(signals: DataFrame, groups: DataFrame) -> DataFrame:
     """Signals folded by their merge group (session_id, cluster_id, component); a session's only signal keeps its sentiment."""
-    tagged = signals.join(groups.select("session_id", "cluster_id", "component"), ["session_id", "cluster_id"])
+    tagged = cut(signals.join(groups.select("session_id", "cluster_id", "component"), ["session_id", "cluster_id"]))
     merged = merge_aggregate(tagged, keys=["session_id", "component"], ordinal="cluster_id")
-    alone = signals.groupBy("session_id").agg(F.count("*").alias("_n"), F.first("sentiment").alias("_own"))
+    alone = tagged.groupBy("session_id").agg(F.count("*").alias("_n"), F.first("sentiment").alias("_own"))
     return merged.join(alone, "session_id").withColumn(
         "sentiment", F.when(F.col("_n") == 1, F.col("_own")).otherwise(F.col("sentiment"))).drop("_n", "_own")
 
@@ -154,6 +155,7 @@ def global_stats(scored: DataFrame, sources: str = "sources") -> DataFrame:
 
 def compress(scored: DataFrame, seeds: DataFrame) -> DataFrame:
     """One analysis row per session: its best pain points, requests, questions and quotes, and its figures."""
+    scored = cut(scored)
     entries = signal_entries(scored)
     out = global_stats(scored).join(seeds.select("session_id", F.col("seed").alias("topic")), "session_id", "left")
     entry = F.struct(*ENTRY, "score", "value")

@@ -26,7 +26,7 @@ def trends(t):
     return ex.trends_suggestions(related(t)).drop("source")
 
 
-SUGGEST = "select concat('q', cast(ord % 150 as string)) as q, ord as pos, lower(query) as s from @candidates"
+SUGGEST = "select concat('q', cast(ord % 150 as string)) as q, ord as pos, concat('q', cast((ord * 7 + 3) % 190 as string)) as s from @candidates"
 
 
 @query("exp_03_breadth", f"""
@@ -37,7 +37,7 @@ SUGGEST = "select concat('q', cast(ord % 150 as string)) as q, ord as pos, lower
     d3 as (select distinct d.session_id, g.s, 3 as level from d2 d join sug g on g.q = d.s where g.s <> d.s and (d.session_id, g.s) not in (select session_id, s from d1 union all select session_id, s from d2))
     select session_id, s as query, level from d1 union all select * from d2 union all select * from d3""")
 def breadth(t):
-    table = t.candidates.select(F.concat(F.lit("q"), (F.col("ord") % 150).cast("string")).alias("query"), F.col("ord").alias("pos"), F.col("query").alias("suggestion"))
+    table = t.candidates.select(F.concat(F.lit("q"), (F.col("ord") % 150).cast("string")).alias("query"), F.col("ord").alias("pos"), F.concat(F.lit("Q"), ((F.col("ord") * 7 + 3) % 190).cast("string")).alias("suggestion"))
     seeds = t.vectors.select("session_id", F.concat(F.lit("q"), (F.col("session_id") % 9 + 1).cast("string")).alias("query")).distinct()
     return ex.expand_breadth(seeds, table, 3).select("session_id", F.lower("query").alias("query"), "level")
 
@@ -72,18 +72,18 @@ def scored(t):
 FRAGMENTS["candidate_scores"] = f"""
     with c as (select *, case source when 'llm' then 'structure' else 'demand' end as kind from @candidates),
     seed as (select session_id, embedding from c where ord % 500 = 0),
-    g as (select a.session_id, a.ord, greatest(0, least(1, {COS})) as glob from c a join seed b on b.session_id = a.session_id),
+    g as (select a.session_id, a.ord, greatest(0, least(1, {COS})) as gsim from c a join seed b on b.session_id = a.session_id),
     p as (select a.session_id, a.ord, avg({COS}) filter (where {COS} > 0.3) as raw, true as peers from c a join c b on b.session_id = a.session_id and a.source <> b.source group by a.session_id, a.ord),
     x as (select session_id, max(raw) as top from p group by session_id),
-    f as (select c.*, g.glob, coalesce(p.raw, 0) / greatest(coalesce(x.top, 0), 2.220446049250313e-16) as rel, coalesce(p.peers, false) as peers,
+    f as (select c.*, g.gsim, coalesce(p.raw, 0) / greatest(coalesce(x.top, 0), 2.220446049250313e-16) as rel, coalesce(p.peers, false) as peers,
                  row_number() over (partition by c.session_id, lower(trim(c.query)) order by c.ord) as rn
           from c join g using (session_id, ord) left join p using (session_id, ord) left join x using (session_id)),
-    b as (select *, greatest(0, least(1, case when peers then glob * 0.8 + rel * 0.2 else glob end)) as base,
+    b as (select *, greatest(0, least(1, case when peers then gsim * 0.8 + rel * 0.2 else gsim end)) as base,
                  case trend_signal when 'rising' then 1.06 when 'top' then 1.03 else 1.0 end::double * case kind when 'demand' then 1.02 else 1.0 end::double as boost from f where rn = 1)
-    select session_id, ord, glob, rel, case when base * boost > 1 then base + (1 - base) * (boost - 1) else base * boost end as blended from b"""
+    select session_id, ord, gsim, rel, case when base * boost > 1 then base + (1 - base) * (boost - 1) else base * boost end as blended from b"""
 
 
-@query("exp_06_global_score", "select ord, round(glob, 4) as global_score from @candidate_scores")
+@query("exp_06_global_score", "select ord, round(gsim, 4) as global_score from @candidate_scores")
 def global_score(t):
     return scored(t).select("ord", "global_score")
 

@@ -1,8 +1,8 @@
 """Queries: ranks and top lists."""
 
-from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 import pandas as pd
+from pyspark.sql import functions as F, types as T
+from pyspark.sql.functions import pandas_udf
 
 from pulseloom.operators import ranking as rk
 from pulseloom.plans.registry import FRAGMENTS, query
@@ -67,7 +67,7 @@ def top_lists(t):
     return out
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def shared_letters(queries: pd.Series, texts: pd.Series) -> pd.Series:
     """A stand-in pair scorer: the share of the query's letters that open the text."""
     return pd.Series([len(set(q) & set(x[:20])) / max(len(set(q)), 1) for q, x in zip(queries, texts)], dtype="float64")

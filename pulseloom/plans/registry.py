@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    from pulseloom.plans import (q_aggregates, q_expansion, q_filters, q_joins, q_ranking, q_sessions, q_sets,  # noqa: F401
+    from pulseloom.plans import (q_aggregates, q_expansion, q_filters, q_flow, q_joins, q_ranking, q_sessions, q_sets,  # noqa: F401
                                  q_signals, q_sources, q_text, q_vectors)
 
 
