@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
@@ -23,6 +24,10 @@ EMOJI = (
 TAG_WORD = r"(?U)^\w+"
 REPEATED_MARK = r"([!?.]){2,}"
 BLANK = r"(?U)[\s\x1c-\x1f]+"
+# the same for texts of single-byte characters, where a plain character class will do; the second pattern matches what is
+# not yet a single blank, of which most texts hold little
+PLAIN_BLANK = r"[\s\x1c-\x1f]+"
+PLAIN_UNEVEN_BLANK = r"[\s\x1c-\x1f]{2,}|[\t-\r\x1c-\x1f]"
 
 
 @pandas_udf(T.StringType())
@@ -35,16 +40,24 @@ def unescape_entities(text: Column) -> Column:
     return F.coalesce(_unescape(F.when(F.contains(text, F.lit("&")), text)), text)
 
 
+def is_plain(text: Column) -> Column:
+    """As many bytes as characters: ASCII only."""
+    return F.octet_length(text) == F.length(text)
+
+
 def strip_tags(text: Column) -> Column:
-    return F.regexp_replace(text, TAG, " ")
+    return bind(text, lambda t: F.when(F.contains(t, F.lit("<")), F.regexp_replace(t, TAG, " ")).otherwise(t))
 
 
 def strip_boilerplate(text: Column) -> Column:
-    return F.regexp_replace(text, BOILERPLATE, " ")
+    def found(low: Column) -> Column:
+        return reduce(lambda a, b: a | b, [F.contains(low, F.lit(mark)) for mark in ("http", "edit", "[deleted]", "[removed]")])
+
+    return bind(text, lambda t: F.when(bind(F.lower(t), found), F.regexp_replace(t, BOILERPLATE, " ")).otherwise(t))
 
 
 def strip_emoji(text: Column) -> Column:
-    return F.regexp_replace(text, EMOJI, " ")
+    return bind(text, lambda t: F.when(is_plain(t), t).otherwise(F.regexp_replace(t, EMOJI, " ")))
 
 
 def spell_hashtags(text: Column) -> Column:
@@ -65,7 +78,8 @@ def collapse_marks(text: Column) -> Column:
 
 
 def collapse_blanks(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, BLANK, " "))
+    return bind(text, lambda t: F.trim(F.when(is_plain(t), F.regexp_replace(t, PLAIN_UNEVEN_BLANK, " ")).otherwise(
+        F.regexp_replace(t, BLANK, " "))))
 
 
 def clean_text(raw: Column) -> Column:
@@ -91,7 +105,7 @@ def quote(text: Column, limit: int = 280) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(text, BLANK), lambda w: w != "")
+    return bind(text, lambda t: F.filter(F.when(is_plain(t), F.split(t, PLAIN_BLANK)).otherwise(F.split(t, BLANK)), lambda w: w != ""))
 
 
 def word_count(text: Column) -> Column:
