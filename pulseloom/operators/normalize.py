@@ -28,13 +28,13 @@ def _number(name: str) -> Column:
 
 
 def _as_post(df: DataFrame, as_of: Column, source: str, id_prefix: str, *, title: Column, author: Column, score: Column,
-             comments: Column, created: Column, url: Column, native: str, subreddit: Column = F.lit(""),
-             channel: Column = F.lit("")) -> DataFrame:
+             comments: Column, created: Column, url: Column, native: str, subreddit: Column | None = None,
+             channel: Column | None = None) -> DataFrame:
     created = created.alias("created_at")
     shaped = df.select(
         *CONTEXT, F.concat(F.lit(id_prefix), F.col(native)).alias("id"), F.lit(source).alias("source"), "text",
         title.alias("title"), author.alias("author"), score.alias("score"), comments.alias("num_comments"), created,
-        url.alias("url"), subreddit.alias("subreddit"), channel.alias("channel"))
+        url.alias("url"), *[(F.lit("") if x is None else x).alias(n) for n, x in (("subreddit", subreddit), ("channel", channel))])
     return shaped.withColumn("engagement", engagement(F.lit(source), F.col("score"), F.col("num_comments"),
                                                       F.col("created_at"), as_of)).select(*POST_COLUMNS)
 

@@ -52,7 +52,8 @@ ADAPTERS = {
                o_orderstatus as status, o_totalprice as price, o_orderdate as created_at
         from {orders}""",
     "runs": """
-        select concat(cast(l_orderkey as string), '-', cast(l_linenumber as string), '-', cast(l_partkey as string), '-', cast(l_suppkey as string)) as id,
+        select concat(cast(l_orderkey as string), '-', cast(l_linenumber as string), '-', cast(l_partkey as string), '-', cast(l_suppkey as string), '-',
+                      cast(cast(round(l_extendedprice * 100) as bigint) as string), '-', cast(cast(round(l_discount * 100 + l_tax * 10000) as bigint) as string)) as id,
                l_orderkey as session_id, l_linenumber as attempt,
                case (l_linenumber - 1) % 4 when 0 then 'intent_analysis' when 1 then 'topic_expansion'
                     when 2 then 'collection' else 'python_analysis' end as stage,

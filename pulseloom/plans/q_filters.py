@@ -8,7 +8,7 @@ from pulseloom.functions.scores import engagement
 from pulseloom.operators import filters as fl, normalize as nz, projections as pj
 from pulseloom.operators.ranking import top_n
 from pulseloom.plans.adapters import AS_OF_SECONDS
-from pulseloom.plans.q_text import AS_OF, sql_language, sql_words
+from pulseloom.plans.q_text import as_of, sql_language, sql_words
 from pulseloom.plans.registry import FRAGMENTS, query
 
 IDS = "select doc_id from @posts where "
@@ -91,7 +91,7 @@ SORTED = " union all ".join(
 @query("flt_09_sort_modes", SORTED)
 def sort_modes(t):
     c = F.col
-    posts = t.posts.withColumn("engagement", engagement(c("platform"), c("score"), c("comments"), F.timestamp_seconds("created_s"), AS_OF))
+    posts = t.posts.withColumn("engagement", engagement(c("platform"), c("score"), c("comments"), F.timestamp_seconds("created_s"), as_of()))
     out = None
     for mode in ("hot", "top", "new", "comments"):
         # a sorted limit keeps 25 rows per task; only those are ranked
@@ -256,11 +256,11 @@ def normal_columns(df):
 for _n, (_id, _platform) in enumerate((("nrm_01_reddit", "reddit"), ("nrm_02_youtube", "youtube"),
                                        ("nrm_03_hackernews", "hackerNews"), ("nrm_04_instagram", "instagram"))):
     query(_id, f"select {', '.join(NORMAL_COLUMNS)} from @normal where source = '{_platform}'")(
-        lambda t, p=_platform: normal_columns(nz.NORMALIZERS[p](platform_frames(t.posts)[p], AS_OF)))
+        lambda t, p=_platform: normal_columns(nz.NORMALIZERS[p](platform_frames(t.posts)[p], as_of())))
 
 
 def normalized(t, repeated=False):
-    return nz.normalize(platform_frames(t.posts_repeat if repeated else t.posts), AS_OF)
+    return nz.normalize(platform_frames(t.posts_repeat if repeated else t.posts), as_of())
 
 
 @query("nrm_05_normalize", "select id, session_id, min(query_ord) as query_ord from @normal_repeat group by id, session_id")

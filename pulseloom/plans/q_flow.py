@@ -8,7 +8,7 @@ from pulseloom.operators.hooks import parse_pages, provide_replies
 from pulseloom.plans import flow
 from pulseloom.plans.q_filters import platform_frames
 from pulseloom.plans.q_sources import fresh_folder
-from pulseloom.plans.q_text import AS_OF
+from pulseloom.plans.q_text import as_of
 from pulseloom.plans.registry import query
 from pulseloom.session import ensure_checkpoint_dir
 from pulseloom.streaming import feeds
@@ -29,7 +29,7 @@ def run_of(t):
     posts = t.posts
     sessions = posts.select("session_id").distinct()
     queries = posts.filter("doc_id % 100 < 10").select("session_id", F.substring("title", 1, 60).alias("query"))
-    return flow.Run(platforms=platform_frames(posts), queries=queries, as_of=AS_OF, dims=128, relevance_threshold=0.3, duplicate_threshold=0.8,
+    return flow.Run(platforms=platform_frames(posts), queries=queries, as_of=as_of(), dims=128, relevance_threshold=0.3, duplicate_threshold=0.8,
                     mmr_k=30, merge_threshold=0.7, replies=lambda prompts: provide_replies(prompts, canned),
                     seeds=sessions.withColumn("seed", F.concat(F.lit("topic "), F.col("session_id").cast("string"))))
 

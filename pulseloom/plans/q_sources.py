@@ -7,7 +7,7 @@ from pulseloom.functions import text as tx
 from pulseloom.operators.projections import canonical_post_url
 from pulseloom.plans.adapters import AS_OF_SECONDS
 from pulseloom.plans.q_filters import NORMAL_COLUMNS, normalized, platform_frames
-from pulseloom.plans.q_text import AS_OF
+from pulseloom.plans.q_text import as_of
 from pulseloom.plans.registry import query
 from pulseloom.session import ensure_checkpoint_dir
 from pulseloom.sources import collection as cn, hackernews as hn, instagram as ig, reddit as rd, sinks as sk, trends as tr, youtube as yt
@@ -266,7 +266,7 @@ def search_payload(t):
                     F.struct(c("author").alias("username")).alias("user"))
     edges = t.posts.withColumn("page", F.floor(c("doc_id") / 10)).groupBy("page").agg(F.array(F.struct(F.struct(F.collect_list(item).alias("items")).alias("node"))).alias("edges"))
     pages = edges.select("page", F.to_json(F.struct(F.struct(F.struct("edges").alias("xdt_fbsearch__top_serp_graphql")).alias("data"))).alias("payload"))
-    return ig.most_liked_first(ig.search_posts(pages, ["page"], AS_OF)).select("pk", "like_count", "comment_count", "username", "engagement_velocity", "url")
+    return ig.most_liked_first(ig.search_posts(pages, ["page"], as_of())).select("pk", "like_count", "comment_count", "username", "engagement_velocity", "url")
 
 
 @query("src_23_listing", "select case when doc_id % 2 = 0 then 'post' else 'comment' end as kind, native_id as id, author, score from @posts")

@@ -7,7 +7,12 @@ from pulseloom.functions.language import FUNCTION_WORDS, detect_language
 from pulseloom.plans.adapters import AS_OF_SECONDS
 from pulseloom.plans.registry import FRAGMENTS, query
 
-AS_OF = F.timestamp_seconds(F.lit(AS_OF_SECONDS))
+
+
+def as_of():
+    return F.timestamp_seconds(F.lit(AS_OF_SECONDS))
+
+
 EMOJI_SQL = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{1F1E6}-\x{1F1FF}\x{2190}-\x{21FF}\x{FE0F}]+"
 BOILER_SQL = r"(?i)edit\s*:\s*thanks?\s*(for|to)\s*(the\s+)?(awards?|gold|silver|platinum)|\[deleted\]|\[removed\]|https?://\S+"
 
@@ -183,7 +188,7 @@ def parse_moment(t):
            .when(F.col("doc_id") % 6 == 2, F.concat("created_day", F.lit("T02:00:00+02:00")))
            .when(F.col("doc_id") % 6 == 3, F.concat(F.lit("Streamed "), n, F.lit(" weeks ago")))
            .when(F.col("doc_id") % 6 == 4, F.concat(n, F.lit("mo ago"))))
-    return t.posts.select("doc_id", F.unix_seconds(mo.parse_moment(raw, AS_OF)).alias("parsed_s"))
+    return t.posts.select("doc_id", F.unix_seconds(mo.parse_moment(raw, as_of())).alias("parsed_s"))
 
 
 @query("dat_02_age_days", f"select doc_id, greatest(0, ({AS_OF_SECONDS - 864000} - created_s) / 86400.0)::double as days from @posts")
@@ -205,12 +210,12 @@ FRAGMENTS["engagement"] = f"""
 @query("mth_01_engagement", "select doc_id, engagement from @engagement")
 def engagement(t):
     c = F.col
-    return t.posts.select("doc_id", sc.engagement(c("platform"), c("score"), c("comments"), F.timestamp_seconds("created_s"), AS_OF).alias("engagement"))
+    return t.posts.select("doc_id", sc.engagement(c("platform"), c("score"), c("comments"), F.timestamp_seconds("created_s"), as_of()).alias("engagement"))
 
 
 @query("mth_02_velocity", f"select doc_id, round((score + comments) / greatest(({AS_OF_SECONDS} - created_s) / 3600.0::double, 1), 2) as velocity from @posts")
 def velocity(t):
-    return t.posts.select("doc_id", sc.engagement_velocity(F.col("score"), F.col("comments"), F.timestamp_seconds("created_s"), AS_OF).alias("velocity"))
+    return t.posts.select("doc_id", sc.engagement_velocity(F.col("score"), F.col("comments"), F.timestamp_seconds("created_s"), as_of()).alias("velocity"))
 
 
 @query("mth_03_clamp", "select event_id, round(greatest(0, least(1, value / 37 - 0.2)), 4) as clamped from events")
