@@ -42,10 +42,19 @@ def merge_groups(signals: DataFrame, threshold: float = settings.MERGE_THRESHOLD
                  vec_col: str, flag_col: str, block_rows: int = settings.BLOCK_ROWS) -> DataFrame:
     """Groups of rows linked, directly or through others, by similarity at or above the threshold and an equal flag."""
     grouped = keys + [flag_col]
-    forest = similarity_forest(signals, threshold, keys=grouped, id_col=id_col, vec_col=vec_col,
-                               inclusive=True, block_rows=block_rows)
+    find = lambda rows: similarity_forest(rows, threshold, keys=grouped, id_col=id_col, vec_col=vec_col,
+                                          inclusive=True, block_rows=block_rows)
     if any_large(group_sizes(signals, grouped), block_rows):
-        return connected_components(signals, forest, keys=grouped, id_col=id_col)
+        # equal vectors resemble the same rows: one of them stands for all. A zero vector stands for itself only.
+        rows = signals.select(*grouped, id_col, vec_col)
+        some, blank = rows.filter(F.exists(vec_col, lambda x: x != 0)), rows.filter(~F.exists(vec_col, lambda x: x != 0))
+        distinct = cut(some.groupBy(*grouped, vec_col).agg(F.min(id_col).alias("_rep")))
+        named = distinct.withColumnRenamed("_rep", id_col)
+        found = connected_components(named, find(named), keys=grouped, id_col=id_col).withColumnRenamed(id_col, "_rep")
+        copies = some.join(distinct, grouped + [vec_col]).select(*grouped, id_col, "_rep")
+        return copies.join(found, grouped + ["_rep"]).select(*grouped, id_col, "component").unionByName(
+            blank.select(*grouped, id_col, F.col(id_col).alias("component")))
+    forest = find(signals)
     # every group was one task, whose forest already is a star around the smallest id of each component
     star = forest.select(*grouped, F.col("dst").alias(id_col), F.col("src").alias("component"))
     return signals.select(*grouped, id_col).join(star, grouped + [id_col], "left").withColumn(

@@ -300,9 +300,13 @@ def best_query_similarity(docs: DataFrame, queries: DataFrame, *, key: str, id_c
 
         return d.mapInArrow(scan, schema)
 
-    sizes = d.groupBy(key).agg(F.ceil(F.count("*") / F.lit(chunk_rows)).cast("int").alias("_chunks"))
-    left = d.join(sizes, key).withColumn("_chunk", F.pmod(F.xxhash64(id_col), F.col("_chunks")).cast("int"))
-    right = q.join(sizes, key).withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
+    # either side of a session may be large: every chunk of documents meets every chunk of queries, best scores are kept
+    chunks = lambda df, name: df.groupBy(key).agg(F.ceil(F.count("*") / F.lit(chunk_rows)).cast("int").alias(name))
+    sizes = chunks(d, "_dn").join(chunks(q, "_qn"), key)
+    place = lambda of, n: F.pmod(F.xxhash64(of), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = d.join(sizes, key).withColumn("_dc", place(id_col, "_dn")).withColumn("_qc", every("_qn"))
+    right = q.join(sizes, key).withColumn("_qc", place("_q", "_qn")).withColumn("_dc", every("_dn"))
 
     def meet(docs_: pa.Table, queries_: pa.Table) -> pa.Table:
         if docs_.num_rows == 0 or queries_.num_rows == 0:
@@ -312,7 +316,8 @@ def best_query_similarity(docs: DataFrame, queries: DataFrame, *, key: str, id_c
             score = pa.array(best(matrix(docs_["_vec"]), matrix(queries_["_q"])))
         return pa.table({key: docs_[key], id_col: docs_[id_col], "relevance_score": score})
 
-    return left.groupBy(key, "_chunk").cogroup(apart(right).groupBy(key, "_chunk")).applyInArrow(meet, schema)
+    met = left.groupBy(key, "_dc", "_qc").cogroup(apart(right).groupBy(key, "_dc", "_qc")).applyInArrow(meet, schema)
+    return met.groupBy(key, id_col).agg(F.max("relevance_score").alias("relevance_score"))
 
 
 def vector_search(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", *, id_col: str, vec_col: str,

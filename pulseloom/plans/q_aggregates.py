@@ -108,10 +108,10 @@ def cluster_sizes(t):
 
 
 @query("arr_02_first_quotes", """
-    select conv_id, array_to_string(list(substring(text, 1, 40) order by turn)[1:5], ' / ') as quotes from conversations group by conv_id""")
+    select conv_id, array_to_string(list(text order by turn)[1:5], ' / ') as quotes from conversations group by conv_id""")
 def first_quotes(t):
     from pulseloom.operators.signals import first_quotes as quotes
-    c = t.conversations.select("conv_id", "turn", F.array(F.substring("text", 1, 40)).alias("q"))
+    c = t.conversations.select("conv_id", "turn", F.array("text").alias("q"))
     return quotes(c, keys=["conv_id"], ordinal="turn", quotes="q").select("conv_id", F.array_join("quotes", " / ").alias("quotes"))
 
 

@@ -128,7 +128,7 @@ def questions(t):
     return t.sessions.select(F.col("id").alias("session_id"), F.explode(ex.fallback_questions(F.col("query"))).alias("question"))
 
 
-@query("exp_11_topic_fallback", r"select doc_id, case when doc_id % 2 = 0 then lang else trim(regexp_replace(lower(substring(text, 1, 30)), '\s+', ' ', 'g')) end as topics from documents")
+@query("exp_11_topic_fallback", r"select doc_id, case when doc_id % 2 = 0 then lang else trim(regexp_replace(lower(text), '\s+', ' ', 'g')) end as topics from documents")
 def topic_fallback(t):
     found = F.when(F.col("doc_id") % 2 == 0, F.array("lang"))
-    return t.documents.select("doc_id", F.array_join(ex.topics_or_query(found, F.substring("text", 1, 30)), "|").alias("topics"))
+    return t.documents.select("doc_id", F.array_join(ex.topics_or_query(found, F.col("text")), "|").alias("topics"))

@@ -32,7 +32,7 @@ def evidence_posts(t):
            case when doc_id % 3 = 0 then n_chars else 5 end as like_count,
            case when doc_id % 3 = 0 then source else 'user' end as username,
            case when doc_id % 3 = 0 then case when doc_id % 4 = 0 then 9 else 100 end else 9 end as taken_at,
-           case when doc_id % 3 = 0 then substring(text, 1, 30) else '' end as transcript from documents""")
+           case when doc_id % 3 = 0 then text else '' end as transcript from documents""")
 def transcripts(t):
     d = t.documents
     posts = d.select("doc_id", F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("url"), F.lit("caption").alias("caption"),
@@ -41,7 +41,7 @@ def transcripts(t):
     meta = F.struct(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("about "), "lang")).otherwise("").alias("description"), F.col("n_chars").alias("like_count"),
                     F.lit(None).cast("bigint").alias("comment_count"), F.col("source").alias("channel"), F.lit("").alias("uploader"),
                     F.when(F.col("doc_id") % 4 == 0, 0).otherwise(100).cast("bigint").alias("timestamp"))
-    texts = d.filter("doc_id % 3 = 0").select(F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("url"), F.substring("text", 1, 30).alias("transcript"), meta.alias("meta"))
+    texts = d.filter("doc_id % 3 = 0").select(F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("url"), F.col("text").alias("transcript"), meta.alias("meta"))
     return jn.with_transcripts(posts, texts).select("doc_id", "caption", "like_count", "username", "taken_at", "transcript")
 
 

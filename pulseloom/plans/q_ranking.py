@@ -69,13 +69,13 @@ def top_lists(t):
 
 @pandas_udf(T.DoubleType())
 def shared_letters(queries: pd.Series, texts: pd.Series) -> pd.Series:
-    """A stand-in pair scorer: the share of the query's letters that open the text."""
-    return pd.Series([len(set(q) & set(x[:20])) / max(len(set(q)), 1) for q, x in zip(queries, texts)], dtype="float64")
+    """A stand-in pair scorer: the share of the query's letters that occur in the text."""
+    return pd.Series([len(set(q) & set(x)) / max(len(set(q)), 1) for q, x in zip(queries, texts)], dtype="float64")
 
 
 @query("rnk_07_rerank", """
     select session_id, doc_id, round(s, 6) as rerank_score from (select *, row_number() over (partition by session_id order by s desc, doc_id) as rn from (
-        select session_id, doc_id, len(list_intersect(string_split(query, ''), string_split(substring(text, 1, 20), ''))) / len(list_distinct(string_split(query, '')))::double as s
+        select session_id, doc_id, len(list_intersect(string_split(query, ''), string_split(text, ''))) / len(list_distinct(string_split(query, '')))::double as s
         from (select p.session_id, p.doc_id, p.query, d.text from @posts p join documents d using (doc_id)))) where rn <= 20""")
 def rerank(t):
     posts = t.posts.select("session_id", "doc_id", "query").join(t.documents.select("doc_id", "text"), "doc_id")

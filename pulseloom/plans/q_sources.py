@@ -130,7 +130,7 @@ def url_parameters(t):
 
 def video_pages(t):
     d = t.documents
-    video = F.struct(F.concat(F.lit("v"), c("doc_id").cast("string")).alias("videoId"), F.struct(F.array(F.struct(F.substring("text", 1, 20).alias("text")), F.struct(c("lang").alias("text"))).alias("runs")).alias("title"),
+    video = F.struct(F.concat(F.lit("v"), c("doc_id").cast("string")).alias("videoId"), F.struct(F.array(F.struct(F.col("text").alias("text")), F.struct(c("lang").alias("text"))).alias("runs")).alias("title"),
                      F.struct(F.concat(c("n_chars").cast("string"), F.lit(" views")).alias("simpleText")).alias("viewCountText"),
                      F.struct(F.array(F.struct(c("source").alias("text"), F.struct(F.struct(c("lang").alias("browseId")).alias("browseEndpoint")).alias("navigationEndpoint"))).alias("runs")).alias("ownerText"),
                      F.array(F.struct(F.struct(F.when(c("doc_id") % 2 == 0, "BADGE_VERIFIED").otherwise("X").alias("style")).alias("metadataBadgeRenderer"))).alias("ownerBadges"),
@@ -159,7 +159,7 @@ def continuations(t):
 
 
 @query("src_11_videos", """
-    select doc_id, concat('v', cast(doc_id as string)) as id, concat(substring(text, 1, 20), lang) as title, concat(cast(n_chars as string), ' views') as "viewsText", source as "channelName",
+    select doc_id, concat('v', cast(doc_id as string)) as id, concat(text, lang) as title, concat(cast(n_chars as string), ' views') as "viewsText", source as "channelName",
            lang as "channelId", source as thumbnail, doc_id % 2 = 0 as verified, concat('https://youtu.be/v', cast(doc_id as string)) as "shortUrl",
            concat('https://www.youtube.com/channel/', lang) as "channelUrl" from documents where doc_id % 3 < 2""")
 def videos(t):
@@ -251,9 +251,9 @@ def harvested_posts(t):
     return ig.harvested_posts(payload, ["doc_id"], AS_OF_SECONDS).select("doc_id", "code", "query", "rank")
 
 
-@query("src_21_media_record", "select doc_id, lang as channel, case when doc_id % 2 = 0 then substring(replace(text, chr(10), ' '), 1, 50) end as description, n_chars as like_count from documents")
+@query("src_21_media_record", "select doc_id, lang as channel, case when doc_id % 2 = 0 then replace(text, chr(10), ' ') end as description, n_chars as like_count from documents")
 def media_record(t):
-    rec = F.to_json(F.struct(c("lang").alias("channel"), F.when(c("doc_id") % 2 == 0, F.substring(F.replace("text", F.lit("\n"), F.lit(" ")), 1, 50)).alias("description"), c("n_chars").alias("like_count")))
+    rec = F.to_json(F.struct(c("lang").alias("channel"), F.when(c("doc_id") % 2 == 0, F.replace("text", F.lit("\n"), F.lit(" "))).alias("description"), c("n_chars").alias("like_count")))
     out = t.documents.select("doc_id", F.concat(F.lit("warning: x\n[info] y\n"), rec, F.lit("\n")).alias("stdout"))
     return out.select("doc_id", ig.media_record(c("stdout")).alias("m")).select("doc_id", "m.channel", "m.description", "m.like_count")
 

@@ -146,11 +146,11 @@ def post_line(t):
 
 
 @query("txt_18_topics", r"""
-    with a as (select doc_id, [concat('  ', substring(text, 1, 12)), replace(substring(text, 1, 12), ' ', '  '), '', lang, concat(lang, ' ')] as topics from documents),
+    with a as (select doc_id, [concat('  ', text), replace(text, ' ', '  '), '', lang, concat(lang, ' ')] as topics from documents),
     n as (select doc_id, list_slice(list_filter(list_transform(topics, lambda x: trim(regexp_replace(lower(x), '\s+', ' ', 'g'))), lambda x: x <> ''), 1, 3) as l from a)
     select doc_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '|') as topics from n""")
 def topics(t):
-    head = F.substring("text", 1, 12)
+    head = F.col("text")
     raw = F.array(F.concat(F.lit("  "), head), F.replace(head, F.lit(" "), F.lit("  ")), F.lit(""), "lang", F.concat("lang", F.lit(" ")))
     return t.documents.select("doc_id", F.array_join(tx.normalize_topics(raw, 3), "|").alias("topics"))
 

@@ -79,9 +79,9 @@ def theta_join(t):
     return si.similar_pairs(t.vectors, 0.35, inclusive=True, **VEC).withColumn("sim", F.round("sim", 6))
 
 
-@query("sim_06_stored_or_embedded", "select doc_id, doc_id % 3 = 0 as stored from documents where doc_id % 2 = 0")
+@query("sim_06_stored_or_embedded", "select doc_id, doc_id % 3 = 0 as stored from documents")
 def stored_or_embedded(t):
-    d = t.documents.filter("doc_id % 2 = 0").select("doc_id", F.concat(F.lit("topic "), F.col("doc_id").cast("string")).alias("text"))
+    d = t.documents.select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(" "), "text").alias("text"))
     store = d.filter("doc_id % 3 = 0").select(tx.topic_id(F.col("text")).alias("id"), F.array_repeat(F.lit(2.0), 16).alias("vector"))
     return em.stored_or_embedded(d, store, "text", dims=16).select("doc_id", (F.col("vec")[0] == 2.0).alias("stored"))
 
