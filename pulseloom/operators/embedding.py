@@ -43,8 +43,8 @@ def stored_or_embedded(queries: DataFrame, store: DataFrame, text: str, embedder
 def topics_to_index(batch: DataFrame, store: DataFrame, text: str = "text", order: str = "ord") -> DataFrame:
     """Non-blank texts of a batch that the store does not have, each once: only these are worth embedding."""
     named = batch.filter(F.trim(F.col(text)) != "").withColumn("id", tx.topic_id(F.col(text)))
-    fresh = named.join(store.select("id"), "id", "left_anti")
-    return top_n(fresh, 1, ["id"], [order], "_rank").drop("_rank")
+    first = top_n(named, 1, ["id"], [order], "_rank").drop("_rank")
+    return first.join(store.select("id"), "id", "left_anti")
 
 
 def index_topics(batch: DataFrame, store: DataFrame, embedder=None, dims: int = 256) -> DataFrame:

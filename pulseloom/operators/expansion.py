@@ -16,6 +16,7 @@ from pulseloom.operators.grouping import near_duplicates
 from pulseloom.operators.ranking import top_n
 from pulseloom.operators.sets import distinct_ignoring_case
 from pulseloom.operators.similarity import peer_support
+from pulseloom.session import cut
 
 
 def kind_of(source: Column) -> Column:
@@ -48,9 +49,10 @@ def expand_breadth(seeds: DataFrame, suggestions: DataFrame, depth: int = 1) ->
         found = frontier.join(table, "_key").select(
             "session_id", F.col("suggestion").alias("query"), F.lower("suggestion").alias("_key"),
             F.concat("path", F.array("_pos")).alias("path"), F.lit(level).alias("level"))
-        if seen is not None:
-            found = found.join(seen.select("session_id", "_key"), ["session_id", "_key"], "left_anti")
         fresh = top_n(found, 1, ["session_id", "_key"], ["path"], "_rank").drop("_rank")
+        if seen is not None:
+            fresh = fresh.join(seen.select("session_id", "_key"), ["session_id", "_key"], "left_anti")
+        fresh = cut(fresh)
         seen = fresh if seen is None else seen.unionByName(fresh)
         frontier = fresh.select("session_id", "_key", "path")
     return seen.drop("_key")

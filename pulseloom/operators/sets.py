@@ -26,9 +26,12 @@ def distinct_ignoring_case(df: DataFrame, column: str, order: list[Column | str]
 
 
 def insert_or_ignore(base: DataFrame, fresh: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
-    """Fresh rows join unless their key exists; of several fresh rows with one key the first joins."""
-    new = top_n(fresh.join(base.select(*keys), keys, "left_anti"), 1, keys, order, "_rank").drop("_rank")
-    return base.unionByName(new)
+    """Fresh rows join unless their key exists; of several fresh rows with one key the first joins.
+
+    Repeats go first: they vanish before the shuffle, so no key is hot when the two tables meet.
+    """
+    first = top_n(fresh, 1, keys, order, "_rank").drop("_rank")
+    return base.unionByName(first.join(base.select(*keys), keys, "left_anti"))
 
 
 def insert_or_update(base: DataFrame, fresh: DataFrame, keys: list[str], updated: list[str]) -> DataFrame:

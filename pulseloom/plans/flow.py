@@ -12,17 +12,18 @@ from pulseloom.functions import text as tx
 from pulseloom.operators import clusters as cl, components as co, diversify as dv, grouping as gr, normalize as nz, ranking as rk, signals as sg
 from pulseloom.operators.embedding import embed
 from pulseloom.operators.similarity import best_query_similarity
+from pulseloom.session import cut
 from pulseloom.sources.sinks import StageTables
 
-STAGES = ["normalized", "relevant", "selected", "clustered", "signals", "merged", "scored", "analysis"]
-
 
 @dataclass
 class Run:
     """Inputs and parameters of a run.
 
     ``platforms``: landed posts per platform. ``queries``: session_id, query. ``seeds``: session_id, seed.
-    ``replies``: prompts -> (session_id, cluster_id, reply, ...), see ``operators.hooks.provide_replies``.
+    ``replies``: prompts -> (session_id, cluster_id, reply, prompt_tokens, output_tokens), see
+    ``operators.hooks.provide_replies``. ``synthesis``: the same for the closing prompts of sessions; without it a run ends
+    with their payloads.
     """
 
     platforms: dict[str, DataFrame]
@@ -39,10 +40,14 @@ class Run:
     mmr_lambda: float = settings.MMR_LAMBDA
     merge_threshold: float = settings.MERGE_THRESHOLD
     scorer: object = None
+    synthesis: Callable[[DataFrame], DataFrame] | None = None
+    min_score: float = 0.0
 
     def stages(self) -> dict[str, Callable[[StageTables], DataFrame]]:
-        return {"normalized": self.normalized, "relevant": self.relevant, "selected": self.selected, "clustered": self.clustered,
-                "signals": self.signals, "merged": self.merged, "scored": self.scored, "analysis": self.analysis}
+        return {"normalized": self.normalized, "embedded": self.embedded, "relevant": self.relevant, "selected": self.selected, "clustered": self.clustered,
+                "replies": self.answered, "signals": self.signals, "merged": self.merged, "scored": self.scored, "analysis": self.analysis,
+                "payloads": self.payloads, **({"synthesis": self.synthesised, "catchers": self.catchers} if self.synthesis else {}),
+                "usage": self.usage}
 
     def _embed(self, df: DataFrame, text: str) -> DataFrame:
         return embed(df, text, "vec", self.embedder, self.dims)
@@ -50,21 +55,23 @@ class Run:
     def normalized(self, s: StageTables) -> DataFrame:
         return nz.normalize(self.platforms, self.as_of).withColumn("ord", arrival(F.col("query_ord"), F.col("platform_ord"), F.col("pos")))
 
+    def embedded(self, s: StageTables) -> DataFrame:
+        texts = s.read("normalized").withColumn("_input", tx.embedding_input(F.col("title"), F.col("text")))
+        return self._embed(texts, "_input").drop("_input")
+
     def relevant(self, s: StageTables) -> DataFrame:
-        posts = s.read("normalized")
-        texts = posts.withColumn("_input", tx.embedding_input(F.col("title"), F.col("text")))
-        vectors = self._embed(texts, "_input").drop("_input")
+        vectors = s.read("embedded")
         asked = self._embed(self.queries, "query")
         scores = best_query_similarity(vectors, asked, key="session_id", id_col="id", vec_col="vec")
-        scored = vectors.join(scores, ["session_id", "id"])
+        scored = cut(vectors.join(scores, ["session_id", "id"]))
         kept = rk.threshold_or_floor(scored, self.relevance_threshold, self.relevance_floor, keys=["session_id"],
                                      score="relevance_score", ordinal="ord")
         return rk.rerank(kept, self.scorer, keys=["session_id"], query="query", text="text", ordinal="ord")
 
     def selected(self, s: StageTables) -> DataFrame:
         posts = s.read("relevant")
-        groups = gr.near_duplicates(posts, self.duplicate_threshold, keys=["session_id"], id_col="id", vec_col="vec",
-                                    priority_col="engagement", ordinal_col="ord")
+        groups = cut(gr.near_duplicates(posts, self.duplicate_threshold, keys=["session_id"], id_col="id", vec_col="vec",
+                                        priority_col="engagement", ordinal_col="ord"))
         kept = gr.representatives(posts, groups, keys=["session_id"], id_col="id")
         best = kept.withColumn("_rel", F.greatest("rerank_score", "relevance_score"))
         picks = dv.diversify(best, self.mmr_k, self.mmr_lambda, keys=["session_id"], id_col="id", vec_col="vec",
@@ -76,10 +83,12 @@ class Run:
         labels = cl.density_clusters(posts, keys=["session_id"], id_col="id", vec_col="vec")
         return posts.join(labels, ["session_id", "id"])
 
+    def answered(self, s: StageTables) -> DataFrame:
+        """Replies are a stage of their own: asking is what costs, so it happens once."""
+        return self.replies(sg.cluster_prompts(s.read("clustered"), self.seeds, ordinal="pick"))
+
     def signals(self, s: StageTables) -> DataFrame:
-        posts = s.read("clustered")
-        prompts = sg.cluster_prompts(posts, self.seeds, ordinal="pick")
-        return sg.extract_signals(posts, self.replies(prompts), ordinal="pick")
+        return sg.extract_signals(s.read("clustered"), s.read("replies"), ordinal="pick")
 
     def merged(self, s: StageTables) -> DataFrame:
         signals = s.read("signals")
@@ -94,6 +103,24 @@ class Run:
     def analysis(self, s: StageTables) -> DataFrame:
         return sg.compress(s.read("scored"), self.seeds)
 
+    def payloads(self, s: StageTables) -> DataFrame:
+        return sg.synthesis_payloads(s.read("analysis"), s.read("scored"), self.min_score)
+
+    def synthesised(self, s: StageTables) -> DataFrame:
+        asked = s.read("payloads").select("session_id", F.lit(0).cast("bigint").alias("cluster_id"), F.col("payload").alias("prompt"))
+        return self.synthesis(asked)
+
+    def catchers(self, s: StageTables) -> DataFrame:
+        return sg.trend_catchers(s.read("synthesis"))
+
+    def usage(self, s: StageTables) -> DataFrame:
+        """Token rows of all stages."""
+        texts = s.read("normalized").select("session_id", tx.embedding_input(F.col("title"), F.col("text")).alias("_t")).unionByName(
+            self.queries.select("session_id", F.col("query").alias("_t")))
+        answered = {"extract_signals": s.read("replies")} | ({"synthesize": s.read("synthesis")} if self.synthesis else {})
+        return sg.run_usage(s1_relevance=sg.embedding_usage(texts, "_t"),
+                            **{n: r.filter("reply is not null").withColumn("model", F.lit("reply")) for n, r in answered.items()})
+
 
 def arrival(query_ord: Column, platform_ord: Column, pos: Column) -> Column:
     """Order in which a session's posts were found, as one number."""

@@ -25,20 +25,28 @@ def canned(prompts):
     return out
 
 
+def canned_catchers(payloads):
+    """A stand-in for the closing answer: one catcher per payload, named after its topic."""
+    return [(json.dumps({"trend_catchers": [{"trend": p.split('"topic":"', 1)[-1].split('"', 1)[0], "platform": "reddit"}]}), len(p) // 4, 20) for p in payloads]
+
+
 def run_of(t):
     posts = t.posts
     sessions = posts.select("session_id").distinct()
     queries = posts.filter("doc_id % 100 < 10").select("session_id", F.substring("title", 1, 60).alias("query"))
     return flow.Run(platforms=platform_frames(posts), queries=queries, as_of=as_of(), dims=128, relevance_threshold=0.3, duplicate_threshold=0.8,
                     mmr_k=30, merge_threshold=0.7, replies=lambda prompts: provide_replies(prompts, canned),
+                    synthesis=lambda prompts: provide_replies(prompts, canned_catchers),
                     seeds=sessions.withColumn("seed", F.concat(F.lit("topic "), F.col("session_id").cast("string"))))
 
 
 @query("run_01_analysis")
 def analysis(t):
     tables = flow.analyse(t.spark, run_of(t), fresh_folder(t, "analysis"))
-    a = tables.read("analysis")
-    return a.select("session_id", "topic", "total_evidence", "total_signals", "top_signal_score", F.array_join("sources", ",").alias("sources"),
+    catchers = tables.read("catchers").groupBy("session_id").agg(F.max("trend").alias("trend"), F.count("*").alias("catchers"))
+    tokens = tables.read("usage").groupBy("session_id").agg(F.sum("total_tokens").alias("tokens"))
+    a = tables.read("analysis").join(catchers, "session_id", "left").join(tokens, "session_id", "left")
+    return a.select("trend", "catchers", "tokens", "session_id", "topic", "total_evidence", "total_signals", "top_signal_score", F.array_join("sources", ",").alias("sources"),
                     F.size("top_pain_points").alias("pain_points"), F.size("representative_quotes").alias("quotes"))
 
 

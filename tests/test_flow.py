@@ -119,6 +119,9 @@ def test_whole_analysis(spark):
     assert picked.groupBy("session_id").count().agg(F.max("count")).first()[0] <= 30
     assert picked.select("session_id", "id").distinct().count() == picked.count() == tables.read("clustered").count()
     assert tables.run(run_of(t).stages()) == []
+    catchers = tables.read("catchers").collect()
+    assert {r.trend for r in catchers} == {f"topic {r.session_id}" for r in analysis}
+    assert {r.stage for r in tables.read("usage").select("stage").distinct().collect()} == {"s1_relevance", "extract_signals", "synthesize"}
 
 
 def test_schemas_parse(spark):
