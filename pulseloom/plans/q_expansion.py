@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from pulseloom.functions import text as tx
 from pulseloom.operators import expansion as ex
 from pulseloom.plans.q_vectors import COS, greedy_sql
 from pulseloom.plans.registry import FRAGMENTS, query

@@ -3,12 +3,11 @@
 from pyspark.sql import functions as F
 
 from pulseloom import settings
-from pulseloom.functions import text as tx
 from pulseloom.functions.scores import engagement
 from pulseloom.operators import filters as fl, normalize as nz, projections as pj
 from pulseloom.operators.ranking import top_n
 from pulseloom.plans.adapters import AS_OF_SECONDS
-from pulseloom.plans.q_text import as_of, sql_language, sql_words
+from pulseloom.plans.q_text import as_of, sql_clean, sql_language, sql_words
 from pulseloom.plans.registry import FRAGMENTS, query
 
 IDS = "select doc_id from @posts where "
@@ -241,8 +240,6 @@ def _normal_sql(base: str) -> str:
       and len({sql_words('c.text')}) >= 15 and {sql_language('c.text')} = 'en'"""
 
 
-from pulseloom.plans.q_text import sql_clean  # noqa: E402
-
 FRAGMENTS["normal"] = _normal_sql("@cleaned")
 FRAGMENTS["cleaned_repeat"] = f"select *, {sql_clean('title')} as ct, {sql_clean('body')} as cb from @posts_repeat"
 FRAGMENTS["normal_repeat"] = _normal_sql("@cleaned_repeat")

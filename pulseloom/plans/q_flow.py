@@ -10,7 +10,6 @@ from pulseloom.plans.q_filters import platform_frames
 from pulseloom.plans.q_sources import fresh_folder
 from pulseloom.plans.q_text import as_of
 from pulseloom.plans.registry import query
-from pulseloom.session import ensure_checkpoint_dir
 from pulseloom.streaming import feeds
 
 

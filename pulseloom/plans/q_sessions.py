@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from pulseloom import settings
-from pulseloom.operators import aggregates as ag, sessions as se
-from pulseloom.plans.registry import FRAGMENTS, query
+from pulseloom.operators import sessions as se
+from pulseloom.plans.registry import query
 
 
 @query("ses_01_lookup", "select id, user_id, query from @sessions where id = 77")

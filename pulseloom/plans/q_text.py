@@ -8,7 +8,6 @@ from pulseloom.plans.adapters import AS_OF_SECONDS
 from pulseloom.plans.registry import FRAGMENTS, query
 
 
-
 def as_of():
     return F.timestamp_seconds(F.lit(AS_OF_SECONDS))
 
