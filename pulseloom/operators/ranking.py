@@ -10,7 +10,8 @@ from pulseloom import settings
 def top_n(df: DataFrame, n: int, keys: list[str], order: list[Column | str], rank_col: str = "rank") -> DataFrame:
     """The first ``n`` rows of every group. Up to 1000, Spark limits groups before the shuffle."""
     window = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(rank_col, F.row_number().over(window)).filter(F.col(rank_col) <= n)
+    ranked = df.withColumn(rank_col, F.row_number().over(window)).filter(F.col(rank_col) <= n)
+    return ranked.withColumn(rank_col, F.col(rank_col).cast("bigint"))
 
 
 def harvest_rank(df: DataFrame, keys: list[str], page: str, position: str, limit: int) -> DataFrame:

@@ -346,7 +346,7 @@ def vector_search(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "
         found = corpus.sparkSession.createDataFrame([], schema)
     order = Window.partitionBy("query_id").orderBy("distance", "id")
     return (found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-            .withColumn("similarity", 1 - F.col("distance")))
+            .withColumn("rank", F.col("rank").cast("bigint")).withColumn("similarity", 1 - F.col("distance")))
 
 
 def _nearest_in_batch(shared, k: int, metric: str, id_type: T.DataType):

@@ -115,7 +115,7 @@ def own_embedder(t):
     return e.select("doc_id", F.col("vec")[0].alias("first"), F.size("vec").alias("dims"))
 
 
-@query("udf_02_replies", "select doc_id as session_id, 0 as cluster_id, upper(lang) as reply, length(lang) as prompt_tokens from documents")
+@query("udf_02_replies", "select doc_id as session_id, cast(0 as bigint) as cluster_id, upper(lang) as reply, length(lang) as prompt_tokens from documents")
 def replies(t):
     prompts = t.documents.select(F.col("doc_id").alias("session_id"), F.lit(0).cast("bigint").alias("cluster_id"), F.col("lang").alias("prompt"))
     r = provide_replies(prompts, lambda texts: [(x.upper(), len(x), 1) for x in texts])

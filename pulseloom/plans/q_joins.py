@@ -31,7 +31,7 @@ def evidence_posts(t):
     select doc_id, case when doc_id % 3 = 0 and doc_id % 2 = 0 then concat('about ', lang) else 'caption' end as caption,
            case when doc_id % 3 = 0 then n_chars else 5 end as like_count,
            case when doc_id % 3 = 0 then source else 'user' end as username,
-           case when doc_id % 3 = 0 then case when doc_id % 4 = 0 then 9 else 100 end else 9 end as taken_at,
+           cast(case when doc_id % 3 = 0 then case when doc_id % 4 = 0 then 9 else 100 end else 9 end as bigint) as taken_at,
            case when doc_id % 3 = 0 then text else '' end as transcript from documents""")
 def transcripts(t):
     d = t.documents

@@ -185,7 +185,7 @@ def catchers(t):
     return c.select("session_id", "place", "trend", "platform", "status", "metrics.views", "metrics.engagement_rate", F.array_join("evidence_ids", ",").alias("evidence"))
 
 
-@query("jsn_04_hydrate", "select doc_id as session_id, 0 as impressions, n_chars as likes, 0.0::double as engagement_rate, '' as velocity, 'mainstream' as trend_type, 'medium' as confidence from documents")
+@query("jsn_04_hydrate", "select doc_id as session_id, cast(0 as bigint) as impressions, n_chars as likes, 0.0::double as engagement_rate, '' as velocity, 'mainstream' as trend_type, 'medium' as confidence from documents")
 def hydrate(t):
     reply = F.concat(F.lit('{"trend_catchers": [{"metrics": {"impressions": null, "likes": '), F.col("n_chars").cast("string"), F.lit("}}]}"))
     c = sg.trend_catchers(t.documents.select(F.col("doc_id").alias("session_id"), reply.alias("reply")))

@@ -34,7 +34,7 @@ def collection(t):
     return doc.select("session_id", F.size("d.results").cast("bigint").alias("queries"), "d.seed")
 
 
-@query("src_02_defaults", "select concat('d', cast(doc_id as string)) as id, '' as permalink, 0 as score, false as verified from documents")
+@query("src_02_defaults", "select concat('d', cast(doc_id as string)) as id, '' as permalink, cast(0 as bigint) as score, false as verified from documents")
 def defaults(t):
     bare = t.documents.select(F.concat(F.lit("d"), c("doc_id").cast("string")).alias("id"))
     return cn.with_defaults(bare, "id string, permalink string, score bigint, verified boolean")
@@ -48,7 +48,7 @@ def flatten(t):
            "instagram": ("pk", "caption", c("like_count"))}
     out = None
     for name, (i, title, score) in ids.items():
-        part = parts[name].select("session_id", "query", "platform_ord", c(i).alias("native_id"), c(title).alias("title"), score.alias("score"))
+        part = parts[name].select("session_id", "query", c("platform_ord").cast("bigint").alias("platform_ord"), c(i).alias("native_id"), c(title).alias("title"), score.alias("score"))
         out = part if out is None else out.unionByName(part)
     return out
 
