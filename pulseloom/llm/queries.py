@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulseloom.llm import simple8b
+from pulseloom.llm import packing, simple8b
 from pulseloom.llm.common import documents
 
 
@@ -15,6 +15,10 @@ def _vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op4_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(documents(spark, sf_dir), vocabulary=_vocabulary())
+
+
 def op10_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.token_digests(documents(spark, sf_dir), _vocabulary())
 
