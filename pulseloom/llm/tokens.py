@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # what a worker remembers: the chunks it met first stay, later ones are dropped from time to time
-CHUNKS_STAY, CHUNKS_MOST = 400_000, 700_000
+CHUNKS_STAY, CHUNKS_MOST = 300_000, 550_000
 CHARS_MOST = 20_000_000
 
 
