@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pulseloom.llm import packing, simple8b
+from pulseloom.llm import packing, secret_scan, simple8b
+from pulseloom.llm.spans import written
 from pulseloom.llm.common import documents
 
 
@@ -19,6 +20,14 @@ def op4_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir), vocabulary=_vocabulary())
 
 
+def op7_trigram_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(documents(spark, sf_dir))
+    base = F.filter("spans", lambda s: s["kind"].isin("assign", "access", "hex"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(written(base), 256).alias("base_sha256"),
+                        written(F.col("spans")).alias("spans"))
+
+
 def op10_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.token_digests(documents(spark, sf_dir), _vocabulary())
 
