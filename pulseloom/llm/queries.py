@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pulseloom.llm import packing, pii, secret_scan, simple8b
+from pulseloom.llm import neardup, packing, pii, secret_scan, simple8b
 from pulseloom.llm.spans import written
 from pulseloom.llm.common import documents
 
@@ -28,6 +28,10 @@ def op7_trigram_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         written(F.col("spans")).alias("spans"))
 
 
+def op8_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir), percent=85)
+
+
 def op9_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(documents(spark, sf_dir))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
