@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pulseloom.llm import neardup, packing, pii, secret_scan, simple8b
+from pulseloom.llm import neardup, packing, pii, secret_scan, simple8b, url_filter, warc
 from pulseloom.llm.spans import written
-from pulseloom.llm.common import documents
+from pulseloom.llm.common import documents, run_folder
 
 
 def _vocabulary() -> str:
@@ -16,10 +16,21 @@ def _vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = run_folder(spark, "warc")
+    warc.write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
+    return warc.read_archive(spark, folder, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir), vocabulary=_vocabulary())
 
 
+def op6_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "template", "purity")
+
+
 def op7_trigram_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(documents(spark, sf_dir))
     base = F.filter("spans", lambda s: s["kind"].isin("assign", "access", "hex"))
