@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pulseloom.llm import neardup, packing, pii, quality, secret_scan, simple8b, url_filter, warc
+from pulseloom.llm import decontaminate, neardup, packing, pii, quality, secret_scan, simple8b, url_filter, warc
 from pulseloom.llm.spans import written
 from pulseloom.llm.common import documents, run_folder
 
@@ -32,6 +32,10 @@ def op4_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir), vocabulary=_vocabulary())
 
 
+def op5_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op6_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return judged.select("page_id", "host", "path", "rule", "verdict", "template", "purity")
