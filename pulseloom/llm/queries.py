@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pulseloom.llm import decontaminate, neardup, packing, pii, quality, secret_scan, simple8b, url_filter, warc
+from pulseloom.llm import decontaminate, fingerprints, neardup, packing, pii, quality, secret_scan, simple8b, url_filter, warc
 from pulseloom.llm.spans import written
 from pulseloom.llm.common import documents, run_folder
 
@@ -16,6 +16,10 @@ def _vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_and_next(documents(spark, sf_dir))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = run_folder(spark, "warc")
     warc.write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
