@@ -63,9 +63,20 @@ def with_blocks(prints: DataFrame) -> DataFrame:
     return prints.select("*", F.inline(F.array(*blocks)))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, *, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text",
-                 item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``doc_id, item_id, start, n_words, distance, similarity``: for each document and item the most similar window."""
+    found = matches(docs, benchmark, **options)
+    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("distance")).alias("d"), (-F.col("start")).alias("s"), "n_words")).alias("_b"))
+    return best.select("doc_id", "item_id", (-F.col("_b.s")).alias("start"), F.col("_b.n_words").alias("n_words"),
+                       (-F.col("_b.d")).alias("distance"), F.col("_b.similarity").alias("similarity"))
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, *, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text",
+                 item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """``doc_id, doc_key, item_id, start, n_words, distance, similarity``: all windows that resemble an item.
+
+    ``doc_key`` is the xxhash64 of id and text.
+    """
     items = benchmark.select(F.col(item_col).alias("item_id"), F.inline(F.array(F.struct(words_of(F.col(item_text_col).cast("string")).alias("words")))))
     items = stored(items.filter(F.size("words") > 0).select("item_id", "words", F.size("words").alias("n_words"), F.xxhash64("words").alias("item_key"))
                    .dropDuplicates(["item_id", "item_key"]), "items")
@@ -119,6 +130,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, threshold: float = TH
     similarity = F.col("_both") / (F.col("_item") + F.col("_window") - F.col("_both"))
     kind = docs.schema[id_col].dataType
     good = judged.withColumn("similarity", similarity).filter(F.col("similarity") >= threshold)
-    best = good.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("distance")).alias("d"), (-F.col("start")).alias("s"), "n_words")).alias("_b"))
-    return best.select(F.nullif("doc_id", F.lit("")).cast(kind).alias("doc_id"), "item_id", (-F.col("_b.s")).alias("start"), F.col("_b.n_words").alias("n_words"),
-                       (-F.col("_b.d")).cast("int").alias("distance"), F.col("_b.similarity").alias("similarity"))
+    return good.select(F.nullif("doc_id", F.lit("")).cast(kind).alias("doc_id"), "doc_key", "item_id", "start", "n_words", "distance", "similarity")

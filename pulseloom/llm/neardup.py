@@ -233,15 +233,16 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, *, percent: int = 80, id_col: str = "doc_id", text_col: str = "text",
                     min_depth: int = MIN_DEPTH, neighbours: int = NEIGHBOURS) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept``, a row for each row of ``docs``.
+    """``doc_id, text_key, n_shingles, component_id, kept``, a row for each row of ``docs``; ``text_key`` is the text's xxhash64.
 
-    A component is named after its smallest ``doc_id``, which is the document kept. Confirmation goes in two turns: first
+    A component is named after its smallest ``doc_id``, which is the document kept (of rows that share it, the one with the
+    smallest key; rows equal in both are one document, and all kept or none). Confirmation goes in two turns: first
     each node with its likest candidate, then the candidates that are in different components still. A pair inside one
     component changes nothing, so all candidates count, but large groups don't confirm every pair.
     """
     signed = stored(signatures(docs, id_col=id_col, text_col=text_col), "signatures")
-    some = signed.filter(F.col("node").isNotNull())
-    nodes = stored(some.groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("_first"), F.min("doc_id").alias("smallest"),
+    some = signed.filter(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
+    nodes = stored(some.groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("_first"),
                                             F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "nodes")
     pairs = stored(resembling(forest_candidates(nodes, min_depth=min_depth, neighbours=neighbours), nodes, percent), "candidates")
     # the texts of nodes that have candidates, once
@@ -257,14 +258,14 @@ def near_duplicates(docs: DataFrame, *, percent: int = 80, id_col: str = "doc_id
     open_pairs = pairs.join(of("a"), "a").join(of("b"), "b").filter("_a <> _b").select("a", "b")
     more = stored(confirmed(open_pairs, texts, percent), "links")
     groups = stored(_components(nodes, links.unionByName(more)), "groups")
-    named = groups.groupBy("component").agg(F.min("smallest").alias("component_id"))
-    joined = groups.join(named, "component").select("node", "component_id")
-    result = signed.select("doc_id", "n_shingles", "node").join(joined, "node", "left")
-    return result.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
-                         F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(True)).alias("kept"))
+    named = groups.groupBy("component").agg(F.min("_first").alias("_kept"))
+    result = signed.select("doc_id", "text_key", "n_shingles", "node").join(groups.join(named, "component").select("node", "_kept"), "node", "left")
+    own = F.struct("doc_id", "text_key")
+    return result.select("doc_id", "text_key", "n_shingles", F.coalesce("_kept.doc_id", "doc_id").alias("component_id"),
+                         (F.col("_kept").isNull() | F.col("doc_id").isNull() | (own == F.col("_kept"))).alias("kept"))
 
 
 def _components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     edges = links.select(F.col("a").alias("src"), F.col("b").alias("dst"))
     found = connected_components(nodes, edges, keys=[], id_col="node")
-    return nodes.select("node", "smallest").join(found, "node").select("node", "smallest", "component")
+    return nodes.select("node", "_first").join(found, "node").select("node", "_first", "component")

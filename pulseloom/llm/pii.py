@@ -102,7 +102,10 @@ def discovered(met: DataFrame, *, rounds: int = ROUNDS, min_seeds: int = MIN_SEE
 
 
 def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **learning) -> DataFrame:
-    """``<id>, base, spans``: the fixed forms of each row, and all its spans (``kind, start, end, value``)."""
+    """``<id>, text_key, base, spans``: the fixed forms of each row, and all its spans (``kind, start, end, value``).
+
+    ``text_key`` is the xxhash64 of id and text.
+    """
     text = F.col(text_col).cast("string")
     scanned = stored(docs.select(F.col(id_col).alias("_id"), F.xxhash64(id_col, text_col).alias("_key"), base_spans(text).alias("base"),
                                  instances(text).alias("_met")), "scanned")
@@ -117,7 +120,7 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **l
     more = more.withColumnRenamed("_key", "_k")
     both = rows.join(more, (F.col("_key") == F.col("_k")) & F.col("_id").eqNullSafe(F.col("_other")), "left")
     empty = F.expr("cast(array() as array<struct<kind:string,start:int,end:int,value:string>>)")
-    return both.select(F.col("_id").alias(id_col), "base", F.concat("base", F.coalesce("_more", empty)).alias("spans"))
+    return both.select(F.col("_id").alias(id_col), F.col("_key").alias("text_key"), "base", F.concat("base", F.coalesce("_more", empty)).alias("spans"))
 
 
 def redacted(text: Column, spans: Column) -> Column:

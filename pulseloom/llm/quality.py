@@ -88,7 +88,7 @@ def _tight(path: tuple[Condition, ...]) -> tuple[Condition, ...]:
     return tuple(sorted((name, over, bound) for (name, over), bound in bounds.items()))
 
 
-def fit(labelled: DataFrame, *, label_col: str = "label", sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text",
+def fit(labelled: DataFrame, *, label_col: str = "label", text_col: str = "text",
         lasso: float = LASSO) -> RuleModel:
     """A model of ``label`` (0 or 1) from ``id, text, label`` rows."""
     rows = stored(statistics(labelled, [F.col(label_col).cast("double").alias("label")], text_col), "statistics").coalesce(4)
@@ -124,9 +124,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, *, label_col: str, sampl
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col)).join(F.broadcast(chosen), "_id")
 
 
-def scored(docs: DataFrame, model: RuleModel, keep: list[str], text_col: str = "text") -> DataFrame:
-    """``keep`` and ``score`` of every row."""
-    return statistics(docs, keep, text_col).select(*keep, model.score().alias("score"))
+def scored(docs: DataFrame, model: RuleModel, keep: list[str], text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """``keep`` and the score of every row. The columns to keep may be named like statistics."""
+    rows = docs.select(F.struct(*keep).alias("_row"), F.col(text_col).alias("_text"))
+    return statistics(rows, ["_row"], "_text").select("_row.*", model.score().alias(score_col))
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -54,7 +54,7 @@ def op7_trigram_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(documents(spark, sf_dir), percent=85)
+    return neardup.near_duplicates(documents(spark, sf_dir), percent=85).drop("text_key")
 
 
 def op9_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,8 +69,9 @@ def op10_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    import corpus_pipeline
     own = {name: build for name, build in globals().items() if name.startswith("op") and name[2].isdigit()}
-    return own
+    return own | {"pipeline": corpus_pipeline.run}
 
 
 SQL: dict[str, str] = {}
