@@ -6,7 +6,8 @@ column expression: a weighted sum of rules behind a sigmoid. Scoring a corpus is
 
 The model is fitted on at most ``SAMPLE`` labelled rows, taken in the order of a hash of their ids; labels, ids and other
 columns are never inputs of a score. Null and empty texts have a score like any other (all their statistics are zero).
-Labels that are null, or whose row has no document, are left out; if only one class is left the score is that share.
+Labels that are null, or whose row has no document, are left out; if only one class is left the score is that share, and
+``UNLABELLED`` if there are none.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ SAMPLE = 20_000
 TREES, TREE_DEPTH, MIN_LEAF = 12, 4, 10
 LASSO = 0.002
 THRESHOLD = 0.7
+UNLABELLED = 0.95  # the score of every text where nothing is labelled: nothing is known against any
 # fixed values: the characters that each share counts
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÄÇÈÉÊËÍÑÓÔÖÚÛÜ"
 _SYMBOLS = "#$%&*+<=>@[]\\^_`{}~|"
@@ -95,7 +97,7 @@ def fit(labelled: DataFrame, *, label_col: str = "label", text_col: str = "text"
     shares = rows.agg(F.count("*"), F.sum("label")).first()
     count, ones = shares[0], shares[1] or 0.0
     if ones in (0, count):
-        share = (ones + 0.5) / (count + 1)
+        share = (ones + 0.5) / (count + 1) if count else UNLABELLED
         return RuleModel(_logit(share), ())
     vectors = VectorAssembler(inputCols=STATISTICS, outputCol="features").transform(rows).select("label", "features")
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=TREE_DEPTH, minInstancesPerNode=MIN_LEAF, subsamplingRate=0.7,
