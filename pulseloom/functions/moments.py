@@ -14,6 +14,9 @@ UNIT_SECONDS = {
     "month": 2592000, "mo": 2592000,
     "year": 31536000, "y": 31536000, "yr": 31536000,
 }
+# moments that can be shown: from year 1 to year 9999
+EARLIEST_MICROS = -62135596800 * 1000000
+LATEST_SECONDS = 62135596800
 # Fixed value: pattern of a relative age.
 AGO = r"(?U)(\d+)\s*(second|minute|hour|day|week|month|year|mo|d|h|m|s|y|yr)s?\s+ago"
 
@@ -26,7 +29,8 @@ def from_relative(text: Column, as_of: Column) -> Column:
     seconds = F.lit(None).cast("bigint")
     for name, value in UNIT_SECONDS.items():
         seconds = F.when(unit == name, F.lit(value).cast("bigint")).otherwise(seconds)
-    return F.timestamp_micros(F.unix_micros(as_of) - amount * seconds * 1000000)
+    micros = F.try_subtract(F.unix_micros(as_of), F.try_multiply(F.try_multiply(amount, seconds), F.lit(1000000).cast("bigint")))
+    return F.when(micros >= EARLIEST_MICROS, F.timestamp_micros(micros))
 
 
 def from_iso(text: Column) -> Column:
@@ -39,8 +43,9 @@ def from_iso(text: Column) -> Column:
 
 
 def from_epoch_seconds(seconds: Column, as_of: Column) -> Column:
-    """Zero counts as missing."""
-    return F.when(F.coalesce(seconds, F.lit(0)) == 0, as_of).otherwise(F.timestamp_seconds(seconds))
+    """Zero counts as missing, and so does what no calendar holds."""
+    valid = (seconds != 0) & F.abs(seconds.cast("double")).between(0, LATEST_SECONDS)
+    return F.coalesce(F.when(valid, F.timestamp_seconds(seconds)), as_of)
 
 
 def parse_moment(text: Column, as_of: Column) -> Column:

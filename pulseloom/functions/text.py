@@ -131,9 +131,11 @@ def token_estimate(text: Column) -> Column:
     return F.floor(F.length(text) / 4).cast("bigint")
 
 
-def embedding_input(title: Column, text: Column, limit: int = settings.EMBED_TEXT_CHARS) -> Column:
+def embedding_input(title: Column, text: Column, limit: int | None = None) -> Column:
+    """Title and text for an embedder; ``limit`` cuts them for one that takes no more characters."""
     has_title = F.coalesce(title, F.lit("")) != ""
-    return F.substring(F.when(has_title, F.concat_ws("\n", title, text)).otherwise(text), 1, limit)
+    whole = F.when(has_title, F.concat_ws("\n", title, text)).otherwise(text)
+    return whole if limit is None else F.substring(whole, 1, limit)
 
 
 def post_line(index: Column, source: Column, subreddit: Column, channel: Column, score: Column,

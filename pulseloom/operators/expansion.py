@@ -35,14 +35,18 @@ def trends_suggestions(related: DataFrame) -> DataFrame:
 
 
 def expand_breadth(seeds: DataFrame, suggestions: DataFrame, depth: int = 1) -> DataFrame:
-    """Suggestions of suggestions, ``depth`` (1 to 3) levels deep, each text once per session.
+    """Suggestions of suggestions, ``depth`` levels deep, each text once per session.
 
     ``seeds``: session_id, query. ``suggestions``: query, pos, suggestion. Result: session_id, query, level, path, where
     ``path`` (positions from the seed down) orders the finds.
     """
-    depth = min(max(depth, 1), 3)
+    if depth < 1:
+        raise ValueError("depth must be at least 1")
     table = suggestions.select(F.lower("query").alias("_key"), F.col("pos").cast("int").alias("_pos"), "suggestion").filter(
         (F.coalesce("suggestion", F.lit("")) != "") & (F.lower("suggestion") != F.col("_key")))
+    # of a suggestion that comes again, only the first place can be kept
+    table = table.groupBy("_key", F.lower("suggestion").alias("_low")).agg(F.min(F.struct("_pos", "suggestion")).alias("_s")).select(
+        "_key", "_s._pos", "_s.suggestion")
     frontier = seeds.select("session_id", F.lower("query").alias("_key"), F.array().cast("array<int>").alias("path"))
     seen = None
     for level in range(1, depth + 1):

@@ -66,26 +66,40 @@ def with_all_tags(tags: list[str], column: str = "tags") -> Column:
     return reduce(lambda a, b: a & b, [F.array_contains(column, t) for t in tags], F.lit(True))
 
 
+def preset_test(name: str, query: str | None = None, attributes: list[str] | None = None,
+                points: str = "points", comments: str = "comments") -> Column:
+    """A preset as a condition, so that several can be told in one pass."""
+    tag, least_points, least_comments, _ = PRESETS[name]
+    test = with_all_tags([tag])
+    for column, least in ((points, least_points), (comments, least_comments)):
+        if least is not None:
+            test = test & (F.col(column) >= least)
+    return test & text_query(query, attributes or ["title"]) if query else test
+
+
 def preset(df: DataFrame, name: str, query: str | None = None, attributes: list[str] | None = None,
            points: str = "points", comments: str = "comments", created: str = "created_s", id_col: str = "id") -> DataFrame:
-    tag, least_points, least_comments, newest = PRESETS[name]
-    df = within(within(df.filter(with_all_tags([tag])), points, least_points), comments, least_comments)
-    if query:
-        df = df.filter(text_query(query, attributes or ["title"]))
-    return df.orderBy(F.desc(created), id_col) if newest else df
+    kept = df.filter(preset_test(name, query, attributes, points, comments))
+    return kept.orderBy(F.desc(created), id_col) if PRESETS[name][3] else kept
 
 
-def sort_posts(df: DataFrame, mode: str, id_col: str = "id") -> DataFrame:
+def sort_order(mode: str, id_col: str = "id") -> list[Column]:
     """Modes relevance, hot, top, new (or date) and comments; ties go to the smaller id."""
     column = {"relevance": "relevance_score", "hot": "engagement", "top": "score", "new": "created_s",
               "date": "created_s", "comments": "comments"}[mode]
-    return df.orderBy(F.desc(column), id_col)
+    return [F.desc(column), F.col(id_col)]
+
+
+def sort_posts(df: DataFrame, mode: str, id_col: str = "id") -> DataFrame:
+    return df.orderBy(*sort_order(mode, id_col))
+
+
+def in_window(window: str, as_of_s: int, column: str = "created_s") -> Column:
+    return F.lit(True) if window == "all" else F.col(column) >= as_of_s - WINDOW_SECONDS[window]
 
 
 def recent(df: DataFrame, window: str, as_of_s: int, column: str = "created_s") -> DataFrame:
-    if window == "all":
-        return df
-    return df.filter(F.col(column) >= as_of_s - WINDOW_SECONDS[window])
+    return df.filter(in_window(window, as_of_s, column))
 
 
 def duration_bucket(duration: Column) -> Column:

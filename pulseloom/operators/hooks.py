@@ -16,15 +16,22 @@ REPLY = "session_id {key}, cluster_id bigint, reply string, prompt_tokens bigint
 
 def provide_replies(prompts: DataFrame, provider: Callable[[list[str]], list[tuple[str | None, int, int]]]) -> DataFrame:
     """Ask ``provider`` for a reply to every prompt, a batch at a time; per prompt it gives (reply, prompt tokens, output
-    tokens). A batch it fails on has no replies, which downstream stages treat as failed calls."""
+    tokens). A batch it fails on is asked again prompt by prompt: only those it fails on then have no reply, which
+    downstream stages treat as failed calls."""
     key = prompts.schema["session_id"].dataType.simpleString()
 
+    def asked(texts: list[str]) -> list[tuple[str | None, int, int]]:
+        try:
+            answers = list(provider(texts))
+            if len(answers) == len(texts):
+                return answers
+        except Exception:  # noqa: BLE001 - one bad prompt must not fail the job
+            pass
+        return [(None, 0, 0)] if len(texts) == 1 else [answer for text in texts for answer in asked([text])]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            try:
-                answers = provider(batch["prompt"].tolist())
-            except Exception:  # noqa: BLE001 - one bad batch must not fail the job
-                answers = [(None, 0, 0)] * len(batch)
+            answers = asked(batch["prompt"].tolist()) if len(batch) else []
             replies = pd.DataFrame(answers, columns=["reply", "prompt_tokens", "output_tokens"], index=batch.index)
             yield pd.concat([batch[["session_id", "cluster_id"]], replies], axis=1)
 
@@ -32,17 +39,18 @@ def provide_replies(prompts: DataFrame, provider: Callable[[list[str]], list[tup
 
 
 def parse_pages(pages: DataFrame, parser: Callable[[str], Iterator[dict]], schema: str, keys: list[str], html: str = "html") -> DataFrame:
-    """Rows that ``parser`` finds in each page; a page it fails on gives none. ``schema`` describes keys and rows."""
+    """Rows that ``parser`` finds in each page. ``schema`` describes keys and rows; if it has a column ``error``, a page that
+    the parser fails on gives a row with its keys and the error, else none."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = [part.strip().split(" ")[0] for part in schema.split(",")]
         for batch in batches:
             rows = []
             for *key, text in batch[keys + [html]].itertuples(index=False):
                 try:
                     found = list(parser(text or ""))
-                except Exception:  # noqa: BLE001
-                    found = []
+                except Exception as failure:  # noqa: BLE001
+                    found = [{"error": f"{type(failure).__name__}: {failure}"}] if "error" in columns else []
                 rows += [{**dict(zip(keys, key)), **row} for row in found]
-            columns = [part.strip().split(" ")[0] for part in schema.split(",")]
             yield pd.DataFrame(rows, columns=columns)
 
     return pages.select(*keys, html).mapInPandas(run, schema)

@@ -14,6 +14,11 @@ def top_n(df: DataFrame, n: int, keys: list[str], order: list[Column | str], ran
     return ranked.withColumn(rank_col, F.col(rank_col).cast("bigint"))
 
 
+def placed(df: DataFrame, keys: list[str], order: list[Column | str], rank_col: str = "rank") -> DataFrame:
+    """Every row with its place in its group."""
+    return df.withColumn(rank_col, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
+
+
 def harvest_rank(df: DataFrame, keys: list[str], page: str, position: str, limit: int) -> DataFrame:
     """One rank running over the pages of a query, up to the limit."""
     return top_n(df, limit, keys, [page, position])

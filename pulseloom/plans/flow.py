@@ -42,6 +42,7 @@ class Run:
     scorer: object = None
     synthesis: Callable[[DataFrame], DataFrame] | None = None
     min_score: float = 0.0
+    embed_chars: int | None = None  # for an embedder that takes no longer texts
 
     def stages(self) -> dict[str, Callable[[StageTables], DataFrame]]:
         return {"normalized": self.normalized, "embedded": self.embedded, "relevant": self.relevant, "selected": self.selected, "clustered": self.clustered,
@@ -56,7 +57,7 @@ class Run:
         return nz.normalize(self.platforms, self.as_of).withColumn("ord", arrival(F.col("query_ord"), F.col("platform_ord"), F.col("pos")))
 
     def embedded(self, s: StageTables) -> DataFrame:
-        texts = s.read("normalized").withColumn("_input", tx.embedding_input(F.col("title"), F.col("text")))
+        texts = s.read("normalized").withColumn("_input", tx.embedding_input(F.col("title"), F.col("text"), self.embed_chars))
         return self._embed(texts, "_input").drop("_input")
 
     def relevant(self, s: StageTables) -> DataFrame:
@@ -115,7 +116,7 @@ class Run:
 
     def usage(self, s: StageTables) -> DataFrame:
         """Token rows of all stages."""
-        texts = s.read("normalized").select("session_id", tx.embedding_input(F.col("title"), F.col("text")).alias("_t")).unionByName(
+        texts = s.read("normalized").select("session_id", tx.embedding_input(F.col("title"), F.col("text"), self.embed_chars).alias("_t")).unionByName(
             self.queries.select("session_id", F.col("query").alias("_t")))
         answered = {"extract_signals": s.read("replies")} | ({"synthesize": s.read("synthesis")} if self.synthesis else {})
         return sg.run_usage(s1_relevance=sg.embedding_usage(texts, "_t"),
@@ -130,5 +131,5 @@ def arrival(query_ord: Column, platform_ord: Column, pos: Column) -> Column:
 def analyse(spark: SparkSession, run: Run, folder: str, start: str | None = None, end: str | None = None) -> StageTables:
     """Run the stages into ``folder``, which all executors share, resuming after the last finished one."""
     tables = StageTables(spark, folder)
-    tables.run(run.stages(), start, end)
+    tables.run(run.stages(), start, end, stop_when_empty=("normalized", "relevant"))
     return tables

@@ -1,6 +1,6 @@
 """Queries: filters, projections, per-platform normalisation."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from pulseloom import settings
 from pulseloom.functions.scores import engagement
@@ -72,43 +72,32 @@ def all_tags(t):
     union all select 'latest', doc_id from @tagged where list_contains(tags, 'story')
     union all select 'high_engagement', doc_id from @tagged where list_contains(tags, 'story') and score >= 100 and comments >= 50""")
 def presets(t):
-    parts = []
-    for name in fl.PRESETS:
-        q = None if name in ("latest", "high_engagement") else "the"
-        parts.append(fl.preset(tagged(t), name, q, points="score", id_col="doc_id").select(F.lit(name).alias("preset"), "doc_id"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    tests = {name: fl.preset_test(name, None if name in ("latest", "high_engagement") else "the", points="score") for name in fl.PRESETS}
+    named = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in tests.items()]))
+    return tagged(t).select(F.explode(named).alias("preset"), "doc_id")
 
 
+MODES = {"relevance": "(score * 31 + comments) % 1009", "hot": "engagement", "top": "score", "new": "created_s", "date": "created_s", "comments": "comments"}
 SORTED = " union all ".join(
-    f"select '{m}' as mode, doc_id, rank from (select doc_id, row_number() over (order by {c} desc, doc_id) as rank from @engagement) where rank <= 25"
-    for m, c in (("hot", "engagement"), ("top", "score"), ("new", "created_s"), ("comments", "comments")))
+    f"select '{m}' as mode, session_id, doc_id, row_number() over (partition by session_id order by {c} desc, doc_id) as rank from @engagement" for m, c in MODES.items())
 
 
 @query("flt_09_sort_modes", SORTED)
 def sort_modes(t):
     c = F.col
     posts = t.posts.withColumn("engagement", engagement(c("platform"), c("score"), c("comments"), F.timestamp_seconds("created_s"), as_of()))
-    out = None
-    for mode in ("hot", "top", "new", "comments"):
-        # a sorted limit keeps 25 rows per task; only those are ranked
-        best = fl.sort_posts(posts, mode, "doc_id").limit(25)
-        column = {"hot": "engagement", "top": "score", "new": "created_s", "comments": "comments"}[mode]
-        part = top_n(best.withColumn("mode", F.lit(mode)), 25, ["mode"], [F.desc(column), F.col("doc_id")]).select("mode", "doc_id", "rank")
-        out = part if out is None else out.unionByName(part)
-    return out
+    posts = posts.withColumn("relevance_score", F.expr(MODES["relevance"]))
+    ranks = [F.struct(F.lit(m).alias("mode"), F.row_number().over(Window.partitionBy("session_id").orderBy(*fl.sort_order(m, "doc_id"))).cast("bigint").alias("rank"))
+             for m in MODES]
+    return posts.select("session_id", "doc_id", F.array(*ranks).alias("_r")).select("session_id", "doc_id", F.inline("_r"))
 
 
 @query("flt_10_windows", " union all ".join(f"select '{w}' as win, count(*) as n from @posts where created_s >= {AS_OF_SECONDS - s}" for w, s in fl.WINDOW_SECONDS.items())
        + " union all select 'all', count(*) from @posts")
 def windows(t):
-    out = None
-    for w in [*fl.WINDOW_SECONDS, "all"]:
-        part = fl.recent(t.posts, w, AS_OF_SECONDS).agg(F.count("*").alias("n")).select(F.lit(w).alias("win"), "n")
-        out = part if out is None else out.unionByName(part)
-    return out
+    names = [*fl.WINDOW_SECONDS, "all"]
+    counts = t.posts.agg(*[F.count_if(fl.in_window(w, AS_OF_SECONDS)).alias(w) for w in names])
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(w).alias("win"), F.col(f"`{w}`").alias("n")) for w in names])))
 
 
 @query("flt_11_duration", """select doc_id, n_chars as seconds, case when n_chars < 240 then 'Under 4 minutes' when n_chars <= 1200 then '4 - 20 minutes' else 'Over 20 minutes' end as bucket from documents""")

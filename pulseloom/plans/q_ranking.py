@@ -84,9 +84,9 @@ def rerank(t):
 
 
 @query("rnk_08_run_listing", """
-    select session_id, id, rank from (select session_id, id, row_number() over (partition by session_id order by started_at, id) as rank from @runs) where rank <= 3""")
+    select session_id, id, row_number() over (partition by session_id order by started_at, id) as rank from @runs""")
 def run_listing(t):
-    return rk.top_n(t.runs, 3, ["session_id"], ["started_at", "id"]).select("session_id", "id", "rank")
+    return rk.placed(t.runs, ["session_id"], ["started_at", "id"]).select("session_id", "id", "rank")
 
 
 @query("rnk_09_latest", """

@@ -58,11 +58,10 @@ def summary(t):
     return joined.na.fill(0)
 
 
-@query("ses_07_transcripts", "select conv_id, turn, rank from (select conv_id, turn, row_number() over (order by conv_id desc, turn desc) as rank from conversations where role = 'assistant') where rank <= 50")
+@query("ses_07_transcripts", "select conv_id, turn, row_number() over (partition by conv_id order by turn desc) as rank from conversations where role = 'assistant'")
 def transcripts(t):
-    from pulseloom.operators.ranking import top_n
-    newest = t.conversations.filter("role = 'assistant'").orderBy(F.desc("conv_id"), F.desc("turn")).limit(50)
-    return top_n(newest.withColumn("_all", F.lit(0)), 50, ["_all"], [F.desc("conv_id"), F.desc("turn")]).select("conv_id", "turn", "rank")
+    from pulseloom.operators.ranking import placed
+    return placed(t.conversations.filter("role = 'assistant'"), ["conv_id"], [F.desc("turn")]).select("conv_id", "turn", "rank")
 
 
 @query("ses_08_usage_events", """

@@ -7,10 +7,10 @@ from pulseloom.operators import sets as st
 from pulseloom.plans.registry import query
 
 
-@query("set_01_ordered_union", "select query, 0 as part_ord, ord from @candidates where source = 'llm' union all select query, 1, ord from @candidates where source = 'trends'")
+@query("set_01_ordered_union", "select query, 0 as part_ord, ord from @candidates where source = 'llm' union all select query, 1, ord from @candidates where source = 'trends' union all select query, 2, ord from @candidates where source = 'autocomplete'")
 def ordered_union(t):
     c = t.candidates.select("query", "ord", "source")
-    return st.ordered_union(c.filter("source = 'llm'"), c.filter("source = 'trends'")).select("query", "part_ord", "ord")
+    return st.ordered_union(c.filter("source = 'llm'"), c.filter("source = 'trends'"), c.filter("source = 'autocomplete'")).select("query", "part_ord", "ord")
 
 
 @query("set_02_first_ignoring_case", "select session_id, min(ord) as ord from @candidates group by session_id, lower(query)")

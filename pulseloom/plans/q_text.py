@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F, types as T
 
+from pulseloom import settings
 from pulseloom.functions import documents as js, moments as mo, scores as sc, text as tx
 from pulseloom.functions.language import FUNCTION_WORDS, detect_language
 from pulseloom.plans.adapters import AS_OF_SECONDS
@@ -130,7 +131,7 @@ def token_estimate(t):
 @query("txt_16_embedding_input", "select doc_id, substring(case when doc_id % 3 <> 0 then concat(title, chr(10), body) else body end, 1, 7000) as input from @posts")
 def embedding_input(t):
     title = F.when(F.col("doc_id") % 3 != 0, F.col("title"))
-    return t.posts.select("doc_id", tx.embedding_input(title, F.col("body")).alias("input"))
+    return t.posts.select("doc_id", tx.embedding_input(title, F.col("body"), settings.EMBED_TEXT_CHARS).alias("input"))
 
 
 @query("txt_17_post_line", """

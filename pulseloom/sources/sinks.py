@@ -40,8 +40,15 @@ class StageTables:
     def read(self, stage: str) -> DataFrame:
         return self.spark.read.parquet(self.path(stage))
 
-    def run(self, stages: dict[str, Callable[["StageTables"], DataFrame]], start: str | None = None, end: str | None = None) -> list[str]:
-        """Build the stages from ``start`` (default: the first unfinished) to ``end``; stop early at an empty result.
+    def forget(self, stage: str) -> None:
+        """Takes a stage for unfinished from now on."""
+        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(stage) + "/_SUCCESS")
+        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, False)
+
+    def run(self, stages: dict[str, Callable[["StageTables"], DataFrame]], start: str | None = None, end: str | None = None,
+            stop_when_empty: tuple[str, ...] = ()) -> list[str]:
+        """Build the stages from ``start`` (default: the first unfinished) to ``end``, but no more after an empty result of
+        one of ``stop_when_empty``. Stages after a rebuilt one count as unfinished until they are built again.
 
         Returns the stages that were built.
         """
@@ -49,10 +56,12 @@ class StageTables:
         first = names.index(start) if start else next((i for i, n in enumerate(names) if not self.done(n)), len(names))
         last = names.index(end) if end else len(names) - 1
         built = []
+        for name in names[first:]:
+            self.forget(name)
         for name in names[first:last + 1]:
             stages[name](self).write.mode("overwrite").parquet(self.path(name))
             built.append(name)
-            if self.read(name).limit(1).count() == 0:
+            if name in stop_when_empty and self.read(name).limit(1).count() == 0:
                 break
         return built
 
