@@ -4,15 +4,12 @@ Vectors are compared in *blocks*: every group (a session, say) is laid out as bl
 multiplies two blocks with numpy, and a task emits only what its kernel reduces the products to - the pairs over a
 threshold, the best partner of each row, a spanning forest - never all pairs of a group.
 
-Groups larger than one block are first cut into *cells* around pivots. For unit vectors, ``cos >= t`` means a
-Euclidean distance of at most ``r = sqrt(2 - 2t)``, so a vector can only have partners across the border of its
-cell when it lies within ``r`` of the plane halfway between the two pivots. Only those vectors are copied to
-the other cell. The bound is exact: no partner is lost, and cells that are far apart are never compared.
+A group larger than one block is compared as a triangle of block pairs, each a task of its own: exact whatever the
+vectors are, and a group of any size is spread over the cluster.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 import numpy as np
@@ -61,74 +58,13 @@ def any_large(sizes: DataFrame, block_rows: int) -> bool:
     return sizes.filter(F.col("_rows") > block_rows).limit(1).count() > 0
 
 
-def _pivot_cells(df: DataFrame, keys: list[str], threshold: float, block_rows: int) -> DataFrame:
-    """Give every row its home cell, and copy it to the lower-numbered cells it may have partners in."""
-    radius = math.sqrt(max(0.0, 2.0 - 2.0 * threshold)) + 1e-9
-    counted = df.join(group_sizes(df, keys).withColumnRenamed("_rows", "_n"), keys)
-    pivots_wanted = F.least(F.ceil(F.sqrt("_n")), F.lit(settings.MMR_POOL_ROWS))
-    order = Window.partitionBy(*keys).orderBy("_rank", "_id")
-    pivots = (
-        counted.withColumn("_rank", F.xxhash64("_id"))
-        .withColumn("_pivot", F.row_number().over(order))
-        .filter(F.col("_pivot") <= settings.MMR_POOL_ROWS)
-        .filter(F.col("_pivot") <= pivots_wanted)
-        .select(*keys, "_n", F.col("_pivot").cast("int").alias("_pivot"), F.col("_vec").alias("_pvec"))
-    )
-    chunks = F.ceil(F.col("_n") / F.lit(4 * block_rows)).cast("int")
-    rows = counted.withColumn("_chunk", F.pmod(F.xxhash64("_id"), chunks).cast("int"))
-    spread = pivots.withColumn("_chunk", F.explode(F.sequence(F.lit(0), chunks - 1))).drop("_n")
-    out = T.StructType(df.schema.fields + [T.StructField("_cell", T.IntegerType()),
-                                           T.StructField("_home", T.BooleanType())])
-    names = df.columns
-
-    def assign(left: pa.Table, right: pa.Table) -> pa.Table:
-        if left.num_rows == 0:
-            return nothing(left)
-        right = right.sort_by("_pivot")
-        rows_, piv = unit_rows(matrix(left["_vec"])), unit_rows(matrix(right["_pvec"]))
-        cos = rows_ @ piv.T
-        home = cos.argmax(axis=1)
-        gap = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (piv @ piv.T)))
-        # distance to the halfway plane between pivots h and p is (cos_h - cos_p) / |h - p|
-        reach = (cos[np.arange(len(home)), home][:, None] - cos) <= radius * gap[home] + 1e-12
-        reach &= np.arange(piv.shape[0])[None, :] < home[:, None]
-        copy_row, copy_cell = np.nonzero(reach)
-        take = np.concatenate([np.arange(len(home)), copy_row])
-        table = left.select(names).take(pa.array(take))
-        table = table.append_column("_cell", pa.array(np.concatenate([home, copy_cell]).astype(np.int32)))
-        flags = np.concatenate([np.ones(len(home), bool), np.zeros(len(copy_row), bool)])
-        return table.append_column("_home", pa.array(flags))
-
-    def nothing(left: pa.Table) -> pa.Table:
-        table = left.select(names)
-        return table.append_column("_cell", pa.array([], pa.int32())).append_column("_home", pa.array([], pa.bool_()))
-
-    grouped = rows.groupBy(*keys, "_chunk").cogroup(apart(spread).groupBy(*keys, "_chunk"))
-    return grouped.applyInArrow(assign, out)
-
-
-def _block_tasks(cells: DataFrame, keys: list[str], block_rows: int) -> DataFrame:
-    """Repeat each row once for every pair of blocks it takes part in.
-
-    Task (a, b) compares home blocks a <= b of a cell; task (a, -1 - r) compares home block a with copied block r.
-    """
-    blocks = lambda n: F.greatest(F.ceil(n / F.lit(block_rows)), F.lit(1)).cast("int")
-    sizes = cells.groupBy(*keys, "_cell").agg(F.count_if("_home").alias("_nh"), F.count_if(~F.col("_home")).alias("_nc"))
-    df = cells.join(sizes, keys + ["_cell"]).filter(F.col("_home") | (F.col("_nh") > 0))
-    hb, cb = blocks(F.col("_nh")), F.ceil(F.col("_nc") / F.lit(block_rows)).cast("int")
-    df = df.withColumn("_block", F.when(F.col("_home"), F.pmod(F.xxhash64("_id", F.lit(1)), hb))
-                       .otherwise(F.pmod(F.xxhash64("_id", F.lit(1)), F.greatest(cb, F.lit(1)))).cast("int"))
+def _block_tasks(df: DataFrame, keys: list[str], block_rows: int) -> DataFrame:
+    """Repeat each row once for every pair of blocks it takes part in; task (a, b) compares blocks a <= b of a group."""
+    blocks = F.ceil(F.col("_rows") / F.lit(block_rows)).cast("int")
+    placed = df.withColumn("_block", F.pmod(F.xxhash64("_id", F.lit(1)), blocks).cast("int"))
     block = F.col("_block")
-    among_home = F.transform(F.sequence(F.lit(0), hb - 1),
-                             lambda j: F.struct(F.least(block, j).alias("a"), F.greatest(block, j).alias("b")))
-    with_copies = F.transform(F.when(cb > 0, F.sequence(F.lit(0), cb - 1)).otherwise(F.array().cast("array<int>")),
-                              lambda r: F.struct(block.alias("a"), (F.lit(-1) - r).alias("b")))
-    for_copy = F.transform(F.sequence(F.lit(0), hb - 1),
-                           lambda a: F.struct(a.alias("a"), (F.lit(-1) - block).alias("b")))
-    tasks = F.when(F.col("_home"), F.concat(among_home, with_copies)).otherwise(for_copy)
-    return df.withColumn("_task", F.explode(tasks)).select(
-        *keys, "_cell", F.col("_task.a").alias("_a"), F.col("_task.b").alias("_b"), "_block", "_home",
-        *[c for c in cells.columns if c not in keys + ["_cell", "_home"]])
+    tasks = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(block, j).alias("a"), F.greatest(block, j).alias("b")))
+    return placed.withColumn("_task", F.explode(tasks)).withColumn("_a", F.col("_task.a")).withColumn("_b", F.col("_task.b")).drop("_task", "_rows")
 
 
 def compare_blocks(df: DataFrame, keys: list[str], kernel: Kernel, schema: str | T.StructType, threshold: float,
@@ -143,27 +79,25 @@ def compare_blocks(df: DataFrame, keys: list[str], kernel: Kernel, schema: str |
     keys = keys + ["_dim"]
     sizes = group_sizes(df, keys)
     has_large = any_large(sizes, block_rows)
-    whole = lambda d: d.withColumn("_cell", F.lit(0)).withColumn("_home", F.lit(True)) \
-        .withColumn("_a", F.lit(0)).withColumn("_b", F.lit(0)).withColumn("_block", F.lit(0))
+    whole = lambda d: d.withColumn("_block", F.lit(0)).withColumn("_a", F.lit(0)).withColumn("_b", F.lit(0))
     if has_large:
         tagged = df.join(sizes, keys)
-        small = whole(tagged.filter(F.col("_rows") <= block_rows).drop("_rows"))
-        large = _pivot_cells(tagged.filter(F.col("_rows") > block_rows).drop("_rows"), keys, threshold, block_rows)
-        tasks = small.unionByName(_block_tasks(large, keys, block_rows))
+        tasks = whole(tagged.filter(F.col("_rows") <= block_rows).drop("_rows")).unionByName(
+            _block_tasks(tagged.filter(F.col("_rows") > block_rows), keys, block_rows))
     else:
         tasks = whole(df)
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("_id")
         a, b = table["_a"][0].as_py(), table["_b"][0].as_py()
-        home, block = table["_home"].to_numpy(), table["_block"].to_numpy()
+        block = table["_block"].to_numpy()
         vectors = unit_rows(matrix(table["_vec"]))
-        left = np.nonzero(home & (block == a))[0]
-        right = left if a == b else np.nonzero(home & (block == b) if b >= 0 else ~home & (block == -1 - b))[0]
+        left = np.nonzero(block == a)[0]
+        right = left if a == b else np.nonzero(block == b)[0]
         sims = vectors[left] @ vectors[right].T
         return kernel(table.take(pa.array(left)), table.take(pa.array(right)), sims, a == b)
 
-    return tasks.groupBy(*keys, "_cell", "_a", "_b").applyInArrow(run, schema)
+    return tasks.groupBy(*keys, "_a", "_b").applyInArrow(run, schema)
 
 
 def _prepared(df: DataFrame, keys: list[str], id_col: str, vec_col: str, **extra: Column | str) -> DataFrame:
@@ -194,6 +128,23 @@ def similar_pairs(df: DataFrame, threshold: float, *, keys: list[str], id_col: s
     return found.select(*keys, F.least(a, b).alias("id_a"), F.greatest(a, b).alias("id_b"), "sim")
 
 
+def best_partner(df: DataFrame, *, keys: list[str], id_col: str, vec_col: str, block_rows: int = settings.BLOCK_ROWS) -> DataFrame:
+    """``keys, id, best``: each row's highest similarity to another row of its group."""
+    prepared = _prepared(df, keys, id_col, vec_col)
+    schema = T.StructType([prepared.schema[k] for k in keys] + [prepared.schema["_id"], T.StructField("_best", T.DoubleType())])
+
+    def kernel(left: pa.Table, right: pa.Table, sims: np.ndarray, same: bool) -> pa.Table:
+        if same:
+            sims = sims.copy()
+            np.fill_diagonal(sims, -np.inf)
+        sides = [(left, sims)] if same else [(left, sims), (right, sims.T)]
+        return pa.concat_tables([pa.table({**{k: side[k] for k in keys}, "_id": side["_id"],
+                                           "_best": pa.array(part.max(axis=1, initial=-np.inf))}) for side, part in sides])
+
+    found = compare_blocks(prepared, keys, kernel, schema, 0.0, block_rows)
+    return found.groupBy(*keys, F.col("_id").alias(id_col)).agg(F.max("_best").alias("best")).filter(F.col("best") > float("-inf"))
+
+
 def local_components(hit: np.ndarray) -> np.ndarray:
     """Smallest member index of each row's component in a symmetric boolean matrix."""
     label = np.arange(hit.shape[0])

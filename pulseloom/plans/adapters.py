@@ -66,16 +66,16 @@ ADAPTERS = {
                l_linenumber as line, l_suppkey, l_extendedprice, cast(l_quantity as bigint) as result_count, l_shipdate as collected_at
         from {lineitem}""",
     "vectors": """
-        select vec_id, embedding, label, cast(floor(vec_id / 500) as bigint) as session_id from {embeddings}""",
+        select vec_id, embedding, label, cast(floor(vec_id / 50) as bigint) as session_id from {embeddings}""",
     # vectors as expansion candidates of three sources; candidate texts repeat
     "candidates": """
-        select vec_id as ord, cast(floor(vec_id / 500) as bigint) as session_id, embedding,
+        select vec_id as ord, cast(floor(vec_id / 50) as bigint) as session_id, embedding,
                concat(case when vec_id % 2 = 0 then 'Q' else 'q' end, cast(vec_id % 450 as string)) as query,
                case label % 3 when 0 then 'llm' when 1 then 'autocomplete' else 'trends' end as source,
                case vec_id % 4 when 0 then 'rising' when 1 then 'top' else null end as trend_signal
         from {embeddings}""",
     "signals": """
-        select vec_id as cluster_id, cast(floor(vec_id / 500) as bigint) as session_id, embedding,
+        select vec_id as cluster_id, cast(floor(vec_id / 50) as bigint) as session_id, embedding,
                vec_id % 9 = 0 as is_anomaly, 1 + vec_id % 13 as evidence_count,
                concat('e', cast(label as string)) as entity,
                case when vec_id % 3 = 0 then concat('p', cast(vec_id % 20 as string)) else '' end as pain_point,

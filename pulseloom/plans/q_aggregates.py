@@ -83,11 +83,6 @@ def global_stats(t):
     return stats(s).select("session_id", "total_evidence", "total_signals", "top_signal_score", F.array_join("sources", ",").alias("sources"))
 
 
-@query("agg_09_row_maximum", "select vec_id, round(list_max(embedding::double[]), 6) as highest from embeddings")
-def row_maximum(t):
-    return t.embeddings.select("vec_id", F.round(F.array_max(F.col("embedding").cast("array<double>")), 6).alias("highest"))
-
-
 @query("agg_11_outcome_tally", """
     select stage, count(*) filter (where status = 'completed') as succeeded, count(*) filter (where status <> 'completed') as failed,
            count(*) filter (where status <> 'completed' and l_suppkey % 3 < 2) as rate_limited, count(*) as total from @runs group by stage""")

@@ -64,13 +64,13 @@ def merge_candidates(t):
 
 def scored(t):
     c = t.candidates.withColumn("kind", ex.kind_of(F.col("source"))).withColumnRenamed("embedding", "vec")
-    seeds = c.filter("ord % 500 = 0").select("session_id", F.col("vec").alias("seed_vec"))
+    seeds = c.filter("ord % 50 = 0").select("session_id", F.col("vec").alias("seed_vec"))
     return ex.score_candidates(c, seeds, peer_threshold=0.3)
 
 
 FRAGMENTS["candidate_scores"] = f"""
     with c as (select *, case source when 'llm' then 'structure' else 'demand' end as kind from @candidates),
-    seed as (select session_id, embedding from c where ord % 500 = 0),
+    seed as (select session_id, embedding from c where ord % 50 = 0),
     g as (select a.session_id, a.ord, greatest(0, least(1, {COS})) as gsim from c a join seed b on b.session_id = a.session_id),
     p as (select a.session_id, a.ord, avg({COS}) filter (where {COS} > 0.3) as raw, true as peers from c a join c b on b.session_id = a.session_id and a.source <> b.source group by a.session_id, a.ord),
     x as (select session_id, max(raw) as top from p group by session_id),

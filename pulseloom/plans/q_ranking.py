@@ -24,7 +24,7 @@ def distinct_rank(t):
 
 FRAGMENTS["query_scores"] = """
     select d.session_id, d.vec_id, max(list_cosine_similarity(d.embedding::double[], q.embedding::double[])) as score
-    from @vectors d join @vectors q on d.session_id = q.session_id and q.vec_id % 500 < 5 where d.vec_id % 500 >= 5 group by d.session_id, d.vec_id"""
+    from @vectors d join @vectors q on d.session_id = q.session_id and q.vec_id % 50 < 5 where d.vec_id % 50 >= 5 group by d.session_id, d.vec_id"""
 
 
 @query("rnk_03_threshold_or_floor", """

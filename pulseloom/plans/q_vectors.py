@@ -6,13 +6,14 @@ from pulseloom.functions import text as tx, vectors as ve
 from pulseloom.operators import clusters as cl, components as co, diversify as dv, embedding as em, grouping as gr, similarity as si
 from pulseloom.plans.registry import FRAGMENTS, query
 
+SMALL_BLOCK = 16
 VEC = dict(keys=["session_id"], id_col="vec_id", vec_col="embedding")
 COS = "list_cosine_similarity(a.embedding::double[], b.embedding::double[])"
 
 
 def queries_and_docs(t):
     v = t.vectors
-    is_query = F.col("vec_id") % 500 < 5
+    is_query = F.col("vec_id") % 50 < 5
     return v.filter(is_query).select("session_id", F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec")), v.filter(~is_query)
 
 
@@ -74,6 +75,12 @@ def similar_pairs(t):
     return si.similar_pairs(t.vectors, 0.3, **VEC).withColumn("sim", F.round("sim", 6))
 
 
+@query("sim_05_similar_pairs_blocks", "select session_id, id_a, id_b, round(sim, 6) as sim from @near where sim > 0.3")
+def similar_pairs_blocks(t):
+    # sessions of several blocks: the path of large groups
+    return si.similar_pairs(t.vectors, 0.3, block_rows=SMALL_BLOCK, **VEC).withColumn("sim", F.round("sim", 6))
+
+
 @query("jon_05_theta_join", "select session_id, id_a, id_b, round(sim, 6) as sim from @near where sim >= 0.35")
 def theta_join(t):
     return si.similar_pairs(t.vectors, 0.35, inclusive=True, **VEC).withColumn("sim", F.round("sim", 6))
@@ -121,8 +128,8 @@ def greedy_sql(threshold: float, priority: str) -> str:
 FRAGMENTS["greedy"] = greedy_sql(0.3, "vec_id % 37")
 
 
-def groups(t):
-    return gr.near_duplicates(t.vectors.withColumn("p", F.col("vec_id") % 37), 0.3, priority_col="p", ordinal_col="vec_id", **VEC)
+def groups(t, **layout):
+    return gr.near_duplicates(t.vectors.withColumn("p", F.col("vec_id") % 37), 0.3, priority_col="p", ordinal_col="vec_id", **VEC, **layout)
 
 
 @query("dup_01_near_duplicates", "select * from @greedy")
@@ -130,6 +137,11 @@ def near_duplicates(t):
     return groups(t)
 
 
+@query("dup_01_near_duplicates_rounds", "select * from @greedy")
+def near_duplicates_rounds(t):
+    return groups(t, block_rows=SMALL_BLOCK)
+
+
 @query("dup_02_children", "select session_id, leader_id, vec_id as child_id from @greedy where vec_id <> leader_id")
 def children(t):
     return gr.children(groups(t), keys=["session_id"], id_col="vec_id")
@@ -140,11 +152,27 @@ def representatives(t):
     return gr.representatives(t.vectors, groups(t), keys=["session_id"], id_col="vec_id").select("session_id", "vec_id", "duplicate_count")
 
 
-@query("dup_03_minhash_pairs")
-def minhash_pairs(t):
-    from pulseloom.functions.language import tokens
-    docs = t.documents.select("doc_id", F.filter(tokens(F.col("text")), lambda w: w != "").alias("toks"))
-    return gr.shingle_pairs(docs, 0.7, id_col="doc_id", tokens_col="toks").select("id_a", "id_b", F.round("jaccard", 6).alias("jaccard"))
+FRAGMENTS["sets"] = r"""select doc_id, list_sort(list_distinct(list_filter(string_split_regex(lower(text), '[^\p{L}]+'), lambda w: w <> ''))) as toks from documents"""
+FRAGMENTS["set_reps"] = "select toks, min(doc_id) as id, len(toks) as n from @sets where len(toks) > 0 group by toks"
+
+
+def token_sets(t):
+    words = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: w != "")
+    return gr.similar_sets(t.documents.select("doc_id", words.alias("toks")), 0.7, id_col="doc_id", tokens_col="toks")
+
+
+@query("dup_03_similar_sets", """
+    with t as (select id, n, unnest(toks) as w from @set_reps),
+    shared as (select a.id as id_a, b.id as id_b, a.n as na, b.n as nb, count(*) as k from t a join t b on a.w = b.w and a.id < b.id
+               and least(a.n, b.n) >= 0.7 * greatest(a.n, b.n) group by all)
+    select id_a, id_b, round(k / (na + nb - k)::double, 6) as jaccard from shared where k / (na + nb - k)::double >= 0.7""")
+def similar_sets(t):
+    return token_sets(t)[0].select("id_a", "id_b", F.round("jaccard", 6).alias("jaccard"))
+
+
+@query("dup_03_equal_sets", "select doc_id, min(doc_id) over (partition by toks) as representative from @sets where len(toks) > 0")
+def equal_sets(t):
+    return token_sets(t)[1]
 
 
 @query("dup_04_diversify", f"""
@@ -173,12 +201,36 @@ def small_sessions(t):
     return cl.density_clusters(pairs, **VEC)
 
 
-@query("clu_03_noise", "select session_id, count(*) filter (where doc_id % 37 = 0) as noise, count(*) filter (where doc_id % 37 <> 0) as clustered from @posts group by session_id")
+FRAGMENTS["apart"] = """
+    select floor(vec_id / 50)::bigint as session_id, vec_id, case when vec_id % 50 >= 45 then -1 else (vec_id % 50) % 5 end as part from embeddings"""
+
+
+def built_clusters(t, **layout):
+    """Five tight directions and five lone ones per session: the clusters are known beforehand."""
+    k = F.col("vec_id") % 50
+    direction = F.when(k >= 45, k - 40).otherwise(k % 5)  # 0 to 4 are shared, 5 to 9 belong to one vector each
+    # a little of a direction of its own keeps the members apart without moving their cluster
+    vec = F.transform(F.sequence(F.lit(0), F.lit(59)), lambda i: F.when(i == direction, 1.0).when((i == k + 10) & (k < 45), 0.02 + 0.001 * k).otherwise(0.0))
+    rows = t.embeddings.select("vec_id", F.floor(F.col("vec_id") / 50).alias("session_id"), vec.alias("embedding"))
+    return cl.density_clusters(rows, **VEC, **layout)
+
+
+CLUSTER_SQL = "select session_id, vec_id, part::integer as cluster_id from @apart"
+
+
+@query("clu_01_built_clusters", CLUSTER_SQL)
+def clusters_in_one_task(t):
+    return built_clusters(t)
+
+
+@query("clu_01_built_clusters_blocks", CLUSTER_SQL)
+def clusters_in_blocks(t):
+    return built_clusters(t, block_rows=SMALL_BLOCK)
+
+
+@query("clu_03_noise", "select session_id, count(*) filter (where part = -1) as noise, count(*) filter (where part <> -1) as clustered from @apart group by session_id")
 def noise(t):
-    marked = t.posts.withColumn("cluster_id", F.col("doc_id") % 37 - 1)
-    noise_, rest = marked.filter("cluster_id = -1"), marked.filter("cluster_id <> -1")
-    count = lambda df, name: df.groupBy("session_id").agg(F.count("*").alias(name))
-    return count(rest, "clustered").join(count(noise_, "noise"), "session_id", "left").na.fill(0)
+    return built_clusters(t).groupBy("session_id").agg(F.count_if(F.col("cluster_id") == -1).alias("noise"), F.count_if(F.col("cluster_id") != -1).alias("clustered"))
 
 
 COMPONENTS = """
@@ -192,3 +244,13 @@ FRAGMENTS["components"] = COMPONENTS
 @query("sig_04_components", "select * from @components")
 def components(t):
     return co.merge_groups(t.signals, 0.35, keys=["session_id"], id_col="cluster_id", vec_col="embedding", flag_col="is_anomaly").drop("is_anomaly")
+
+
+@query("sig_04_components_blocks", "select * from @components")
+def components_blocks(t):
+    return co.merge_groups(t.signals, 0.35, keys=["session_id"], id_col="cluster_id", vec_col="embedding", flag_col="is_anomaly", block_rows=SMALL_BLOCK).drop("is_anomaly")
+
+
+@query("agg_09_row_maximum", "select session_id, vec_id, round(max(sim), 6) as highest from (select session_id, id_a as vec_id, sim from @near union all select session_id, id_b, sim from @near) group by session_id, vec_id")
+def row_maximum(t):
+    return si.best_partner(t.vectors, **VEC).select("session_id", "vec_id", F.round("best", 6).alias("highest"))

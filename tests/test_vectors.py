@@ -122,9 +122,21 @@ def test_search_in_rounds(spark):
     assert key(once) == key(rounds) and len(once) == 12
 
 
-def test_minhash_finds_near_copies(spark):
-    words = [f"w{i}" for i in range(60)]
-    rows = [(0, words), (1, words[:-2] + ["x", "y"]), (2, words), (3, [f"z{i}" for i in range(60)])]
+def test_similar_sets_are_all_found(spark):
+    import random
+    rng, rows = random.Random(1), []
+    for k in range(60):
+        base = [f"w{rng.randrange(80)}" for _ in range(rng.randrange(1, 40))]
+        for c in range(rng.randrange(1, 4)):
+            rows.append((4 * k + c, [w for w in base if rng.random() > 0.1 * c] + ([f"x{rng.randrange(5)}"] if c == 2 else [])))
+    rows += [(1000, []), (1001, None)]
     df = spark.createDataFrame(rows, "id bigint, t array<string>")
-    got = gr.shingle_pairs(df, 0.7, id_col="id", tokens_col="t").collect()
-    assert [(r.id_a, r.id_b) for r in got] == [(0, 1)] and abs(got[0].jaccard - 58 / 62) < 1e-9
+    for threshold in (0.5, 0.7, 0.95, 1.0):
+        pairs, copies = gr.similar_sets(df, threshold, id_col="id", tokens_col="t")
+        first = {}
+        for i, words in rows:
+            if words:
+                first.setdefault(frozenset(words), i)
+        want = {(a, b) for s, a in first.items() for t, b in first.items() if a < b and len(s & t) / len(s | t) >= threshold}
+        assert {(r.id_a, r.id_b) for r in pairs.collect()} == want
+        assert {r.id: r.representative for r in copies.collect()} == {i: first[frozenset(w)] for i, w in rows if w}
