@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from pulseloom.llm.common import stored
-from pulseloom.llm.tokens import encoder, slices
+from pulseloom.llm.tokens import Encoder, slices
 
 CAPACITY = 1024
 END_ID = 2
@@ -200,9 +200,10 @@ def token_pieces(docs: DataFrame, *, vocabulary: str, capacity: int = CAPACITY,
                  id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` and, if asked for, ``ids``: every whole text in pieces."""
     def cut(batches):
+        own = Encoder(vocabulary)
         for batch in batches:
             for at, texts in slices(batch.column(1)):
-                ids, counts = encoder(vocabulary).encode(texts)
+                ids, counts = own.encode(texts)
                 ids = np.insert(ids, np.cumsum(counts), end_id)
                 sizes = counts + 1
                 number = -(-sizes // capacity)

@@ -2,7 +2,7 @@
 
 The fixed forms (e-mail and IP addresses, card and phone numbers) are seeds. Every word of a text that holds a digit or
 ``@``, and every phone-like run, is an instance; the words next to it are its patterns, taken together with the instance's
-shape (its letters and digits as classes). A pattern is scored for a kind by the share of its distinct instances that are of
+shape (an address, digits alone, or letters and digits). A pattern is scored for a kind by the share of its distinct instances that are of
 that kind, an instance by the patterns it is met with; both are repeated in turn. Instances that are no seed and whose score
 reaches the threshold are reported as ``like_<kind>``, wherever they stand.
 
@@ -54,7 +54,8 @@ def base_spans(text: Column) -> Column:
 
 
 def _shape(value: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(value, r"[0-9]+", "9"), r"\p{L}+", "a")
+    """What a value is made of: an address sign, a plus in front, digits alone, or letters and digits."""
+    return F.when(F.contains(value, F.lit("@")), "@").when(F.startswith(value, F.lit("+")), "+").when(~value.rlike(r"\p{L}"), "9").otherwise("a9")
 
 
 def instances(text: Column) -> Column:

@@ -148,7 +148,8 @@ def candidates(index: DataFrame, queries: dict[str, Query], *, key: list[str]) -
     clauses = [(kind, n, g, len(grams)) for kind, query in queries.items() for n, grams in enumerate(sorted(map(sorted, query))) for g in grams]
     table = spark.createDataFrame(clauses, "kind string, clause int, trigram string, need int")
     # a few rows for each rule
-    met = index.join(F.broadcast(table), "trigram").groupBy(*key, "kind", "clause", "need").count().filter("count = need")
+    met = index.join(F.broadcast(table), "trigram").groupBy(*key, "kind", "clause", "need").agg(
+        F.collect_set("trigram").alias("_held")).filter(F.size("_held") == F.col("need"))  # rows that repeat post twice
     return met.groupBy(*key).agg(F.collect_set("kind").alias("kinds"))
 
 

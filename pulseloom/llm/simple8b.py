@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from pulseloom.llm.common import attempt_name, read_file, run_folder, stored, write_file
-from pulseloom.llm.tokens import encoder, slices
+from pulseloom.llm.tokens import Encoder, slices
 
 MAGIC = b"S8BTOK01"
 BLOCK = 4096
@@ -124,6 +124,7 @@ def write_ids(docs: DataFrame, folder: str, *, vocabulary: str, end_id: int = 0,
     """Encodes every whole text, appends ``end_id`` and writes the files; returns the manifest, a row for each file."""
     def write(batches):
         shard, attempt = attempt_name()
+        own = Encoder(vocabulary)
         roll, doc_ids, sizes, parts, held = 0, [], [], [], 0
 
         def close():
@@ -134,8 +135,8 @@ def write_ids(docs: DataFrame, folder: str, *, vocabulary: str, end_id: int = 0,
             return pa.RecordBatch.from_pydict({"file": [name], "shard": [shard], "roll": [roll], "n_docs": [len(docs_)],
                                                "n_ids": [len(ids_)], "n_bytes": [sum(map(len, chunks))]})
         for batch in batches:
-            for at, texts in slices(batch.column(1)):
-                ids, counts = encoder(vocabulary).encode(texts)
+            for at, texts in slices(batch.column(1), min(4_000_000, ids_per_file)):
+                ids, counts = own.encode(texts)
                 ends = np.cumsum(counts)
                 doc_ids.append(batch.column(0).slice(at, len(texts)).to_numpy(zero_copy_only=False).astype(np.int64))
                 sizes.append(counts + 1)

@@ -2,7 +2,7 @@
 
 A boundary of the tokenizer's first split always lies before a single blank between two characters that are no white
 space, whatever stands further away. Texts are cut there, and each chunk (a word with its blank) is encoded once per
-worker by the tokenizers library and remembered; the ids of a text are those of its chunks in a row. A text with any
+task by the tokenizers library and remembered; the ids of a text are those of its chunks in a row. A text with any
 other white space next to a blank is encoded whole. The memory is emptied when it is full, which changes no result.
 """
 
@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-# what a worker remembers: the chunks it met first stay, later ones are dropped from time to time
+# what a task remembers: the chunks it met first stay, later ones are dropped from time to time
 CHUNKS_STAY, CHUNKS_MOST = 300_000, 550_000
 CHARS_MOST = 20_000_000
 
@@ -40,7 +40,10 @@ def _joins(c: str) -> bool:
 
 
 class Encoder:
-    """``encode(texts)`` gives all ids in a row and the number of ids of each text; null and empty texts have none."""
+    """``encode(texts)`` gives all ids in a row and the number of ids of each text; null and empty texts have none.
+
+    Make one in each task: it is not sent from the driver, and its memory ends with the task.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -149,16 +152,6 @@ def spread(first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(first - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    """One encoder per worker process and vocabulary."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
-
-
 def slices(texts: pa.Array, size: int = 4_000_000):
     """Parts of ``texts`` of about ``size`` bytes, with the number of texts before: arrays stay small whatever a batch holds."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
