@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pulseloom import settings
 from pulseloom.functions import documents as js, text as tx
@@ -146,18 +146,41 @@ def signal_entries(scored: DataFrame) -> DataFrame:
     return pains.filter("value <> ''").unionByName(requests.filter("value <> ''")).unionByName(questions).drop(*drop)
 
 
-def global_stats(scored: DataFrame, sources: str = "sources") -> DataFrame:
-    """Evidence, signals, sources and best score of each session."""
-    totals = scored.groupBy("session_id").agg(F.sum("evidence_count").alias("total_evidence"), F.count("*").alias("total_signals"),
-                                              F.max("final_score").alias("top_signal_score"))
-    return totals.join(distinct_members(scored, ["session_id"], sources), "session_id", "left")
+def evidence(members: DataFrame, groups: DataFrame, signals: DataFrame, duplicates: DataFrame | None = None) -> DataFrame:
+    """``session_id, signal_id, post_id, kind``: the posts behind each merged signal, a row each, however many they are.
+
+    ``members``: session_id, id, cluster_id of the clustered posts (kind ``member``). ``groups``: session_id, cluster_id, component.
+    ``signals``: session_id, component, signal_id. ``duplicates``: session_id, leader_id, child_id, posts folded into a member
+    (kind ``duplicate``).
+    """
+    keys = ["session_id"]
+    named = groups.join(signals.select(*keys, "component", "signal_id"), [*keys, "component"]).select(*keys, "cluster_id", "signal_id")
+    own = members.select(*keys, "cluster_id", F.col("id").alias("post_id")).join(named, [*keys, "cluster_id"]).select(*keys, "signal_id", "post_id")
+    out = own.withColumn("kind", F.lit("member"))
+    if duplicates is not None:
+        folded = duplicates.select(*keys, F.col("leader_id").alias("post_id"), "child_id").join(own, [*keys, "post_id"]).select(
+            *keys, "signal_id", F.col("child_id").alias("post_id"), F.lit("duplicate").alias("kind"))
+        out = out.unionByName(folded)
+    return out
+
+
+def global_stats(scored: DataFrame, sources: str = "sources", totals: DataFrame | None = None) -> DataFrame:
+    """Evidence, signals, sources and best score of each session.
+
+    ``totals``: session_id, total_evidence, where the evidence is more than what the signals count (all posts of a run).
+    """
+    figures = scored.groupBy("session_id").agg(F.sum("evidence_count").alias("total_evidence"), F.count("*").alias("total_signals"),
+                                               F.max("final_score").alias("top_signal_score"))
+    if totals is not None:
+        figures = figures.drop("total_evidence").join(totals.select("session_id", "total_evidence"), "session_id", "left")
+    return figures.join(distinct_members(scored, ["session_id"], sources), "session_id", "left")
 
 
-def compress(scored: DataFrame, seeds: DataFrame) -> DataFrame:
-    """One analysis row per session: its best pain points, requests, questions and quotes, and its figures."""
+def compress(scored: DataFrame, seeds: DataFrame, totals: DataFrame | None = None) -> DataFrame:
+    """One analysis row per session: its best pain points, requests, questions and quotes, and its figures (see ``global_stats``)."""
     scored = cut(scored)
     entries = signal_entries(scored)
-    out = global_stats(scored).join(seeds.select("session_id", F.col("seed").alias("topic")), "session_id", "left")
+    out = global_stats(scored, totals=totals).join(seeds.select("session_id", F.col("seed").alias("topic")), "session_id", "left")
     entry = F.struct(*ENTRY, "score", "value")
     empty = lambda name, like: F.coalesce(F.col(name), F.from_json(F.lit("[]"), like))
     for name, kind, n in (("top_pain_points", "pain_point", settings.TOP_PAIN_POINTS),
@@ -177,20 +200,26 @@ def compress(scored: DataFrame, seeds: DataFrame) -> DataFrame:
 
 def synthesis_payloads(analysis: DataFrame, scored: DataFrame, min_score: float = 0.0, exempt: bool = True,
                        limit: int = settings.SYNTHESIS_CHARS) -> DataFrame:
-    """The analysis and its best signals as JSON text per session, cut to ``limit`` characters.
+    """The analysis and its best signals as JSON text per session: always whole, with ``signals_left_out``.
 
-    A signal takes more than 200 characters of JSON, so no more than ``limit / 200`` of them can be part of the text.
+    ``limit`` is the budget of characters for all signals together, in order of their scores: a signal that would overstep it
+    is left out, and so are all after it. No text is cut inside a signal.
     """
     keep = lambda name: F.filter(name, lambda e: score_or_anomaly(e["score"], e["is_anomaly"], min_score, exempt)).alias(name)
     kept = scored.filter(score_or_anomaly(F.col("final_score"), F.col("is_anomaly"), min_score, exempt))
-    best = top_n(kept, max(1, limit // 200), ["session_id"], [F.desc("final_score"), F.col("signal_id")])
     columns = [c for c in scored.columns if c not in ("session_id", "component", "embedding", "vec")]
-    listed = best.groupBy("session_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.struct(*columns).alias("s")))),
+    order = Window.partitionBy("session_id").orderBy(F.desc("final_score"), "signal_id")
+    sized = kept.withColumn("_size", F.length(F.to_json(F.struct(*columns))) + 1).withColumn("_upto", F.sum("_size").over(order)).withColumn(
+        "_rank", F.row_number().over(order))
+    best = sized.filter(F.col("_upto") <= limit)
+    listed = best.groupBy("session_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_rank", F.struct(*columns).alias("s")))),
                                                         lambda x: x["s"]).alias("signals"))
-    rows = analysis.join(listed, "session_id", "left").select("session_id", F.struct(
+    left_out = sized.groupBy("session_id").agg(F.count_if(F.col("_upto") > limit).alias("signals_left_out"))
+    rows = analysis.join(listed, "session_id", "left").join(left_out, "session_id", "left").select("session_id", F.struct(
         "topic", keep("top_pain_points"), keep("top_feature_requests"), keep("top_questions"), "representative_quotes", "signals",
+        F.coalesce("signals_left_out", F.lit(0)).alias("signals_left_out"),
         F.struct("total_evidence", "total_signals", "sources", "top_signal_score").alias("stats")).alias("doc"))
-    return rows.select("session_id", F.substring(F.to_json("doc"), 1, limit).alias("payload"))
+    return rows.select("session_id", F.to_json("doc").alias("payload"))
 
 
 # What a trend catcher may say, and its defaults.

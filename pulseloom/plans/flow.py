@@ -13,7 +13,7 @@ from pulseloom.operators import clusters as cl, components as co, diversify as d
 from pulseloom.operators.embedding import embed
 from pulseloom.operators.similarity import best_query_similarity
 from pulseloom.session import cut
-from pulseloom.sources.sinks import StageTables
+from pulseloom.sources.sinks import StageTables, posts_by_id, write_documents
 
 
 @dataclass
@@ -45,10 +45,11 @@ class Run:
     embed_chars: int | None = None  # for an embedder that takes no longer texts
 
     def stages(self) -> dict[str, Callable[[StageTables], DataFrame]]:
-        return {"normalized": self.normalized, "embedded": self.embedded, "relevant": self.relevant, "selected": self.selected, "clustered": self.clustered,
-                "replies": self.answered, "signals": self.signals, "merged": self.merged, "scored": self.scored, "analysis": self.analysis,
-                "payloads": self.payloads, **({"synthesis": self.synthesised, "catchers": self.catchers} if self.synthesis else {}),
-                "usage": self.usage}
+        return {"normalized": self.normalized, "embedded": self.embedded, "relevant": self.relevant, "grouped": self.grouped, "selected": self.selected,
+                "clustered": self.clustered, "replies": self.answered, "signals": self.signals, "components": self.components, "merged": self.merged,
+                "scored": self.scored, "evidence": self.evidence, "analysis": self.analysis, "payloads": self.payloads,
+                **({"synthesis": self.synthesised, "catchers": self.catchers} if self.synthesis else {}), "usage": self.usage,
+                "posts": self.posts, "documents": self.documents}
 
     def _embed(self, df: DataFrame, text: str) -> DataFrame:
         return embed(df, text, "vec", self.embedder, self.dims)
@@ -69,11 +70,12 @@ class Run:
                                      score="relevance_score", ordinal="ord")
         return rk.rerank(kept, self.scorer, keys=["session_id"], query="query", text="text", ordinal="ord")
 
+    def grouped(self, s: StageTables) -> DataFrame:
+        return gr.near_duplicates(s.read("relevant"), self.duplicate_threshold, keys=["session_id"], id_col="id", vec_col="vec",
+                                  priority_col="engagement", ordinal_col="ord")
+
     def selected(self, s: StageTables) -> DataFrame:
-        posts = s.read("relevant")
-        groups = cut(gr.near_duplicates(posts, self.duplicate_threshold, keys=["session_id"], id_col="id", vec_col="vec",
-                                        priority_col="engagement", ordinal_col="ord"))
-        kept = gr.representatives(posts, groups, keys=["session_id"], id_col="id")
+        kept = gr.representatives(s.read("relevant"), s.read("grouped"), keys=["session_id"], id_col="id")
         best = kept.withColumn("_rel", F.greatest("rerank_score", "relevance_score"))
         picks = dv.diversify(best, self.mmr_k, self.mmr_lambda, keys=["session_id"], id_col="id", vec_col="vec",
                              relevance_col="_rel", ordinal_col="ord")
@@ -91,18 +93,25 @@ class Run:
     def signals(self, s: StageTables) -> DataFrame:
         return sg.extract_signals(s.read("clustered"), s.read("replies"), ordinal="pick")
 
+    def components(self, s: StageTables) -> DataFrame:
+        texts = s.read("signals").withColumn("_text", tx.signal_text(*[F.col(c) for c in ("entity", "pain_point", "feature_request", "summary")]))
+        return co.merge_groups(self._embed(texts, "_text"), self.merge_threshold, keys=["session_id"], id_col="cluster_id",
+                               vec_col="vec", flag_col="is_anomaly")
+
     def merged(self, s: StageTables) -> DataFrame:
-        signals = s.read("signals")
-        texts = signals.withColumn("_text", tx.signal_text(*[F.col(c) for c in ("entity", "pain_point", "feature_request", "summary")]))
-        groups = co.merge_groups(self._embed(texts, "_text"), self.merge_threshold, keys=["session_id"], id_col="cluster_id",
-                                 vec_col="vec", flag_col="is_anomaly")
-        return sg.merge_signals(signals, groups)
+        return sg.merge_signals(s.read("signals"), s.read("components"))
 
     def scored(self, s: StageTables) -> DataFrame:
         return sg.score_signals(s.read("merged"))
 
+    def evidence(self, s: StageTables) -> DataFrame:
+        """The posts behind each signal, and the copies folded into them."""
+        return sg.evidence(s.read("clustered"), s.read("components"), s.read("merged"),
+                           gr.children(s.read("grouped"), keys=["session_id"], id_col="id"))
+
     def analysis(self, s: StageTables) -> DataFrame:
-        return sg.compress(s.read("scored"), self.seeds)
+        found = s.read("normalized").groupBy("session_id").agg(F.count("*").alias("total_evidence"))
+        return sg.compress(s.read("scored"), self.seeds, found)
 
     def payloads(self, s: StageTables) -> DataFrame:
         return sg.synthesis_payloads(s.read("analysis"), s.read("scored"), self.min_score)
@@ -114,6 +123,22 @@ class Run:
     def catchers(self, s: StageTables) -> DataFrame:
         return sg.trend_catchers(s.read("synthesis"))
 
+    def posts(self, s: StageTables) -> DataFrame:
+        """The posts that evidence refers to, by id: a side table of the documents, whole at any size."""
+        named = s.read("evidence").select("session_id", F.col("post_id").alias("id")).distinct()
+        return posts_by_id(s.read("relevant").drop("vec").join(named, ["session_id", "id"], "left_semi"))
+
+    def documents(self, s: StageTables) -> DataFrame:
+        """One closing document per session: topic, analysis, trend catchers, token usage."""
+        listed = lambda name, order: s.read(name).groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct(
+            order, *[c for c in s.read(name).columns if c not in ("session_id", order)]))).alias(name))
+        analysis = s.read("analysis")
+        out = analysis.select("session_id", "topic", F.struct(*[c for c in analysis.columns if c not in ("session_id", "topic")]).alias("analysis"))
+        # a session has a few rows of either: one per stage, and what one closing reply names
+        for name, order in ([("catchers", "place")] if self.synthesis else []) + [("usage", "stage")]:
+            out = out.join(listed(name, order), "session_id", "left")
+        return out
+
     def usage(self, s: StageTables) -> DataFrame:
         """Token rows of all stages."""
         texts = s.read("normalized").select("session_id", tx.embedding_input(F.col("title"), F.col("text"), self.embed_chars).alias("_t")).unionByName(
@@ -131,5 +156,7 @@ def arrival(query_ord: Column, platform_ord: Column, pos: Column) -> Column:
 def analyse(spark: SparkSession, run: Run, folder: str, start: str | None = None, end: str | None = None) -> StageTables:
     """Run the stages into ``folder``, which all executors share, resuming after the last finished one."""
     tables = StageTables(spark, folder)
-    tables.run(run.stages(), start, end, stop_when_empty=("normalized", "relevant"))
+    built = tables.run(run.stages(), start, end, stop_when_empty=("normalized", "relevant"))
+    if "documents" in built:
+        write_documents(tables.read("documents"), f"{folder}/documents_json")
     return tables

@@ -4,11 +4,13 @@ import json
 
 from pyspark.sql import functions as F
 
+from pulseloom.operators import grouping as gr, signals as sg
 from pulseloom.operators.hooks import parse_pages, provide_replies
 from pulseloom.plans import flow
 from pulseloom.plans.q_filters import platform_frames
 from pulseloom.plans.q_sources import fresh_folder
 from pulseloom.plans.q_text import as_of
+from pulseloom.plans.q_vectors import groups
 from pulseloom.plans.registry import query
 from pulseloom.streaming import feeds
 
@@ -49,6 +51,28 @@ def analysis(t):
                     F.size("top_pain_points").alias("pain_points"), F.size("representative_quotes").alias("quotes"))
 
 
+KNOWN = """
+    known as (select session_id, vec_id, leader_id, leader_id % 5 as cluster_id from @greedy),
+    named as (select *, concat('s', (cluster_id % 2)::varchar) as signal_id from known)"""
+
+
+@query("run_02_evidence", f"""with {KNOWN} select session_id, signal_id, vec_id as post_id, case when vec_id = leader_id then 'member' else 'duplicate' end as kind from named""")
+def evidence(t):
+    grouped = groups(t)
+    members = grouped.filter("vec_id = leader_id").select("session_id", F.col("vec_id").alias("id"), (F.col("vec_id") % 5).alias("cluster_id"))
+    clusters = members.select("session_id", "cluster_id").distinct().withColumn("component", F.col("cluster_id") % 2)
+    signals = clusters.select("session_id", "component").distinct().withColumn("signal_id", F.concat(F.lit("s"), F.col("component").cast("string")))
+    return sg.evidence(members, clusters, signals, gr.children(grouped, keys=["session_id"], id_col="vec_id"))
+
+
+@query("run_03_documents", """
+    select session_id, concat('topic ', session_id::varchar) as topic, concat('topic ', session_id::varchar) as trend, 3 as usage_stages from (select distinct session_id from @posts)""")
+def run_documents(t):
+    tables = flow.analyse(t.spark, run_of(t), fresh_folder(t, "closing"))
+    d = t.spark.read.schema(tables.read("documents").schema).json(f"{tables.folder}/documents_json")
+    return d.select("session_id", "topic", F.col("catchers")[0]["trend"].alias("trend"), F.size(F.array_distinct(F.col("usage.stage"))).alias("usage_stages"))
+
+
 @query("udf_04_page_titles", "select page_id, replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&quot;', '\"'), '&amp;', '&') as title from pages")
 def page_titles(t):
     def titles(html_text):

@@ -164,11 +164,16 @@ def payload(t):
                     F.array_join(F.transform("representative_quotes", lambda q: q["text"]), ",").alias("quotes"))
 
 
-@query("sig_10_synthesis_input")
+@query("sig_10_synthesis_input", """
+    select s.session_id, concat('topic ', cast(s.session_id as string)) as topic, 0::bigint as left_out,
+           string_agg(signal_id, ',' order by score desc, signal_id) filter (score >= 0.4 or is_anomaly) as signals from @scored s group by s.session_id""")
 def synthesis_input(t):
     m = merged(t)
     scored = sg.score_signals(m)
-    return sg.synthesis_payloads(sg.compress(scored, seeds(m)), scored, min_score=0.4)
+    payloads = sg.synthesis_payloads(sg.compress(scored, seeds(m)), scored, min_score=0.4, limit=1 << 30)
+    read = F.from_json("payload", "topic string, signals_left_out bigint, signals array<struct<signal_id: string>>")
+    return payloads.select("session_id", read.alias("p")).select("session_id", "p.topic", F.col("p.signals_left_out").alias("left_out"),
+                                                                 F.array_join(F.col("p.signals.signal_id"), ",").alias("signals"))
 
 
 @query("sig_11_catchers", """

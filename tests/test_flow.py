@@ -5,7 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulseloom import schemas
+from pulseloom.functions import moments as mo
 from pulseloom.operators import normalize as nz, ranking as rk, signals as sg
+from pulseloom.operators.hooks import parse_pages, provide_replies
 from pulseloom.plans import flow, registry
 from pulseloom.plans.adapters import Tables
 from pulseloom.plans.q_flow import run_of
@@ -16,7 +18,6 @@ FOLDER = "/root/testdata/sf0.001"
 LONG = "this is the text of a post that is long enough to be kept by the filter for words"
 
 
-
 def test_collection_file_to_posts(spark):
     doc = {"seed": "s", "results": [
         {"query": "q1", "reddit": [{"postId": "a", "title": "T", "body": LONG, "author": "u", "score": 9}, {"postId": "b", "title": "T", "body": "", "author": "u"},
@@ -96,8 +97,14 @@ def test_stage_tables_resume_and_stop_when_empty(spark):
 
     stages = {"a": stage("a", 2), "b": stage("b", 0), "c": stage("c", 1)}
     assert tables.run(stages, end="a") == ["a"]
-    assert tables.run(stages) == ["b"] and calls == ["a", "b"]
+    assert tables.run(stages, stop_when_empty=("b",)) == ["b"] and calls == ["a", "b"]
     assert not tables.done("c")
+    # an empty stage that nobody stops at doesn't keep later ones from being built
+    assert tables.run(stages) == ["c"]
+    # what was built from a stage is stale once that is built again
+    assert tables.run(stages, start="a", end="a") == ["a"]
+    assert not tables.done("b") and not tables.done("c")
+    assert tables.run(stages) == ["b", "c"]
 
 
 def test_partition_count_does_not_matter(spark):
@@ -119,6 +126,13 @@ def test_whole_analysis(spark):
     assert picked.groupBy("session_id").count().agg(F.max("count")).first()[0] <= 30
     assert picked.select("session_id", "id").distinct().count() == picked.count() == tables.read("clustered").count()
     assert tables.run(run_of(t).stages()) == []
+    found = {r.session_id: r["count"] for r in tables.read("normalized").groupBy("session_id").count().collect()}
+    assert {r.session_id: r.total_evidence for r in analysis} == found
+    behind = tables.read("evidence")
+    assert behind.filter("kind = 'member'").count() == tables.read("clustered").count()
+    assert behind.join(tables.read("merged"), ["session_id", "signal_id"], "left_anti").count() == 0
+    assert tables.read("posts").count() == behind.select("session_id", "post_id").distinct().count()
+    assert {r.session_id for r in spark.read.json(f"{tables.folder}/documents_json").collect()} == set(found)
     catchers = tables.read("catchers").collect()
     assert {r.trend for r in catchers} == {f"topic {r.session_id}" for r in analysis}
     assert {r.stage for r in tables.read("usage").select("stage").distinct().collect()} == {"s1_relevance", "extract_signals", "synthesize"}
@@ -127,3 +141,42 @@ def test_whole_analysis(spark):
 def test_schemas_parse(spark):
     for fields in [schemas.COLLECTION, *schemas.SESSION_STORE.values()]:
         assert spark.createDataFrame([], fields).columns
+
+
+def test_one_failing_prompt_or_page_loses_nothing_else(spark):
+    prompts = spark.createDataFrame([(1, i, "bad" if i == 3 else f"p{i}") for i in range(20)], "session_id bigint, cluster_id bigint, prompt string").coalesce(1)
+
+    def provider(texts):
+        if "bad" in texts:
+            raise ValueError("no")
+        return [(t.upper(), 1, 1) for t in texts]
+    got = {r.cluster_id: r.reply for r in provide_replies(prompts, provider).collect()}
+    assert got == {i: None if i == 3 else f"P{i}" for i in range(20)}
+
+    def parser(text):
+        if text == "bad":
+            raise ValueError("broken page")
+        yield {"title": text}
+    pages = prompts.select("cluster_id", F.col("prompt").alias("html"))
+    rows = {r.cluster_id: (r.title, r.error) for r in parse_pages(pages, parser, "cluster_id bigint, title string, error string", ["cluster_id"]).collect()}
+    assert len(rows) == 20 and rows[3] == (None, "ValueError: broken page") and rows[4] == ("p4", None)
+
+
+def test_odd_times_are_the_clock(spark):
+    rows = [("99999999999999 years ago",), ("99999999999999999999 days ago",), ("3000 years ago",), ("2 days ago",)]
+    df = spark.createDataFrame(rows, "x string").select(mo.parse_moment(F.col("x"), as_of()).alias("at"), as_of().alias("clock"))
+    assert [(r.clock - r.at).days for r in df.collect()] == [0, 0, 0, 2]
+    odd = spark.createDataFrame([(10 ** 17,), (-10 ** 17,), (0,), (None,), (60,)], "s bigint")
+    got = [r.at for r in odd.select(F.unix_seconds(mo.from_epoch_seconds(F.col("s"), as_of())).alias("at")).collect()]
+    assert got[:4] == [got[0]] * 4 and got[4] == 60
+
+
+def test_payloads_keep_whole_signals(spark):
+    rows = [("s", f"sig{i}", 1.0 - i / 100, False, "x" * 300) for i in range(50)]
+    scored = spark.createDataFrame(rows, "session_id string, signal_id string, final_score double, is_anomaly boolean, summary string")
+    analysis = spark.createDataFrame([("s", "t")], "session_id string, topic string").select(
+        "*", *[F.from_json(F.lit("[]"), "array<struct<score: double, is_anomaly: boolean>>").alias(n) for n in ("top_pain_points", "top_feature_requests", "top_questions")],
+        F.array().alias("representative_quotes"), F.lit(50).alias("total_evidence"), F.lit(50).alias("total_signals"), F.array().alias("sources"), F.lit(1.0).alias("top_signal_score"))
+    doc = json.loads(sg.synthesis_payloads(analysis, scored, limit=4000).first().payload)
+    kept = [x["signal_id"] for x in doc["signals"]]
+    assert kept == [f"sig{i}" for i in range(len(kept))] and 5 < len(kept) < 50 and doc["signals_left_out"] == 50 - len(kept)
