@@ -10,6 +10,7 @@ vectors are, and a group of any size is spread over the cluster.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -273,34 +274,49 @@ def best_query_similarity(docs: DataFrame, queries: DataFrame, *, key: str, id_c
 
 def vector_search(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", *, id_col: str, vec_col: str,
                   query_id: str = "query_id", query_vec: str = "query_vec",
-                  broadcast_bytes: int = settings.QUERY_BROADCAST_BYTES) -> DataFrame:
+                  broadcast_bytes: int = settings.QUERY_BROADCAST_BYTES, chunk_rows: int = 4 * settings.BLOCK_ROWS) -> DataFrame:
     """The ``k`` nearest corpus rows of every query: ``query_id, id, distance, similarity, rank``.
 
-    Queries travel, the corpus does not: each task keeps the ``k`` best of its own rows per query, so only those are
-    shuffled. Queries beyond ``broadcast_bytes`` are sent in several rounds of bounded size.
+    Queries of at most ``broadcast_bytes`` together travel, and the corpus does not: each task keeps the ``k`` best of its own
+    rows per query. Otherwise chunks of the corpus and of the queries meet pairwise, and each meeting gives its ``k`` best.
     """
     q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).cast("array<double>").alias("_q"))
     corpus_ = corpus.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("_vec"))
     size = q.agg(F.coalesce(F.sum(F.size("_q")), F.lit(0)).alias("n")).first()["n"] * 8
-    rounds = max(1, math.ceil(size / broadcast_bytes))
     schema = T.StructType([q.schema["query_id"], corpus_.schema["id"], T.StructField("distance", T.DoubleType())])
-    found = None
-    for part in range(rounds):
-        rows = q.filter(F.pmod(F.xxhash64("query_id"), F.lit(rounds)) == part).collect()
-        if not rows:
-            continue
-        shared = corpus.sparkSession.sparkContext.broadcast(
-            ([r["query_id"] for r in rows], np.array([r["_q"] for r in rows], dtype=np.float64)))
-        found_part = corpus_.mapInArrow(_nearest_in_batch(shared, k, metric, q.schema["query_id"].dataType), schema)
-        found = found_part if found is None else found.unionByName(found_part)
-    if found is None:
+    nearest = _nearest(k, metric)
+    if size == 0:
         found = corpus.sparkSession.createDataFrame([], schema)
+    elif size <= broadcast_bytes:
+        shared = corpus.sparkSession.sparkContext.broadcast(q.toArrow())
+
+        def scan(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    yield from nearest(pa.Table.from_batches([batch]), shared.value).to_batches()
+
+        found = corpus_.mapInArrow(scan, schema)
+    else:
+        chunks = [max(1, math.ceil(df.count() / chunk_rows)) for df in (corpus_, q)]
+        place = lambda of, n: F.pmod(F.xxhash64(of), F.lit(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        left = corpus_.withColumn("_cc", place("id", chunks[0])).withColumn("_qc", every(chunks[1]))
+        right = q.withColumn("_qc", place("query_id", chunks[1])).withColumn("_cc", every(chunks[0]))
+        empty = pa.table({"query_id": [], "id": [], "distance": []})
+
+        def meet(rows: pa.Table, asked: pa.Table) -> pa.Table:
+            if rows.num_rows == 0 or asked.num_rows == 0:
+                return pa.table({"query_id": asked["query_id"].slice(0, 0), "id": rows["id"].slice(0, 0), "distance": empty["distance"].cast(pa.float64())})
+            return nearest(rows, asked)
+
+        found = left.groupBy("_cc", "_qc").cogroup(apart(right).groupBy("_cc", "_qc")).applyInArrow(meet, schema)
     order = Window.partitionBy("query_id").orderBy("distance", "id")
     return (found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
             .withColumn("rank", F.col("rank").cast("bigint")).withColumn("similarity", 1 - F.col("distance")))
 
 
-def _nearest_in_batch(shared, k: int, metric: str, id_type: T.DataType):
+def _nearest(k: int, metric: str):
+    """Of the rows of one table the ``k`` nearest to each query of another, as ``query_id, id, distance``."""
     def distances(vectors: np.ndarray, against: np.ndarray) -> np.ndarray:
         if metric == "cosine":
             return 1.0 - unit_rows(against) @ unit_rows(vectors).T
@@ -309,22 +325,12 @@ def _nearest_in_batch(shared, k: int, metric: str, id_type: T.DataType):
         square = (against ** 2).sum(1)[:, None] + (vectors ** 2).sum(1)[None, :] - 2.0 * against @ vectors.T
         return np.maximum(square, 0.0)
 
-    def scan(batches):
-        ids, against = shared.value
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            table = pa.Table.from_batches([batch])
-            dist = distances(matrix(table["_vec"]), against)
-            by_id = np.argsort(np.array(table["id"].to_pylist()), kind="stable")
-            best = by_id[np.argsort(dist[:, by_id], axis=1, kind="stable")[:, :k]]
-            qi = np.repeat(np.arange(len(ids)), best.shape[1])
-            yield from pa.table({"query_id": pa.array([ids[i] for i in qi], table_type(id_type)),
-                                 "id": table["id"].take(pa.array(best.ravel())),
-                                 "distance": pa.array(dist[qi, best.ravel()])}).to_batches()
-
-    return scan
-
-
-def table_type(data_type: T.DataType) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[data_type.simpleString()]
+    def nearest(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        dist = distances(matrix(rows["_vec"]), matrix(asked["_q"]))
+        by_id = rows.append_column("_row", pa.array(np.arange(rows.num_rows))).sort_by("id")["_row"].to_numpy()
+        best = by_id[np.argsort(dist[:, by_id], axis=1, kind="stable")[:, :k]]
+        qi = np.repeat(np.arange(asked.num_rows), best.shape[1])
+        return pa.table({"query_id": asked["query_id"].take(pa.array(qi)), "id": rows["id"].take(pa.array(best.ravel())),
+                         "distance": pa.array(dist[qi, best.ravel()])})
+
+    return nearest

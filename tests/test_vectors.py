@@ -113,11 +113,11 @@ def test_best_query(spark, limit):
     assert np.allclose([r.relevance_score for r in sorted(got, key=lambda r: r.id)], want)
 
 
-def test_search_in_rounds(spark):
+def test_search_in_chunks(spark):
     docs = frame(spark, cloud(13, 30, copies=15))
     queries = docs.filter("id < 3").select(F.col("id").alias("query_id"), F.col("v").alias("query_vec"))
     once = si.vector_search(docs, queries, 4, id_col="id", vec_col="v").collect()
-    rounds = si.vector_search(docs, queries, 4, id_col="id", vec_col="v", broadcast_bytes=60).collect()
+    rounds = si.vector_search(docs, queries, 4, id_col="id", vec_col="v", broadcast_bytes=60, chunk_rows=7).collect()
     key = lambda rows: sorted((r.query_id, r.rank, r.id) for r in rows)
     assert key(once) == key(rounds) and len(once) == 12
 
