@@ -9,6 +9,9 @@ from pulseloom.operators.similarity import any_large, group_sizes, similarity_fo
 from pulseloom.session import cut
 
 
+SALTS = 8  # parts in which the rows of one label look it up
+
+
 def connected_components(nodes: DataFrame, edges: DataFrame, *, keys: list[str], id_col: str) -> DataFrame:
     """``keys, id, component`` where a component is named after its smallest id.
 
@@ -21,13 +24,18 @@ def connected_components(nodes: DataFrame, edges: DataFrame, *, keys: list[str],
     both = cut(both)
     labels = both.groupBy(*keys, F.col("src").alias("_id")).agg(F.min("dst").alias("_m"))
     labels = cut(labels.select(*keys, "_id", F.least("_id", "_m").alias("_label")))
+    salt = lambda: F.pmod(F.xxhash64(*keys, "_id"), F.lit(SALTS)).cast("int")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
     while True:
         seen = labels.withColumnRenamed("_id", "dst")
         lowest = (both.join(seen, keys + ["dst"]).groupBy(*keys, F.col("src").alias("_id"))
                   .agg(F.min("_label").alias("_near")))
         near = labels.join(lowest, keys + ["_id"]).withColumn("_to", F.least("_label", "_near"))
+        # all rows of a giant component ask for the label of one row: that row alone is copied to meet them in parts
         target = labels.select(*keys, F.col("_id").alias("_to"), F.col("_label").alias("_jump"))
-        nxt = cut(near.join(target, keys + ["_to"]).select(
+        asked = near.select(*keys, "_to").distinct()
+        target = target.join(asked, keys + ["_to"], "left_semi").select("*", salts)
+        nxt = cut(near.withColumn("_salt", salt()).join(target, keys + ["_to", "_salt"]).select(
             *keys, "_id", F.least("_to", "_jump").alias("_new"), "_label"))
         moved = nxt.filter(F.col("_new") != F.col("_label")).limit(1).count()
         labels = nxt.select(*keys, "_id", F.col("_new").alias("_label"))

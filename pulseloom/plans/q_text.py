@@ -113,6 +113,11 @@ def language(t):
     return t.documents.select("doc_id", detect_language(F.col("text")).alias("detected"))
 
 
+@query("txt_13_accuracy", f"select lang, count(*) as n, count(*) filter (where {sql_language('text')} = lang) as right_ones from documents group by lang")
+def language_accuracy(t):
+    return t.documents.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(detect_language(F.col("text")) == F.col("lang")).alias("right_ones"))
+
+
 @query("txt_14_chunks", f"""
     with w as (select doc_id, text, {sql_words('text')} as words from documents where text <> ''),
     c as (select doc_id, text, words, unnest(case when len(words) <= 180 then [0] else generate_series(0, len(words) - 31, 150) end) as start from w)

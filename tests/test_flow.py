@@ -180,3 +180,8 @@ def test_payloads_keep_whole_signals(spark):
     doc = json.loads(sg.synthesis_payloads(analysis, scored, limit=4000).first().payload)
     kept = [x["signal_id"] for x in doc["signals"]]
     assert kept == [f"sig{i}" for i in range(len(kept))] and 5 < len(kept) < 50 and doc["signals_left_out"] == 50 - len(kept)
+
+
+def test_language_is_right_for_most_texts(spark):
+    rows = registry.callables()["txt_13_accuracy"](spark, "/root/testdata/sf0.01").collect()
+    assert sum(r.right_ones for r in rows) >= 0.9 * sum(r.n for r in rows), rows
