@@ -45,7 +45,3 @@ def topics_to_index(batch: DataFrame, store: DataFrame, text: str = "text", orde
     named = batch.filter(F.trim(F.col(text)) != "").withColumn("id", tx.topic_id(F.col(text)))
     first = top_n(named, 1, ["id"], [order], "_rank").drop("_rank")
     return first.join(store.select("id"), "id", "left_anti")
-
-
-def index_topics(batch: DataFrame, store: DataFrame, embedder=None, dims: int = 256) -> DataFrame:
-    return embed(topics_to_index(batch, store), "text", "vector", embedder, dims)

@@ -125,7 +125,8 @@ def thin_candidates(scored: DataFrame, threshold: float = settings.DUPLICATE_THR
 
 
 def fallback_questions(topic: Column) -> Column:
-    return F.array(F.concat(topic, F.lit(" trends")), F.concat(topic, F.lit(" alternatives")), F.concat(F.lit("how to use "), topic))
+    parts = [template.split("{}") for template in settings.FALLBACK_QUESTIONS]
+    return F.array(*[F.concat(F.lit(before), topic, F.lit(after)) for before, after in parts])
 
 
 def topics_or_query(topics: Column, query: Column) -> Column:

@@ -34,7 +34,7 @@ def usage_events(events: DataFrame) -> DataFrame:
     """Token usage out of trace events: only successful calls that report usage; missing counts are 0."""
     kept = events.filter((F.col("phase") == "ok") & F.col("usage").isNotNull() & F.col("session_id").isNotNull())
     count = lambda name: F.coalesce(F.col(f"usage.{name}"), F.lit(0).cast("bigint"))
-    return kept.select("session_id", F.col("scope").alias("stage"), F.coalesce("model", F.lit("gemini")).alias("model"),
+    return kept.select("session_id", F.col("scope").alias("stage"), F.coalesce("model", F.lit(settings.DEFAULT_MODEL)).alias("model"),
                        count("promptTokenCount").alias("prompt_tokens"), count("candidatesTokenCount").alias("output_tokens"),
                        count("totalTokenCount").alias("total_tokens"))
 

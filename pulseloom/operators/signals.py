@@ -73,7 +73,7 @@ def extract_signals(posts: DataFrame, replies: DataFrame, *, ordinal: str = "ord
     broken = ~F.coalesce(read, F.lit(False)) & F.col("reply").isNotNull() & doc.isNull()
     read = F.coalesce(read, F.lit(False))
     items = F.concat(F.lit("Cluster of "), F.col("evidence_count").cast("string"), F.lit(" items "))
-    failed = F.when(broken, F.concat(items, F.lit("(LLM extraction failed)"))).otherwise(F.concat(items, F.lit("(LLM error)")))
+    failed = F.concat(items, F.when(broken, settings.UNREADABLE_REPLY).otherwise(settings.FAILED_REPLY))
     defaults = {"sentiment": "neutral", "intent": "discussion"}
     field = lambda name: F.when(read, js.text_field(doc, f"$.{name}", defaults.get(name, "")))
     return rows.select(

@@ -143,9 +143,8 @@ class Run:
         """Token rows of all stages."""
         texts = s.read("normalized").select("session_id", tx.embedding_input(F.col("title"), F.col("text"), self.embed_chars).alias("_t")).unionByName(
             self.queries.select("session_id", F.col("query").alias("_t")))
-        answered = {"extract_signals": s.read("replies")} | ({"synthesize": s.read("synthesis")} if self.synthesis else {})
-        return sg.run_usage(s1_relevance=sg.embedding_usage(texts, "_t"),
-                            **{n: r.filter("reply is not null").withColumn("model", F.lit("reply")) for n, r in answered.items()})
+        answered = {settings.EXTRACTION_STAGE: s.read("replies")} | ({settings.SYNTHESIS_STAGE: s.read("synthesis")} if self.synthesis else {})
+        return sg.run_usage(**{settings.EMBEDDING_STAGE: sg.embedding_usage(texts, "_t")}, **{n: r.filter("reply is not null").withColumn("model", F.lit("reply")) for n, r in answered.items()})
 
 
 def arrival(query_ord: Column, platform_ord: Column, pos: Column) -> Column:

@@ -13,8 +13,8 @@ def as_of():
     return F.timestamp_seconds(F.lit(AS_OF_SECONDS))
 
 
-EMOJI_SQL = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{1F1E6}-\x{1F1FF}\x{2190}-\x{21FF}\x{FE0F}]+"
-BOILER_SQL = r"(?i)edit\s*:\s*thanks?\s*(for|to)\s*(the\s+)?(awards?|gold|silver|platinum)|\[deleted\]|\[removed\]|https?://\S+"
+EMOJI_SQL = tx.EMOJI
+BOILER_SQL = tx.BOILERPLATE.replace("(?iU)", "(?i)")  # DuckDB has no U flag
 
 
 def sql_clean(x: str) -> str:

@@ -58,6 +58,13 @@ HARVEST_TOP_K = 10
 PLATFORMS = ["reddit", "youtube", "hackerNews", "instagram"]
 RUN_STAGES = ["intent_analysis", "topic_expansion", "collection", "python_analysis"]
 
+# Texts and names that results carry.
+UNREADABLE_REPLY = "(LLM extraction failed)"
+FAILED_REPLY = "(LLM error)"
+FALLBACK_QUESTIONS = ["{} trends", "{} alternatives", "how to use {}"]
+DEFAULT_MODEL = "gemini"
+EMBEDDING_STAGE, EXTRACTION_STAGE, SYNTHESIS_STAGE = "s1_relevance", "extract_signals", "synthesize"
+
 # Sizes that steer the physical layout only; results do not depend on them.
 BLOCK_ROWS = 2048          # rows on one side of a similarity block
 MMR_POOL_ROWS = 1000       # candidates one task diversifies between two passes over the data

@@ -59,9 +59,6 @@ def interest_over_time(payloads: DataFrame, keys: list[str]) -> DataFrame:
                        F.get("p.hasData", F.col("keyword_pos")).alias("has_data"))
 
 
-def interest_averages(payloads: DataFrame, keys: list[str]) -> DataFrame:
-    return _read(payloads, keys, "interestOverTime").select(*keys, F.posexplode("d.averages").alias("keyword_pos", "average"))
-
 
 def interest_by_region(payloads: DataFrame, keys: list[str]) -> DataFrame:
     rows = _read(payloads, keys, "interestByRegion").select(*keys, F.posexplode("d.geoMapData").alias("pos", "r"))
