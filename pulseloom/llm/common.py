@@ -11,9 +11,23 @@ from pyspark.sql.window import Window
 from pulseloom.session import ensure_checkpoint_dir
 
 
+_MADE: list[str] = []  # folders of this driver, for ``remove_runs``
+
+
 def run_folder(spark: SparkSession, name: str) -> str:
     """A new folder for one run under the shared folder that ``spark.checkpoint.dir`` names."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(folder)
+    return folder
+
+
+def remove_runs(spark: SparkSession) -> int:
+    """Removes the intermediate tables and files of all runs so far; for after their results are written elsewhere."""
+    removed, conf = 0, spark.sparkContext._jsc.hadoopConfiguration()
+    while _MADE:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        removed += bool(target.getFileSystem(conf).delete(target, True))
+    return removed
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

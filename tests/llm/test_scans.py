@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pulseloom.llm import pii, quality, queries, secret_scan, url_filter, warc
-from pulseloom.llm.common import run_folder, stored
+from pulseloom.llm.common import remove_runs, run_folder, stored
 
 CLASHING = "doc_id long, text string, spans string, kind string, _key long, base string, kinds string, value string"
 
@@ -220,3 +220,10 @@ def test_every_operator_has_a_query():
     names = queries.queries()
     assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10 and "pipeline" in names
     assert quality.THRESHOLD == 0.7
+
+
+def test_runs_can_be_removed(spark):
+    remove_runs(spark)
+    table = stored(spark.range(5), "gone")
+    assert table.count() == 5 and remove_runs(spark) == 1 and remove_runs(spark) == 0
+    assert stored(spark.range(3), "next").count() == 3
