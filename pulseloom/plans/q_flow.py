@@ -2,7 +2,7 @@
 
 import json
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from pulseloom.operators import grouping as gr, signals as sg
 from pulseloom.operators.hooks import parse_pages, provide_replies
@@ -93,7 +93,7 @@ def mention_growth(t):
     return g.select("event_type", F.unix_seconds("window_start").alias("day_s"), "mentions", "previous", F.round("growth", 6).alias("growth"))
 
 
-def streamed(t, build, mode, name):
+def streamed(t, build, mode, name, keys=()):
     """Drive a streaming query over the events file to its end and read what it wrote."""
     schema = t.events.schema
     source = t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
@@ -101,13 +101,17 @@ def streamed(t, build, mode, name):
     out = build(source.withColumn("at", F.col("ts").cast("timestamp")))
 
     def keep(batch, epoch):
-        batch.write.mode("overwrite").parquet(f"{folder}/rows")
+        # only changed keys, each batch in a folder of its own: a batch that is repeated replaces itself
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/epoch={epoch}")
 
     writer = out.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
     if mode == "append":
         writer.format("parquet").option("path", f"{folder}/rows").start().awaitTermination()
     else:
         writer.foreachBatch(keep).start().awaitTermination()
+    if mode == "update":
+        rows = t.spark.read.schema(T.StructType(out.schema.fields + [T.StructField("epoch", T.LongType())])).parquet(f"{folder}/rows")
+        return feeds.latest_of_key(rows, keys, "epoch")
     return t.spark.read.schema(out.schema).parquet(f"{folder}/rows")
 
 
@@ -120,13 +124,12 @@ def first_seen(t):
 def running_tokens(t):
     usage = lambda s: s.select(F.col("user_id").alias("session_id"), F.col("event_type").alias("stage"), F.lit("m").alias("model"),
                                F.floor(F.col("value") * 100).alias("prompt_tokens"), (F.col("event_id") % 500).alias("output_tokens"), F.lit(0).cast("bigint").alias("total_tokens"))
-    return streamed(t, lambda s: feeds.running_tokens(usage(s)), "complete", "tokens").select("session_id", "stage", "prompt_tokens", "output_tokens")
+    return streamed(t, lambda s: feeds.running_tokens(usage(s)), "update", "tokens", ["session_id", "stage"]).select("session_id", "stage", "prompt_tokens", "output_tokens")
 
 
 @query("udf_01_embedder", "select doc_id, length(text)::double as first, 3 as dims from documents")
 def own_embedder(t):
     import pandas as pd
-    from pyspark.sql import types as T
     from pyspark.sql.functions import pandas_udf
 
     from pulseloom.operators.embedding import embed

@@ -34,3 +34,9 @@ def volume_growth(volume: DataFrame, topic: str) -> DataFrame:
 
 def growth(now: Column, before: Column) -> Column:
     return F.when(before > 0, (now - before) / before)
+
+
+def latest_of_key(rows: DataFrame, keys: list[str], epoch: str) -> DataFrame:
+    """The newest row of each key out of the updates that a stream has written batch by batch."""
+    rest = [c for c in rows.columns if c not in (*keys, epoch)]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), epoch).alias("_row")).select(*keys, "_row.*")
