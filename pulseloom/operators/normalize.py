@@ -27,60 +27,61 @@ def _number(name: str) -> Column:
     return F.coalesce(F.col(name).cast("bigint"), F.lit(0).cast("bigint"))
 
 
-def _as_post(df: DataFrame, as_of: Column, source: str, id_prefix: str, *, title: Column, author: Column, score: Column,
-             comments: Column, created: Column, url: Column, native: str, subreddit: Column | None = None,
-             channel: Column | None = None) -> DataFrame:
-    created = created.alias("created_at")
-    shaped = df.select(
-        *CONTEXT, F.concat(F.lit(id_prefix), F.col(native)).alias("id"), F.lit(source).alias("source"), "text",
-        title.alias("title"), author.alias("author"), score.alias("score"), comments.alias("num_comments"), created,
-        url.alias("url"), *[(F.lit("") if x is None else x).alias(n) for n, x in (("subreddit", subreddit), ("channel", channel))])
-    return shaped.withColumn("engagement", engagement(F.lit(source), F.col("score"), F.col("num_comments"),
-                                                      F.col("created_at"), as_of)).select(*POST_COLUMNS)
-
-
-def _readable(df: DataFrame, title: str, body: str) -> DataFrame:
-    """Cheap test first; the language is only looked up for texts that are long enough."""
-    composed = with_once(df, text=tx.compose(F.col(title), F.col(body)))
-    return composed.filter(enough_words(F.col("text")) & in_language(F.col("text")))
-
-
-def from_reddit(df: DataFrame, as_of: Column) -> DataFrame:
-    human = df.filter(not_a_bot(F.col("author")))
-    clean = with_once(human, _t=tx.clean_text(F.col("title")), _b=tx.clean_text(F.col("body")))
-    kept = _readable(clean.filter(not_deleted(F.col("_t"), F.col("_b"))), "_t", "_b")
-    return _as_post(kept, as_of, "reddit", "reddit_", native="postId", title=F.col("_t"), author=_text("author"),
-                    score=_number("score"), comments=_number("comments"),
-                    created=parse_moment(F.col("createdIso"), as_of), url=_text("permalink"), subreddit=_text("subreddit"))
-
-
-def from_youtube(df: DataFrame, as_of: Column) -> DataFrame:
+def _landed(df: DataFrame, source: str, id_prefix: str, *, title: Column, body: Column, author: Column, score: Column, comments: Column,
+            created: Column, url: Column, native: str, subreddit: Column | None = None, channel: Column | None = None) -> DataFrame:
+    """The posts of one platform in the common shape, their texts not yet cleaned."""
+    empty = F.lit("")
+    return df.select(
+        *CONTEXT, F.concat(F.lit(id_prefix), F.col(native)).alias("id"), F.lit(source).alias("source"), title.alias("_title"), body.alias("_body"),
+        author.alias("author"), score.alias("score"), comments.alias("num_comments"), created.alias("created_at"), url.alias("url"),
+        (empty if subreddit is None else subreddit).alias("subreddit"), (empty if channel is None else channel).alias("channel"))
+
+
+def landed_reddit(df: DataFrame, as_of: Column) -> DataFrame:
+    return _landed(df.filter(not_a_bot(F.col("author"))), "reddit", "reddit_", native="postId", title=F.col("title"), body=F.col("body"),
+                   author=_text("author"), score=_number("score"), comments=_number("comments"),
+                   created=parse_moment(F.col("createdIso"), as_of), url=_text("permalink"), subreddit=_text("subreddit"))
+
+
+def landed_youtube(df: DataFrame, as_of: Column) -> DataFrame:
     popular = df.withColumn("_views", tx.digits(_text("viewsText"))).filter(enough_views(F.col("_views")))
-    clean = with_once(popular, _t=tx.clean_text(F.col("title")), _b=tx.clean_text(F.col("description")))
-    kept = _readable(clean, "_t", "_b")
-    return _as_post(kept, as_of, "youtube", "youtube_", native="id", title=F.col("_t"), author=_text("channelName"),
-                    score=F.col("_views"), comments=F.lit(0).cast("bigint"),
-                    created=parse_moment(F.col("publishedText"), as_of), url=_text("url"), channel=_text("channelName"))
+    return _landed(popular, "youtube", "youtube_", native="id", title=F.col("title"), body=F.col("description"), author=_text("channelName"),
+                   score=F.col("_views"), comments=F.lit(0).cast("bigint"), created=parse_moment(F.col("publishedText"), as_of),
+                   url=_text("url"), channel=_text("channelName"))
+
+
+def landed_hackernews(df: DataFrame, as_of: Column) -> DataFrame:
+    return _landed(df, "hackerNews", "hackernews_", native="id", title=F.col("title"), body=F.col("text"), author=_text("author"),
+                   score=_number("points"), comments=_number("comments"), created=parse_moment(F.col("createdAt"), as_of),
+                   url=default_url(F.col("url"), F.col("id")))
+
+
+def landed_instagram(df: DataFrame, as_of: Column) -> DataFrame:
+    return _landed(df, "instagram", "instagram_", native="pk", title=F.col("caption"), body=F.col("transcript"),
+                   author=first_filled(F.col("username"), F.col("full_name")), score=_number("like_count"), comments=_number("comment_count"),
+                   created=from_epoch_seconds(F.col("taken_at").cast("bigint"), as_of), url=_text("url"))
+
+
+def readable_posts(landed: DataFrame, as_of: Column) -> DataFrame:
+    """Cleaned posts of all platforms at once; the junk of each dropped. Cheap tests first: the language is only looked up
+    for texts that are long enough."""
+    clean = with_once(landed, _t=tx.clean_text(F.col("_title")), _b=tx.clean_text(F.col("_body"))).drop("_title", "_body")
+    there = ~F.col("source").isin("reddit", "hackerNews") | not_deleted(F.col("_t"), F.col("_b"))
+    composed = with_once(clean.filter(there), text=tx.compose(F.col("_t"), F.col("_b")))
+    kept = composed.filter(enough_words(F.col("text")) & in_language(F.col("text")))
+    title = F.when(F.col("source") == "instagram", tx.truncate(F.col("_t"), 100)).otherwise(F.col("_t"))
+    return kept.withColumn("title", title).withColumn("engagement", engagement(
+        F.col("source"), F.col("score"), F.col("num_comments"), F.col("created_at"), as_of)).select(*POST_COLUMNS)
 
 
-def from_hackernews(df: DataFrame, as_of: Column) -> DataFrame:
-    clean = with_once(df, _t=tx.clean_text(F.col("title")), _b=tx.clean_text(F.col("text"))).drop("text")
-    kept = _readable(clean.filter(not_deleted(F.col("_t"), F.col("_b"))), "_t", "_b")
-    return _as_post(kept, as_of, "hackerNews", "hackernews_", native="id", title=F.col("_t"), author=_text("author"),
-                    score=_number("points"), comments=_number("comments"),
-                    created=parse_moment(F.col("createdAt"), as_of), url=default_url(F.col("url"), F.col("id")))
+LANDED = {"reddit": landed_reddit, "youtube": landed_youtube, "hackerNews": landed_hackernews, "instagram": landed_instagram}
 
 
-def from_instagram(df: DataFrame, as_of: Column) -> DataFrame:
-    clean = with_once(df, _c=tx.clean_text(F.col("caption")), _s=tx.clean_text(F.col("transcript")))
-    kept = _readable(clean, "_c", "_s")
-    return _as_post(kept, as_of, "instagram", "instagram_", native="pk", title=tx.truncate(F.col("_c"), 100),
-                    author=first_filled(F.col("username"), F.col("full_name")), score=_number("like_count"),
-                    comments=_number("comment_count"),
-                    created=from_epoch_seconds(F.col("taken_at").cast("bigint"), as_of), url=_text("url"))
+def _normalizer(name: str):
+    return lambda df, as_of: readable_posts(LANDED[name](df, as_of), as_of)
 
 
-NORMALIZERS = {"reddit": from_reddit, "youtube": from_youtube, "hackerNews": from_hackernews, "instagram": from_instagram}
+NORMALIZERS = {name: _normalizer(name) for name in LANDED}
 
 
 def first_occurrence(posts: DataFrame) -> DataFrame:
@@ -94,5 +95,5 @@ def first_occurrence(posts: DataFrame) -> DataFrame:
 
 def normalize(platforms: dict[str, DataFrame], as_of: Column) -> DataFrame:
     """Union of the given platforms' posts, junk dropped before repeats are."""
-    parts = [NORMALIZERS[name](platforms[name], as_of) for name in settings.PLATFORMS if name in platforms]
-    return first_occurrence(reduce(DataFrame.unionByName, parts))
+    parts = [LANDED[name](platforms[name], as_of) for name in settings.PLATFORMS if name in platforms]
+    return first_occurrence(readable_posts(reduce(DataFrame.unionByName, parts), as_of))
