@@ -79,6 +79,20 @@ def test_components_are_those_of_all_pairs(spark, copies, percent):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got.values())
 
 
+@pytest.mark.parametrize("percent, own", [(80, 12), (85, 9)])
+def test_pairs_in_a_family_just_under_the_threshold_are_found(spark, percent, own):
+    # all share 88 or 91 of 100 shingles (0.786 or 0.835); documents 2k and 2k + 1 of the first 160 share two more (0.818 or 0.869)
+    rng = random.Random(11)
+    common = prose(rng, 104 - own)
+    word = lambda: f"w{rng.randrange(10 ** 12)}"
+    rows = []
+    for k in range(1600):
+        two = rows[-1][1].split()[104 - own:106 - own] if k < 160 and k % 2 else [word(), word()]
+        rows.append((k, " ".join([common, *two, *[word() for _ in range(own - 2)]])))
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(frame(spark, rows), percent=percent).collect()}
+    assert got == {k: k - k % 2 if k < 160 else k for k in range(1600)}
+
+
 def test_repeated_and_missing_ids_have_rows_of_their_own(spark):
     rows = [(7, "a b c d e f"), (7, "a b c d e f"), (7, "other words are here now"), (None, "a b c d e f"), (9, "a b c d e f")]
     got = neardup.near_duplicates(frame(spark, rows)).collect()
