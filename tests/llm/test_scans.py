@@ -119,6 +119,14 @@ def test_contexts_betray_unseen_identifiers(spark):
     assert all(kind == "email" for k in range(8) for kind, _ in got[k])
 
 
+def test_contexts_betray_identifiers_of_other_shapes(spark):
+    rows = [(k, f"my phone: +49 30 12345{k:02d} is best") for k in range(40)] + [(100 + k, f"the account card: {n} is mine") for k, n in enumerate(
+        n for n in (str(4111111111110000 + j) for j in range(400)) if luhn(n))]
+    rows += [(900, "my phone: 555-3824 is best"), (901, "the account card: ab12cd34ef56gh78 is mine"), (902, "room 12 is free, ask for b4 there")]
+    got = {r.doc_id: [(s.kind, s.value) for s in r.spans] for r in pii.find(frame(spark, rows)).collect()}
+    assert got[900] == [("like_phone", "555-3824")] and got[901] == [("like_card", "ab12cd34ef56gh78")] and got[902] == []
+
+
 def test_redaction_keeps_the_rest(spark):
     rows = [(1, "é😀 a@b.c and 10.0.0.1, call +1 (743) 555-3824!"), (2, "nothing"), (3, None), (3, "x@y.z"), (None, "x@y.z")]
     docs = frame(spark, rows)
