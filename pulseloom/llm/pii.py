@@ -4,12 +4,13 @@ The fixed forms (e-mail and IP addresses, card and phone numbers) are seeds. Eve
 ``@``, and every phone-like run, is an instance; the words next to it are its patterns: one or two on the left, one or two on
 the right, and one on each side. A pattern is scored for a kind by the share of its distinct instances that are of
 that kind, an instance by the patterns it is met with, whose odds are changed by its shape and its length: by how much more
-frequent they are among the kind's seeds than among all instances, and down to ``UNLIKE`` if no seed has them. Both are repeated in turn. Instances that are no seed and whose score
+frequent they are among the kind's seeds than among all instances, and down to ``UNLIKE`` if no seed has them. Both are repeated in turn,
+until no instance becomes sure; sure instances count as seeds. Instances that are no seed and whose score
 reaches the threshold are reported as ``like_<kind>``, wherever they stand.
 
 Null and empty texts have no spans. Equal rows get equal results; ids may repeat or be null. Columns other than the id and
-the text play no part. Instances longer than ``INSTANCE_CHARS`` (no identifiers, but whole blocks of data) give no
-patterns and are not discovered; the fixed forms have no such bound.
+the text play no part. Instances may have any length: they are told apart by a hash of 64 bits. The words next to them
+are looked for in the ``CONTEXT_CHARS`` characters on each side.
 """
 
 from __future__ import annotations
@@ -27,12 +28,11 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 INSTANCE = r"\+[0-9][\x20().0-9-]+[0-9]|(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 KINDS = ["email", "ip", "card", "phone"]
 
-INSTANCE_CHARS = 64
-MIN_SEEDS = 5        # distinct seeds a pattern must have been met with
+CONTEXT_CHARS = 64
+MIN_SEEDS = 5        # distinct seeds or sure instances a pattern must have been met with
 THRESHOLD = 0.8      # score from which patterns spread and instances are reported
 SMOOTHING = 1.0      # unlabelled instances every pattern is thought to have besides
 UNLIKE = 0.5         # odds of an instance whose shape or length no seed has
-ROUNDS = 2
 
 
 def _digits(value: Column) -> Column:
@@ -63,17 +63,17 @@ def _shape(value: Column) -> Column:
 def instances(text: Column) -> Column:
     """``start, end, value`` of all instances, cut of the punctuation around them, and the words next to them: ``left, right``
     one, ``left2, right2`` two."""
-    inner = r"^[^\p{L}\p{N}+]*+(.*?)[^\p{L}\p{N}]*$"
-    bounded = F.filter(found(text, INSTANCE), lambda s: F.length(s["value"]) <= INSTANCE_CHARS)
+    # each run of punctuation is looked at once, however long
+    ahead, behind = r"^[^\p{L}\p{N}+]++", r"(?<![^\p{L}\p{N}])[^\p{L}\p{N}]++$"
 
     def one(s):
-        value = F.regexp_extract(s["value"], inner, 1)
-        start = (s["start"] + F.length(F.regexp_extract(s["value"], r"^[^\p{L}\p{N}+]*+", 0))).cast("int")
-        before, after = F.lower(F.right(s["before"], F.lit(INSTANCE_CHARS))), F.lower(F.left(s["after"], F.lit(INSTANCE_CHARS)))
+        value = F.regexp_replace(F.regexp_replace(s["value"], ahead, ""), behind, "")
+        start = (s["start"] + F.length(F.regexp_extract(s["value"], ahead, 0))).cast("int")
+        before, after = F.lower(F.right(s["before"], F.lit(CONTEXT_CHARS))), F.lower(F.left(s["after"], F.lit(CONTEXT_CHARS)))
         return F.struct(start.alias("start"), (start + F.length(value)).cast("int").alias("end"), value.alias("value"),
                         F.regexp_extract(before, r"(\S+)\s*$", 1).alias("left"), F.regexp_extract(after, r"^\s*(\S+)", 1).alias("right"),
                         F.regexp_extract(before, r"(\S+\s+\S+)\s*$", 1).alias("left2"), F.regexp_extract(after, r"^\s*(\S+\s+\S+)", 1).alias("right2"))
-    return F.filter(F.transform(bounded, one), lambda s: F.length(s["value"]) > 0)
+    return F.filter(F.transform(found(text, INSTANCE), one), lambda s: F.length(s["value"]) > 0)
 
 
 def _likelihoods(values: DataFrame, name: str) -> DataFrame:
@@ -86,8 +86,8 @@ def _likelihoods(values: DataFrame, name: str) -> DataFrame:
     return stored(counts.join(F.broadcast(total)).select(name, F.inline(each)), "likelihoods")
 
 
-def discovered(met: DataFrame, *, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, threshold: float = THRESHOLD) -> DataFrame:
-    """``value, kind, score`` of the instances that good patterns betray, from ``value, left, right, left2, right2, kind`` (null: no seed).
+def discovered(met: DataFrame, *, rounds: int | None = None, min_seeds: int = MIN_SEEDS, threshold: float = THRESHOLD) -> DataFrame:
+    """``value`` (a hash), ``kind, score`` of the instances that good patterns betray, from ``value, left, right, left2, right2, kind`` (null: no seed).
 
     All steps are grouped sums over distinct (pattern, instance) edges: partial sums meet a frequent pattern's shuffle,
     never its rows. Pattern tables are joined by plain equi-joins, which Spark splits where a pattern is frequent.
@@ -95,37 +95,43 @@ def discovered(met: DataFrame, *, rounds: int = ROUNDS, min_seeds: int = MIN_SEE
     alone = lambda side, name: F.when(F.length(name) > 0, F.struct(F.lit(side).alias("side"), F.xxhash64(F.lit(name), name).alias("pattern")))
     both = F.when((F.length("left") > 0) & (F.length("right") > 0), F.struct(F.lit("both").alias("side"), F.xxhash64(F.lit("both"), "left", "right").alias("pattern")))
     contexts = F.array_compact(F.array(alone("left", "left"), alone("left", "left2"), alone("right", "right"), alone("right", "right2"), both))
-    edges = stored(met.select("value", "kind", F.inline(contexts)).groupBy("side", "pattern", "value").agg(F.max("kind").alias("kind")), "edges")
+    own = [F.xxhash64("value").alias("value"), _shape(F.col("value")).alias("_shape"), F.floor(F.log2(F.length("value"))).cast("string").alias("_length")]
+    features = ["_shape", "_length"]
+    edges = stored(met.select(*own, "kind", F.inline(contexts)).groupBy("side", "pattern", "value", *features).agg(F.max("kind").alias("kind")), "edges")
     # a pattern of fewer instances can't have seeds enough
     frequent = edges.groupBy("pattern").agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_seeds).select("pattern")
     edges = stored(edges.join(frequent, "pattern"), "edges")
-    features = {"_shape": _shape(F.col("value")), "_length": F.floor(F.log2(F.length("value")))}
-    values = edges.groupBy("value").agg(F.max("kind").alias("kind")).select("*", *[f.cast("string").alias(name) for name, f in features.items()])
+    values = edges.groupBy("value", *features).agg(F.max("kind").alias("kind"))
     likely = {name: _likelihoods(values, name) for name in features}
     sums = [F.sum(F.when(F.col("kind") == k, F.lit(1.0)).otherwise(F.coalesce(F.col(f"_s_{k}"), F.lit(0.0)))).alias(f"_{k}") for k in KINDS]
     scored = None
-    for turn in range(rounds):
+    turn, sure_before = 0, 0
+    while rounds is None or turn < rounds:
         # instances start unscored; seeds always count as certain
         now = (edges.select("*", *[F.lit(0.0).alias(f"_s_{k}") for k in KINDS]) if scored is None else
                edges.join(scored.filter(F.col("score") >= threshold).groupBy("value").agg(
                    *[F.max(F.when(F.col("_of") == k, F.col("score"))).alias(f"_s_{k}") for k in KINDS]), "value", "left"))
         patterns = now.groupBy("pattern").agg(F.count("*").alias("_n"), *sums, *[
-            F.count_if(F.col("kind") == k).alias(f"_seeds_{k}") for k in KINDS])
+            F.count_if((F.col("kind") == k) | (F.col("kind").isNull() & (F.col(f"_s_{k}") >= threshold))).alias(f"_seeds_{k}") for k in KINDS])
         good = patterns.select("pattern", F.explode(F.array_compact(F.array(*[
             F.when((F.col(f"_seeds_{k}") >= min_seeds) & (F.col(f"_{k}") / (F.col("_n") + SMOOTHING) >= threshold),
                    F.struct(F.lit(k).alias("_of"), (F.col(f"_{k}") / (F.col("_n") + SMOOTHING)).alias("_c"))) for k in KINDS]))).alias("_x")
         ).select("pattern", "_x.*")
         # an instance is as sure as its sides together (one minus the product of their doubts), or as the pattern of both
-        sides = edges.filter(F.col("kind").isNull()).join(good, "pattern").groupBy("value", "_of").agg(*[
+        sides = edges.filter(F.col("kind").isNull()).join(good, "pattern").groupBy("value", "_of", *features).agg(*[
             F.coalesce(F.max(F.when(F.col("side") == side, F.col("_c"))), F.lit(0.0)).alias(f"_{side}") for side in ("left", "right", "both")])
-        sure = sides.select("value", "_of", F.greatest(1 - (1 - F.col("_left")) * (1 - F.col("_right")), F.col("_both")).alias("_c"),
-                            *[f.cast("string").alias(name) for name, f in features.items()])
+        sure = sides.select("value", "_of", F.greatest(1 - (1 - F.col("_left")) * (1 - F.col("_right")), F.col("_both")).alias("_c"), *features)
         for name, table in likely.items():
             sure = sure.join(F.broadcast(table), ["_of", name], "left")
         odds = F.col("_c") / F.greatest(1 - F.col("_c"), F.lit(1e-9))
         for name in likely:
             odds = odds * F.coalesce(f"{name}_odds", F.lit(UNLIKE))
         scored = stored(sure.select("value", "_of", (odds / (1 + odds)).alias("score")), "scores")
+        # scores never fall from one turn to the next, so an equal number is the same instances
+        turn, sure_now = turn + 1, scored.filter(F.col("score") >= threshold).count()
+        if sure_now == sure_before:
+            break
+        sure_before = sure_now
     best = scored.filter(F.col("score") >= threshold).groupBy("value").agg(F.max(F.struct("score", "_of")).alias("_b"))
     return best.select("value", F.col("_b._of").alias("kind"), F.col("_b.score").alias("score"))
 
@@ -142,8 +148,8 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **l
     # the seed that an instance overlaps, if any
     seed = F.filter("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
     met = met.select("_id", "_key", "start", "end", "value", "left", "right", "left2", "right2", F.get(seed, F.lit(0))["kind"].alias("kind"))
-    new = discovered(met, **learning).withColumnRenamed("kind", "_as")
-    more = met.filter(F.col("kind").isNull()).join(new, "value").groupBy("_id", "_key").agg(F.array_sort(F.collect_set(F.struct(
+    new = discovered(met, **learning).select(F.col("value").alias("_value"), F.col("kind").alias("_as"))
+    more = met.filter(F.col("kind").isNull()).join(new, F.xxhash64("value") == F.col("_value")).groupBy("_id", "_key").agg(F.array_sort(F.collect_set(F.struct(
         F.concat(F.lit("like_"), F.col("_as")).alias("kind"), "start", "end", "value"))).alias("_more")).withColumnRenamed("_id", "_other")
     rows = scanned.select("_id", "_key", "base")
     more = more.withColumnRenamed("_key", "_k")

@@ -127,6 +127,16 @@ def test_contexts_betray_identifiers_of_other_shapes(spark):
     assert got[900] == [("like_phone", "555-3824")] and got[901] == [("like_card", "ab12cd34ef56gh78")] and got[902] == []
 
 
+def test_discovered_identifiers_teach_further_contexts(spark):
+    # seeds stand before "alpha" alone; "bravo" is reached through values met before "alpha", "delta" through those of "bravo"
+    lines = [f"user{k}@host.example.com alpha" for k in range(3000)] + [f"room {k} is free" for k in range(3000)]
+    lines += [f"userb{k:03d}@localhost {word}" for k in range(150) for word in ("alpha", "bravo")]
+    lines += [f"userc{k:03d}@localhost {word}" for k in range(20) for word in ("bravo", "delta")]
+    rows = list(enumerate(lines)) + [(9000, "userlast@localhost delta"), (9001, f"user{'x' * 80}@localhost alpha")]
+    got = {r.doc_id: [(s.kind, s.value) for s in r.spans] for r in pii.find(frame(spark, rows)).collect()}
+    assert got[9000] == [("like_email", "userlast@localhost")] and got[9001] == [("like_email", f"user{'x' * 80}@localhost")]
+
+
 def test_redaction_keeps_the_rest(spark):
     rows = [(1, "é😀 a@b.c and 10.0.0.1, call +1 (743) 555-3824!"), (2, "nothing"), (3, None), (3, "x@y.z"), (None, "x@y.z")]
     docs = frame(spark, rows)
