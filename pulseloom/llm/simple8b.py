@@ -7,7 +7,7 @@ The low four bits of a word are its selector: how many ids follow and how many b
 the rest of the word is the number of an entry in the escape table, which holds ids of more than 60 bits whole.
 
 Documents lie in ascending ``doc_id`` order over all files of a folder; those of equal id by text. Null and empty texts
-hold the end id alone. A lost task writes its files anew under the same names and with the same bytes.
+hold the end id alone. Rows with a null id have no place in that order: they are left out. A lost task writes its files anew under the same names and with the same bytes.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from pulseloom.llm.tokens import Encoder, slices
 
 MAGIC = b"S8BTOK01"
 BLOCK = 4096
+RUN = 256 * BLOCK  # ids that are packed or unpacked at once
 IDS_PER_FILE = 16_000_000
 # fixed values: ids in a word and bits of each, by selector; 0 is the escape, 1 is not used
 COUNTS = np.array([1, 0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
@@ -95,28 +96,88 @@ def unpack_blocks(words: np.ndarray, escapes: np.ndarray, first_word: np.ndarray
     return ids
 
 
+class Packer:
+    """The contents of one file: ids are packed as soon as they fill a block, only words and escapes are kept."""
+
+    def __init__(self):
+        self.rest = np.zeros(0, np.uint64)  # less than a block
+        self.ids = self.words = self.escapes = 0
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.doc_ids: list[np.ndarray] = []
+        self.sizes: list[np.ndarray] = []
+
+    def add(self, doc_ids: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        self.doc_ids.append(doc_ids)
+        self.sizes.append(sizes)
+        self.ids += len(ids)
+        held = np.concatenate([self.rest, ids.astype(np.uint64)]) if len(self.rest) else ids
+        full = len(held) // BLOCK * BLOCK
+        for at in range(0, full, RUN):
+            self._pack(held[at:min(at + RUN, full)])
+        self.rest = held[full:].astype(np.uint64)
+
+    def _pack(self, ids: np.ndarray) -> None:
+        words, escapes, first_word, first_escape = pack_blocks(ids)
+        self.parts.append((words, escapes, first_word + self.words, first_escape + self.escapes))
+        self.words += len(words)
+        self.escapes += len(escapes)
+
+    def chunks(self) -> list[bytes]:
+        if len(self.rest) or not self.parts:
+            self._pack(self.rest)
+        words, escapes, first_word, first_escape = ([p[k] for p in self.parts] for k in range(4))
+        docs, blocks = sum(map(len, self.doc_ids)), sum(map(len, first_word))
+        head = np.array([BLOCK, docs, self.ids, blocks, self.words, self.escapes, 0, 0], "<u8")
+        out = [MAGIC, head.tobytes()]
+        for arrays, kind in ((first_word, "<u8"), (first_escape, "<u8"), (words, "<u8"), (escapes, "<u8"), (self.doc_ids, "<i8"), (self.sizes, "<u8")):
+            out += [array.astype(kind).tobytes() for array in arrays]
+        return out
+
+
 def file_chunks(doc_ids: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> list[bytes]:
-    words, escapes, first_word, first_escape = pack_blocks(ids)
-    head = np.array([BLOCK, len(doc_ids), len(ids), len(first_word), len(words), len(escapes), 0, 0], "<u8")
-    return [MAGIC, head.tobytes(), first_word.astype("<u8").tobytes(), first_escape.astype("<u8").tobytes(),
-            words.astype("<u8").tobytes(), escapes.astype("<u8").tobytes(),
-            doc_ids.astype("<i8").tobytes(), sizes.astype("<u8").tobytes()]
+    packer = Packer()
+    packer.add(doc_ids, sizes, ids)
+    return packer.chunks()
 
 
-def parse_file(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document ids, ids per document, and all ids of a file."""
+def file_parts(data: bytes, most: int = RUN):
+    """Document ids, ids per document, and their ids, for the documents of a file in parts of about ``most`` ids.
+
+    Only the blocks that a part touches are decoded for it.
+    """
     if data[:8] != MAGIC:
         raise ValueError("not a file of packed token ids")
-    _, docs, total, blocks, words, escapes, _, _ = (int(x) for x in np.frombuffer(data, "<u8", 8, 8))
-    at, parts = 72, []
+    block_ids, docs, total, blocks, words, escapes, _, _ = (int(x) for x in np.frombuffer(data, "<u8", 8, 8))
+    at, tables = 72, []
     for kind, count in (("<u8", blocks), ("<u8", blocks), ("<u8", words), ("<u8", escapes), ("<i8", docs), ("<u8", docs)):
-        parts.append(np.frombuffer(data, kind, count, at))
+        tables.append(np.frombuffer(data, kind, count, at))
         at += 8 * count
-    first_word, first_escape, word, escape, doc_ids, sizes = parts
-    ids = unpack_blocks(word, escape, first_word.astype(np.int64), first_escape.astype(np.int64))
-    if len(ids) != total or int(sizes.sum()) != total:
+    first_word, first_escape, word, escape, doc_ids, sizes = tables
+    sizes = sizes.astype(np.int64)
+    ends = np.cumsum(sizes)
+    if (int(ends[-1]) if docs else 0) != total or blocks != max(1, -(-total // block_ids)):
         raise ValueError("a file of packed token ids is damaged")
-    return doc_ids, sizes.astype(np.int64), ids
+    word_ends, escape_ends = np.append(first_word[1:], words).astype(np.int64), np.append(first_escape[1:], escapes).astype(np.int64)
+    done = 0
+    while done < docs:
+        start = int(ends[done - 1]) if done else 0
+        to = max(done + 1, int(np.searchsorted(ends, start + most, side="right")))
+        end = int(ends[to - 1])
+        a, b = start // block_ids, max(start // block_ids + 1, -(-end // block_ids))
+        w, x = int(first_word[a]) if a < blocks else words, int(first_escape[a]) if a < blocks else escapes
+        ids = unpack_blocks(word[w:word_ends[b - 1]], escape[x:escape_ends[b - 1]], first_word[a:b].astype(np.int64) - w,
+                            first_escape[a:b].astype(np.int64) - x) if end > start else np.zeros(0, np.uint64)
+        if len(ids) < end - a * block_ids:
+            raise ValueError("a file of packed token ids is damaged")
+        yield doc_ids[done:to], sizes[done:to], ids[start - a * block_ids:end - a * block_ids]
+        done = to
+
+
+def parse_file(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document ids, ids per document, and all ids of a file."""
+    parts = list(file_parts(data))
+    empty = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
+    return tuple(np.concatenate([p[k] for p in parts]) if parts else empty[k] for k in range(3))
 
 
 def write_ids(docs: DataFrame, folder: str, *, vocabulary: str, end_id: int = 0, id_col: str = "doc_id",
@@ -125,27 +186,23 @@ def write_ids(docs: DataFrame, folder: str, *, vocabulary: str, end_id: int = 0,
     def write(batches):
         shard, attempt = attempt_name()
         own = Encoder(vocabulary)
-        roll, doc_ids, sizes, parts, held = 0, [], [], [], 0
+        roll, packer = 0, Packer()
 
         def close():
             name = f"part-{shard:06d}-{roll:04d}.s8b"
-            docs_, sizes_, ids_ = np.concatenate(doc_ids), np.concatenate(sizes), np.concatenate(parts)
-            chunks = file_chunks(docs_, sizes_, ids_)
+            chunks = packer.chunks()
             write_file(folder, name, chunks, attempt)
-            return pa.RecordBatch.from_pydict({"file": [name], "shard": [shard], "roll": [roll], "n_docs": [len(docs_)],
-                                               "n_ids": [len(ids_)], "n_bytes": [sum(map(len, chunks))]})
+            return pa.RecordBatch.from_pydict({"file": [name], "shard": [shard], "roll": [roll], "n_docs": [sum(map(len, packer.doc_ids))],
+                                               "n_ids": [packer.ids], "n_bytes": [sum(map(len, chunks))]})
         for batch in batches:
             for at, texts in slices(batch.column(1), min(4_000_000, ids_per_file)):
                 ids, counts = own.encode(texts)
-                ends = np.cumsum(counts)
-                doc_ids.append(batch.column(0).slice(at, len(texts)).to_numpy(zero_copy_only=False).astype(np.int64))
-                sizes.append(counts + 1)
-                parts.append(np.insert(ids, ends, end_id))
-                held += len(parts[-1])
-                if held >= ids_per_file:
+                packer.add(batch.column(0).slice(at, len(texts)).to_numpy(zero_copy_only=False).astype(np.int64), counts + 1,
+                           np.insert(ids, np.cumsum(counts), end_id))
+                if packer.ids >= ids_per_file:
                     yield close()
-                    roll, doc_ids, sizes, parts, held = roll + 1, [], [], [], 0
-        if doc_ids:
+                    roll, packer = roll + 1, Packer()
+        if packer.ids:
             yield close()
 
     ordered = (docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
@@ -160,12 +217,14 @@ def with_bases(manifest: DataFrame) -> DataFrame:
 
 
 def read_ids(manifest: DataFrame, folder: str, row, schema: str) -> DataFrame:
-    """Reads the files back. ``row(doc_ids, starts, sizes, ids)`` makes a record batch of a file's documents."""
+    """Reads the files back. ``row(doc_ids, starts, sizes, ids)`` makes a record batch of some documents of a file."""
     def read(batches):
         for batch in batches:
             for file in batch.to_pylist():
-                doc_ids, sizes, ids = parse_file(read_file(folder, file["file"]))
-                yield row(doc_ids, file["base"] + np.cumsum(sizes) - sizes, sizes, ids)
+                base = file["base"]
+                for doc_ids, sizes, ids in file_parts(read_file(folder, file["file"])):
+                    yield row(doc_ids, base + np.cumsum(sizes) - sizes, sizes, ids)
+                    base += int(sizes.sum())
 
     files = max(1, manifest.count())
     return with_bases(manifest).select("file", "base").repartition(files).mapInArrow(read, schema)
