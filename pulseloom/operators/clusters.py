@@ -2,43 +2,72 @@
 
 After Campello, Moulavi, Sander (2013) and McInnes, Healy (2017): core distances, minimum spanning tree of mutual
 reachability, condensed hierarchy, excess-of-mass selection, merging below ``epsilon``.
+
+Squared distances are rounded to whole multiples of 1e-9 and densities are whole numbers, and edges of equal weight come in the
+order of their ends. So a result depends neither on how a group is laid out in blocks nor on rounding.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from pulseloom import settings
-from pulseloom.operators.similarity import any_large, apart, compare_blocks, group_sizes, matrix, unit_rows
+from pulseloom.operators import hierarchy
+from pulseloom.operators.similarity import any_large, compare_blocks, group_sizes, matrix, unit_rows
 from pulseloom.session import cut
 
-CLOSEST = 1e-12  # distance that stands for zero when a density is taken
+GRAIN = 1_000_000_000  # weights are squared distances in parts of this
+DENSEST = 10 ** 21     # the density of points at no distance; others are GRAIN over their distance
+NONE = np.iinfo(np.int64).max
+
+
+def weights_of(sims: np.ndarray) -> np.ndarray:
+    return np.maximum(0, np.floor((2.0 - 2.0 * sims) * GRAIN + 0.5)).astype(np.int64)
+
+
+def density_of(weight: int) -> int:
+    return int(np.floor(GRAIN / np.sqrt(weight / GRAIN) + 0.5)) if weight else DENSEST
 
 
-def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * a @ b.T))
+def density(weight: str) -> Column:
+    """The same of a column."""
+    return F.when(F.col(weight) == 0, F.lit(str(DENSEST)).cast(hierarchy.WIDE)).otherwise(
+        F.floor(F.lit(float(GRAIN)) / F.sqrt(F.col(weight) / F.lit(float(GRAIN))) + 0.5).cast(hierarchy.WIDE))
 
 
-def spanning_edges(weights: np.ndarray) -> list[tuple[float, int, int]]:
-    """Prim's minimum spanning tree of a dense weight matrix."""
+def near(weight, epsilon: float):
+    """Whether two clusters that meet at this weight are too close to be told apart."""
+    root = F.sqrt(F.col(weight) / F.lit(float(GRAIN))) if isinstance(weight, str) else (weight / GRAIN) ** 0.5
+    return root < epsilon
+
+
+def spanning_edges(weights: np.ndarray, rank: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+    """Prim's minimum spanning tree of a dense weight matrix (``NONE``: no edge). Equal weights come by the ranks of their ends."""
     n = weights.shape[0]
-    best, parent = weights[0].copy(), np.zeros(n, dtype=np.int64)
+    rank = np.arange(n) if rank is None else rank
+    order = lambda j: np.minimum(rank, rank[j]) * n + np.maximum(rank, rank[j])
+    best, parent, key = weights[0].copy(), np.zeros(n, dtype=np.int64), order(0)
     outside = np.ones(n, dtype=bool)
     outside[0] = False
     edges = []
     for _ in range(n - 1):
-        j = int(np.argmin(np.where(outside, best, np.inf)))
-        i = int(parent[j])
-        edges.append((float(best[j]), min(i, j), max(i, j)))
+        reach = np.where(outside, best, NONE)
+        least = reach.min()
+        if least == NONE:
+            break
+        equal = np.flatnonzero(reach == least)
+        j = int(equal[np.argmin(key[equal])])
+        edges.append((int(least), *sorted((int(parent[j]), j), key=rank.__getitem__)))
         outside[j] = False
-        closer = outside & (weights[j] < best)
-        best[closer], parent[closer] = weights[j][closer], j
+        other = order(j)
+        closer = outside & ((weights[j] < best) | ((weights[j] == best) & (other < key)))
+        best[closer], parent[closer], key[closer] = weights[j][closer], j, other[closer]
     return edges
 
 
-def flat_clusters(n: int, edges: list[tuple[float, int, int]], min_size: int, epsilon: float) -> np.ndarray:
+def flat_clusters(n: int, edges: list[tuple[int, int, int]], min_size: int, epsilon: float) -> np.ndarray:
     """Labels of ``n`` points from their spanning tree; -1 is noise.
 
     The tree is read bottom-up. A side of a merge that is smaller than ``min_size`` only adds its points to the other
@@ -56,17 +85,17 @@ def flat_clusters(n: int, edges: list[tuple[float, int, int]], min_size: int, ep
     size = [1] * n
     current: list[int | None] = [None] * n      # open cluster of a component
     loose: list[list[int]] = [[i] for i in range(n)]  # points of a component that is no cluster yet
-    joined: list[float] = []                     # per cluster: sum of joining densities
+    joined: list[int] = []                       # per cluster: sum of joining densities
     count: list[int] = []
-    ended: list[float] = []                      # density at which it split off its parent
+    ended: list[int] = []                        # weight at which it split off its parent
     parent: list[int] = []
     parts: list[list[int]] = []
     points: list[list[int]] = []
 
-    def open_cluster(children: list[int], members: list[int], density: float, total: int) -> int:
+    def open_cluster(children: list[int], members: list[int], density: int, total: int) -> int:
         joined.append(density * total)
         count.append(total)
-        ended.append(0.0)
+        ended.append(0)
         parent.append(-1)
         parts.append(children)
         points.append(members)
@@ -74,13 +103,13 @@ def flat_clusters(n: int, edges: list[tuple[float, int, int]], min_size: int, ep
 
     for weight, u, v in sorted(edges):
         a, b = find(u), find(v)
-        density = 1.0 / max(weight, CLOSEST)
+        density = density_of(weight)
         ca, cb = current[a], current[b]
         total = size[a] + size[b]
         if ca is not None and cb is not None:
             made = open_cluster([ca, cb], [], density, total)
             for child in (ca, cb):
-                ended[child], parent[child] = density, made
+                ended[child], parent[child] = weight, made
         elif ca is None and cb is None:
             made = open_cluster([], loose[a] + loose[b], density, total) if total >= min_size else None
         else:
@@ -95,12 +124,12 @@ def flat_clusters(n: int, edges: list[tuple[float, int, int]], min_size: int, ep
 
     labels = np.full(n, -1)
     whole = [c for c in range(len(parent)) if parent[c] == -1]  # the cluster of everything is never selected
-    mass, chosen = [0.0] * len(joined), [False] * len(joined)
+    mass, chosen = [0] * len(joined), [False] * len(joined)
     for c in range(len(joined)):                 # children precede their parent
-        own = joined[c] - ended[c] * count[c]
-        inner = sum(mass[x] for x in parts[c])
-        if c in whole:
+        if parent[c] == -1:
             continue
+        own = joined[c] - density_of(ended[c]) * count[c]
+        inner = sum(mass[x] for x in parts[c])
         chosen[c] = not inner > own
         mass[c] = own if chosen[c] else inner
 
@@ -118,13 +147,13 @@ def flat_clusters(n: int, edges: list[tuple[float, int, int]], min_size: int, ep
         lifted: list[int] = []
         absorbed: set[int] = set()
         for c in selected:
-            if 1.0 / ended[c] >= epsilon:
+            if not near(ended[c], epsilon):
                 lifted.append(c)
                 continue
             if c in absorbed:
                 continue
             top = c
-            while parent[top] not in whole and 1.0 / ended[top] < epsilon:
+            while parent[parent[top]] != -1 and near(ended[top], epsilon):
                 top = parent[top]
             lifted.append(top)
             stack = list(parts[top])
@@ -148,14 +177,13 @@ def flat_clusters(n: int, edges: list[tuple[float, int, int]], min_size: int, ep
 
 def density_clusters(df: DataFrame, *, keys: list[str], id_col: str, vec_col: str,
                      min_size: int = settings.CLUSTER_MIN_SIZE, min_samples: int = settings.CLUSTER_MIN_SAMPLES,
-                     epsilon: float = settings.CLUSTER_EPSILON, block_rows: int = settings.BLOCK_ROWS,
-                     max_rows: int = settings.CLUSTER_MAX_ROWS) -> DataFrame:
+                     epsilon: float = settings.CLUSTER_EPSILON, block_rows: int = settings.BLOCK_ROWS) -> DataFrame:
     """``keys, id, cluster_id``: clusters count from 0 in order of their smallest id, -1 is noise.
 
-    A group of fewer than ``min_size`` rows is one cluster 0. A group of at most one block is clustered in one task;
-    for larger groups the core distances and the spanning tree come from block comparisons and only the tree's scalar
-    edges meet in the end, which is why a group may not exceed ``max_rows``. After diversification a group has at most
-    ``MMR_TOP_K`` rows.
+    A group of fewer than ``min_size`` rows is one cluster 0. Null vectors and vectors of zeros have no direction: they are noise.
+    A group of at most one block is clustered in one task. For larger ones core distances and the edges that can be in the
+    spanning tree come from block comparisons, and the tree, its hierarchy and the choice of clusters are joins and running totals
+    over the edges (``hierarchy``): a group has no largest size.
     """
     base = df.select(*keys, F.col(id_col).alias("_id"), F.col(vec_col).cast("array<double>").alias("_vec"))
     sizes = group_sizes(base, keys)
@@ -166,125 +194,70 @@ def density_clusters(df: DataFrame, *, keys: list[str], id_col: str, vec_col: st
     def whole(table: pa.Table) -> pa.Table:
         table = table.sort_by("_id")
         n = table.num_rows
-        if n < min_size:
-            labels = np.zeros(n)
-        else:
-            unit = unit_rows(matrix(table["_vec"]))
-            dist = distances(unit, unit)
-            np.fill_diagonal(dist, 0.0)
-            near = min(min_samples, n - 1)
-            core = np.partition(dist, near, axis=1)[:, near]
-            reach = np.maximum(dist, np.maximum(core[:, None], core[None, :]))
-            labels = flat_clusters(n, spanning_edges(reach), min_size, epsilon)
+        labels = np.full(n, 0 if n < min_size else -1)
+        some = np.flatnonzero([v is not None and any(v) for v in table["_vec"].to_pylist()]) if n >= min_size else []
+        if len(some) > 1:
+            unit = unit_rows(matrix(table["_vec"].take(pa.array(some))))
+            weights = weights_of(unit @ unit.T)
+            np.fill_diagonal(weights, 0)
+            at = min(min_samples, len(some) - 1)
+            core = np.partition(weights, at, axis=1)[:, at]
+            reach = np.maximum(weights, np.maximum(core[:, None], core[None, :]))
+            labels[some] = flat_clusters(len(some), spanning_edges(reach), min_size, epsilon)
         return pa.table({**{k: table[k] for k in keys}, "_id": table["_id"], "cluster_id": pa.array(labels.astype(np.int32))})
 
     result = sized.filter(F.col("_rows") <= block_rows).drop("_rows").groupBy(*keys).applyInArrow(whole, schema)
     if large_exists:
-        if any_large(sizes, max_rows):
-            raise ValueError(f"a group has more than {max_rows} rows; select representatives before clustering")
         large = cut(sized.filter(F.col("_rows") > block_rows).drop("_rows"))
-        tree = spanning_tree(large, keys=keys, min_samples=min_samples, block_rows=block_rows)
-        result = result.unionByName(_label_trees(large, tree, keys, schema, min_size, epsilon))
+        edges = tree_candidates(large, keys=keys, min_samples=min_samples, block_rows=block_rows)
+        result = result.unionByName(hierarchy.labels(large, edges, keys=keys, min_size=min_size, density=density("_q"), merges=near("_q", epsilon)))
     return result.withColumnRenamed("_id", id_col)
 
 
-def spanning_tree(rows: DataFrame, *, keys: list[str], min_samples: int, block_rows: int) -> DataFrame:
-    """Minimum spanning tree of mutual reachability per group: ``keys, src, dst, weight``.
+def tree_candidates(rows: DataFrame, *, keys: list[str], min_samples: int, block_rows: int) -> DataFrame:
+    """Edges ``keys, _q, _a, _b`` that hold the minimum spanning tree of mutual reachability of each group.
 
     A task keeps, of the pairs it compares, the few smallest distances of each row, then only the edges of its own
     minimum spanning tree: an edge outside the tree of some part of a graph is outside the tree of the whole.
     """
     id_type = rows.schema["_id"].dataType
     base = [rows.schema[k] for k in keys]
-    near_schema = T.StructType(base + [rows.schema["_id"], T.StructField("_d", T.ArrayType(T.DoubleType()))])
+    near_schema = T.StructType(base + [rows.schema["_id"], T.StructField("_d", T.ArrayType(T.LongType()))])
 
     def nearest(left: pa.Table, right: pa.Table, sims: np.ndarray, same: bool) -> pa.Table:
-        dist = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * sims))
+        weights = weights_of(sims)
         if same:
-            np.fill_diagonal(dist, np.inf)
+            np.fill_diagonal(weights, NONE)
         tables = []
-        for side, d in [(left, dist)] if same else [(left, dist), (right, dist.T)]:
+        for side, d in [(left, weights)] if same else [(left, weights), (right, weights.T)]:
             keep = np.sort(d, axis=1)[:, :min_samples]
-            lists = [[x for x in row if x < np.inf] for row in keep.tolist()]
-            tables.append(pa.table({**{k: side[k] for k in keys}, "_id": side["_id"], "_d": pa.array(lists, pa.list_(pa.float64()))}))
+            lists = [[x for x in row if x < NONE] for row in keep.tolist()]
+            tables.append(pa.table({**{k: side[k] for k in keys}, "_id": side["_id"], "_d": pa.array(lists, pa.list_(pa.int64()))}))
         return pa.concat_tables(tables)
 
     everything = -1.0  # every pair counts, so no cell is out of reach
     shortest = compare_blocks(rows, keys, nearest, near_schema, everything, block_rows)
     # each task gives at most min_samples values per row, and a row takes part in as many tasks as there are blocks
-    core = (shortest.select(*keys, "_id", F.explode("_d").alias("_d")).groupBy(*keys, "_id")
-            .agg(F.slice(F.array_sort(F.collect_list("_d")), min_samples, 1)[0].alias("_core")))
+    ordered = F.array_sort(F.flatten(F.collect_list("_d")))
+    core = shortest.groupBy(*keys, "_id").agg(F.element_at(F.slice(ordered, 1, max(min_samples, 1)), -1).alias("_core") if min_samples else F.lit(0).cast("long").alias("_core"))
     cored = cut(rows.join(core, keys + ["_id"]))
-    edge_schema = T.StructType(base + [T.StructField("src", id_type), T.StructField("dst", id_type),
-                                       T.StructField("weight", T.DoubleType())])
+    edge_schema = T.StructType(base + [T.StructField("_q", T.LongType()), T.StructField("_a", id_type), T.StructField("_b", id_type)])
 
     def local_tree(left: pa.Table, right: pa.Table, sims: np.ndarray, same: bool) -> pa.Table:
-        dist = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * sims))
-        reach = np.maximum(dist, np.maximum(left["_core"].to_numpy()[:, None], right["_core"].to_numpy()[None, :]))
+        core = lambda t: t["_core"].to_numpy()
+        reach = np.maximum(weights_of(sims), np.maximum(core(left)[:, None], core(right)[None, :]))
         if same:
             both, weights = left, reach
         else:
             both = pa.concat_tables([left, right])
             n = left.num_rows
-            weights = np.full((both.num_rows, both.num_rows), np.inf)
+            weights = np.full((both.num_rows, both.num_rows), NONE)
             weights[:n, n:], weights[n:, :n] = reach, reach.T
-        if both.num_rows < 2:
-            edges = []
-        else:
-            edges = [e for e in spanning_edges(weights) if e[0] < np.inf]
+        rank = np.empty(both.num_rows, dtype=np.int64)
+        rank[both.append_column("_row", pa.array(np.arange(both.num_rows))).sort_by("_id")["_row"].to_numpy()] = np.arange(both.num_rows)
+        edges = spanning_edges(weights, rank) if both.num_rows else []
         i, j = pa.array([e[1] for e in edges], pa.int64()), pa.array([e[2] for e in edges], pa.int64())
-        return pa.table({**{k: both[k].take(i) for k in keys}, "src": both["_id"].take(i), "dst": both["_id"].take(j),
-                         "weight": pa.array([e[0] for e in edges], pa.float64())})
-
-    edges = compare_blocks(cored, keys, local_tree, edge_schema, everything, block_rows)
-    return _thin_edges(cut(edges), keys, edge_schema)
-
-
-def lightest_forest(edges: list[tuple]) -> list[int]:
-    """Positions of the edges Kruskal's algorithm keeps; edges are (weight, a, b)."""
-    root: dict = {}
-
-    def find(x):
-        while root.setdefault(x, x) != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
+        return pa.table({**{k: both[k].take(i) for k in keys}, "_q": pa.array([e[0] for e in edges], pa.int64()),
+                         "_a": both["_id"].take(i), "_b": both["_id"].take(j)})
 
-    kept = []
-    for at in sorted(range(len(edges)), key=edges.__getitem__):
-        a, b = find(edges[at][1]), find(edges[at][2])
-        if a != b:
-            root[b] = a
-            kept.append(at)
-    return kept
-
-
-def _thin_edges(edges: DataFrame, keys: list[str], schema: T.StructType, bucket_edges: int = 1 << 20) -> DataFrame:
-    """Drop edges that are outside the spanning tree of a bucket of them, until a group's edges fit one bucket."""
-    def thin(table: pa.Table) -> pa.Table:
-        listed = list(zip(table["weight"].to_pylist(), table["src"].to_pylist(), table["dst"].to_pylist()))
-        return table.select(schema.names).take(pa.array(lightest_forest(listed), pa.int64()))
-
-    before = None
-    while True:
-        counts = edges.groupBy(*keys).agg(F.count("*").alias("_edges"))
-        most = counts.agg(F.max("_edges")).first()[0] or 0
-        if most <= bucket_edges or (before is not None and most > 0.9 * before):
-            return edges
-        before = most
-        bucket = F.pmod(F.xxhash64("src", "dst", F.lit(most)), F.ceil(F.col("_edges") / bucket_edges))
-        edges = cut(edges.join(counts, keys).withColumn("_bucket", bucket).groupBy(*keys, "_bucket").applyInArrow(thin, schema))
-
-
-def _label_trees(rows: DataFrame, tree: DataFrame, keys: list[str], schema: T.StructType, min_size: int,
-                 epsilon: float) -> DataFrame:
-    def label(points: pa.Table, edges: pa.Table) -> pa.Table:
-        points = points.sort_by("_id")
-        place = {x: i for i, x in enumerate(points["_id"].to_pylist())}
-        listed = [(w, *sorted((place[s], place[d]))) for s, d, w in
-                  zip(edges["src"].to_pylist(), edges["dst"].to_pylist(), edges["weight"].to_pylist())]
-        listed = [listed[i] for i in lightest_forest(listed)]
-        labels = flat_clusters(points.num_rows, listed, min_size, epsilon)
-        return pa.table({**{k: points[k] for k in keys}, "_id": points["_id"], "cluster_id": pa.array(labels.astype(np.int32))})
-
-    return rows.select(*keys, "_id").groupBy(*keys).cogroup(apart(tree).groupBy(*keys)).applyInArrow(label, schema)
+    return compare_blocks(cored, keys, local_tree, edge_schema, everything, block_rows)

@@ -18,8 +18,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T, Window
 
 from pulseloom import settings
+from pulseloom.session import cut
 
 Kernel = Callable[..., pa.Table]
+BUCKET_ROWS = 64  # rows that a bucket of candidates is meant to hold
+PROBES = 2        # least certain signs of a code that are tried the other way
 
 
 def matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -129,6 +132,85 @@ def similar_pairs(df: DataFrame, threshold: float, *, keys: list[str], id_col: s
     return found.select(*keys, F.least(a, b).alias("id_a"), F.greatest(a, b).alias("id_b"), "sim")
 
 
+def vector_classes(df: DataFrame, *, keys: list[str], id_col: str, vec_col: str) -> tuple[DataFrame, DataFrame]:
+    """``keys, id, vec`` of the distinct vectors of each group, named by their smallest id, and ``keys, id, representative`` of all rows."""
+    rows = df.select(*keys, F.col(id_col), F.col(vec_col))
+    classes = cut(rows.groupBy(*keys, vec_col).agg(F.min(id_col).alias(id_col)).select(*keys, id_col, vec_col))
+    members = rows.join(classes.withColumnRenamed(id_col, "representative"), keys + [vec_col]).select(*keys, id_col, "representative")
+    return classes, members
+
+
+def similar_classes(df: DataFrame, threshold: float, *, keys: list[str], id_col: str, vec_col: str, inclusive: bool = False,
+                    block_rows: int = settings.BLOCK_ROWS, recall: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """All similar pairs in linear space: ``keys, id_a, id_b, sim`` between representatives of distinct vectors, and the members.
+
+    Two rows are similar if their representatives are a pair, or if they share one (their similarity is one, unless it is the
+    zero vector). So n equal vectors give n rows, not n²/2. With ``recall`` the pairs come from ``candidate_pairs``.
+    """
+    classes, members = vector_classes(df, keys=keys, id_col=id_col, vec_col=vec_col)
+    how = dict(keys=keys, id_col=id_col, vec_col=vec_col, inclusive=inclusive, block_rows=block_rows)
+    pairs = similar_pairs(classes, threshold, **how) if recall is None else candidate_pairs(classes, threshold, recall=recall, **how)
+    return pairs, members
+
+
+def _tables_for(rows: int, threshold: float, recall: float) -> tuple[int, int]:
+    """Bits of a code and number of tables, by which a pair just at the threshold is met with the given probability.
+
+    Two vectors at an angle a have equal signs in a random projection with probability 1 - a / pi. More bits make smaller
+    buckets but need more tables; a bucket should hold about ``BUCKET_ROWS``.
+    """
+    same = 1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi
+    best = None
+    for bits in range(1, max(2, math.ceil(math.log2(max(2, rows / BUCKET_ROWS))) + 1)):
+        met = same ** bits + PROBES * (1 - same) * same ** (bits - 1) / 2  # at least: the bits probed are the likeliest to differ
+        tables = math.ceil(math.log(1 - recall) / math.log(1 - min(met, 1 - 1e-9)))
+        work = tables * (1 + PROBES) * max(rows * 0.5 ** bits, BUCKET_ROWS)  # rows that a row is compared with
+        if best is None or work < best[0]:
+            best = work, bits, tables
+    return best[1], best[2]
+
+
+def candidate_pairs(df: DataFrame, threshold: float, *, keys: list[str], id_col: str, vec_col: str, inclusive: bool = False,
+                    recall: float = settings.CANDIDATE_RECALL, block_rows: int = settings.BLOCK_ROWS) -> DataFrame:
+    """Similar pairs like ``similar_pairs``, without comparing all: no pair is wrong, and ``recall`` of those just at the threshold are
+    expected, more above it.
+
+    Each table codes a vector by the signs of random projections. A row enters the bucket of its code, and those
+    of the codes that differ in one of its ``PROBES`` least certain signs. Only rows of one bucket are compared, in blocks, so a bucket
+    of any size is spread over tasks; what a task finds over the threshold is found for good.
+    """
+    prepared = _nonzero(_prepared(df, keys, id_col, vec_col), "_vec")
+    most = group_sizes(prepared, keys).agg(F.max("_rows")).first()[0] or 0
+    if most <= block_rows:
+        return similar_pairs(df, threshold, keys=keys, id_col=id_col, vec_col=vec_col, inclusive=inclusive, block_rows=block_rows)
+    bits, tables = _tables_for(most, threshold, recall)
+    schema = T.StructType([prepared.schema[k] for k in keys] + [prepared.schema["_id"], prepared.schema["_vec"], T.StructField("_table", T.IntegerType()),
+                                                                T.StructField("_code", T.LongType())])
+
+    def code(batches):
+        planes: dict[int, np.ndarray] = {}
+        for batch in batches:
+            lengths = np.array(batch.column("_vec").value_lengths())
+            for dims in np.unique(lengths).tolist():
+                rows = pa.array(np.flatnonzero(lengths == dims))
+                part = pa.Table.from_batches([batch]).take(rows)
+                if dims not in planes:
+                    planes[dims] = np.random.Generator(np.random.PCG64([dims, 7])).standard_normal((dims, tables * bits))
+                cast = (matrix(part["_vec"]) @ planes[dims]).reshape(-1, tables, bits)
+                codes = (cast > 0) @ (np.int64(1) << np.arange(bits))
+                doubtful = np.argsort(np.abs(cast), axis=2)[:, :, :min(PROBES, bits)]
+                every = np.concatenate([codes[:, :, None], codes[:, :, None] ^ (np.int64(1) << doubtful)], axis=2)
+                again = pa.array(np.repeat(np.arange(len(cast)), tables * every.shape[2]))
+                out = part.take(again).select([f.name for f in schema][:-2])
+                yield from out.append_column("_table", pa.array(np.tile(np.repeat(np.arange(tables, dtype=np.int32), every.shape[2]), len(cast)))).append_column(
+                    "_code", pa.array(every.ravel())).to_batches()
+
+    bucketed = prepared.select(*keys, "_id", "_vec").mapInArrow(code, schema)
+    # a bucket where nothing but one row is has no pair
+    found = similar_pairs(bucketed, threshold, keys=[*keys, "_table", "_code"], id_col="_id", vec_col="_vec", inclusive=inclusive, block_rows=block_rows)
+    return found.groupBy(*keys, "id_a", "id_b").agg(F.max("sim").alias("sim"))
+
+
 def best_partner(df: DataFrame, *, keys: list[str], id_col: str, vec_col: str, block_rows: int = settings.BLOCK_ROWS) -> DataFrame:
     """``keys, id, best``: each row's highest similarity to another row of its group."""
     prepared = _prepared(df, keys, id_col, vec_col)

@@ -4,7 +4,7 @@ from pyspark.sql import Window, functions as F
 
 from pulseloom import settings
 from pulseloom.functions.scores import engagement
-from pulseloom.operators import filters as fl, normalize as nz, projections as pj
+from pulseloom.operators import asked as ak, filters as fl, normalize as nz, projections as pj
 from pulseloom.operators.ranking import top_n
 from pulseloom.plans.adapters import AS_OF_SECONDS
 from pulseloom.plans.q_text import as_of, sql_clean, sql_language, sql_words
@@ -38,6 +38,30 @@ def words(t):
                           fl.text_query("avec OR sich AND den", ["body"]).alias("either"))
 
 
+# a query for each conversation, made of the first words of its opening: all of two words, either, or a mixture
+FRAGMENTS["asked"] = r"""
+    select conv_id, list_filter(string_split_regex(lower(text), '[^\p{L}]+'), lambda w: len(w) > 1 and w not in ('and', 'or')) as w
+    from (select conv_id, arg_min(text, turn) as text from conversations group by conv_id)"""
+ASKED_SQL = """
+    select q.conv_id as query_id, p.doc_id as id from @asked q join @posts p on case
+        when len(w) < 3 then true
+        when q.conv_id % 3 = 0 then contains(lower(p.body), w[1]) and contains(lower(p.body), w[2])
+        when q.conv_id % 3 = 1 then contains(lower(p.body), w[1]) or contains(lower(p.body), w[3])
+        else (contains(lower(p.body), w[1]) and contains(lower(p.body), w[2])) or contains(lower(p.body), w[3]) end
+    where len(w) >= 3 or q.conv_id % 10 = 0"""
+
+
+@query("flt_04_query_table", ASKED_SQL)
+def query_table(t):
+    first = t.conversations.groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
+    w = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda x: (F.length(x) > 1) & ~x.isin("and", "or"))
+    two = lambda a, b, join: F.concat(w[a], F.lit(join), w[b])
+    asked = F.when(F.size(w) < 3, F.lit(" and ")).when(F.col("conv_id") % 3 == 0, two(0, 1, " ")).when(F.col("conv_id") % 3 == 1, two(0, 2, " or ")).otherwise(
+        F.concat(w[0], F.lit(" AND "), w[1], F.lit(" OR "), w[2]))
+    queries = first.filter((F.size(w) >= 3) | (F.col("conv_id") % 10 == 0)).select(F.col("conv_id").alias("query_id"), asked.alias("query"))
+    return ak.matching(t.posts, queries, id_col="doc_id", attributes=["body"])
+
+
 @query("flt_05_phrase", IDS + "contains(lower(body), 'of the')")
 def phrase(t):
     return ids(t.posts.filter(fl.text_query("of the", ["body"], exact=True)))

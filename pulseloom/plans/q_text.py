@@ -5,6 +5,7 @@ from pyspark.sql import functions as F, types as T
 from pulseloom import settings
 from pulseloom.functions import documents as js, moments as mo, scores as sc, text as tx
 from pulseloom.functions.language import FUNCTION_WORDS, detect_language
+from pulseloom.operators import profiles as pf
 from pulseloom.plans.adapters import AS_OF_SECONDS
 from pulseloom.plans.registry import FRAGMENTS, query
 
@@ -113,6 +114,28 @@ def language(t):
     return t.documents.select("doc_id", detect_language(F.col("text")).alias("detected"))
 
 
+# profiles learnt from the texts of even ids are right more often than the word lists are, on all others, in every language
+@query("txt_13_profiles", f"""
+    select lang, count(*) as n, count(*) filter (where {sql_language('text')} = lang) as by_words, true as more_by_profile, true as mostly_right
+    from documents where doc_id % 2 = 1 and lang is not null group by lang""")
+def language_profiles(t):
+    known = pf.learnt(t.documents.filter("doc_id % 2 = 0"), text_col="text", language_col="lang")
+    d = pf.detected(t.documents.filter("doc_id % 2 = 1 and lang is not null").select("lang", "text"), known, text_col="text")
+    d = d.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(detect_language(F.col("text")) == F.col("lang")).alias("by_words"),
+                              F.count_if(F.col("detected") == F.col("lang")).alias("right"))
+    return d.select("lang", "n", "by_words", (F.col("right") >= F.col("by_words")).alias("more_by_profile"), (F.col("right") >= 0.9 * F.col("n")).alias("mostly_right"))
+
+
+# every detected language is one of the labelled ones; texts without letters have none
+@query("flt_17_profile", r"""
+    select count(*) filter (where len(regexp_replace(coalesce(text, ''), '[^\p{L}]', '', 'g')) < 3) as without_letters, 0::bigint as of_those_detected from documents""")
+def kept_by_profile(t):
+    known = pf.learnt(t.documents, text_col="text", language_col="lang")
+    bare = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\p{L}]", "")) < 3
+    d = pf.detected(t.documents.select("text", bare.alias("bare")), known, text_col="text")
+    return d.agg(F.count_if("bare").alias("without_letters"), F.count_if(F.col("bare") & F.col("detected").isNotNull()).alias("of_those_detected"))
+
+
 @query("txt_13_accuracy", f"select lang, count(*) as n, count(*) filter (where {sql_language('text')} = lang) as right_ones from documents group by lang")
 def language_accuracy(t):
     return t.documents.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(detect_language(F.col("text")) == F.col("lang")).alias("right_ones"))

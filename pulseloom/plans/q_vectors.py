@@ -70,20 +70,43 @@ for _m in ("cosine", "l2", "dot"):
 FRAGMENTS["near"] = f"select a.session_id, a.vec_id as id_a, b.vec_id as id_b, {COS} as sim from @vectors a join @vectors b on a.session_id = b.session_id and a.vec_id < b.vec_id"
 
 
-@query("sim_05_similar_pairs", "select session_id, id_a, id_b, round(sim, 6) as sim from @near where sim > 0.3")
+# equal vectors are one class, named by its smallest id
+FRAGMENTS["classes"] = "select session_id, min(vec_id) as vec_id, embedding from @vectors group by session_id, embedding"
+FRAGMENTS["class_pairs"] = f"select a.session_id, a.vec_id as id_a, b.vec_id as id_b, {COS} as sim from @classes a join @classes b on a.session_id = b.session_id and a.vec_id < b.vec_id"
+
+
+@query("sim_05_similar_pairs", "select session_id, id_a, id_b, round(sim, 6) as sim from @class_pairs where sim > 0.3")
 def similar_pairs(t):
-    return si.similar_pairs(t.vectors, 0.3, **VEC).withColumn("sim", F.round("sim", 6))
+    return si.similar_classes(t.vectors, 0.3, **VEC)[0].withColumn("sim", F.round("sim", 6))
 
 
-@query("sim_05_similar_pairs_blocks", "select session_id, id_a, id_b, round(sim, 6) as sim from @near where sim > 0.3")
+@query("sim_05_similar_pairs_blocks", "select session_id, id_a, id_b, round(sim, 6) as sim from @class_pairs where sim > 0.3")
 def similar_pairs_blocks(t):
     # sessions of several blocks: the path of large groups
-    return si.similar_pairs(t.vectors, 0.3, block_rows=SMALL_BLOCK, **VEC).withColumn("sim", F.round("sim", 6))
+    return si.similar_classes(t.vectors, 0.3, block_rows=SMALL_BLOCK, **VEC)[0].withColumn("sim", F.round("sim", 6))
+
+
+@query("sim_05_members", "select session_id, vec_id, min(vec_id) over (partition by session_id, embedding) as representative from @vectors")
+def members(t):
+    return si.vector_classes(t.vectors, **VEC)[1]
+
+
+@query("sim_05_candidates", f"""
+    select count(*) as pairs, 0::bigint as wrong, true as enough from embeddings a join embeddings b on a.vec_id < b.vec_id where {COS} > 0.4""")
+def candidates(t):
+    """All vectors as one group, by tables of signs: how many pairs there are, found ones that are none, and whether nine of ten are found."""
+    every = t.embeddings.withColumn("all", F.lit(1))
+    how = dict(keys=["all"], id_col="vec_id", vec_col="embedding")
+    exact = si.similar_pairs(every, 0.4, **how).select("id_a", "id_b", F.lit(1).alias("exact"))
+    found = si.candidate_pairs(every, 0.4, block_rows=SMALL_BLOCK, **how).select("id_a", "id_b", F.lit(1).alias("found"))
+    both = exact.join(found, ["id_a", "id_b"], "full")
+    return both.agg(F.count("exact").alias("pairs"), F.count_if(F.col("exact").isNull()).alias("wrong"),
+                    (F.count_if(F.col("exact").isNotNull() & F.col("found").isNotNull()) >= 0.9 * F.count("exact")).alias("enough"))
 
 
-@query("jon_05_theta_join", "select session_id, id_a, id_b, round(sim, 6) as sim from @near where sim >= 0.35")
+@query("jon_05_theta_join", "select session_id, id_a, id_b, round(sim, 6) as sim from @class_pairs where sim >= 0.35")
 def theta_join(t):
-    return si.similar_pairs(t.vectors, 0.35, inclusive=True, **VEC).withColumn("sim", F.round("sim", 6))
+    return si.similar_classes(t.vectors, 0.35, inclusive=True, **VEC)[0].withColumn("sim", F.round("sim", 6))
 
 
 @query("sim_06_stored_or_embedded", "select doc_id, doc_id % 3 = 0 as stored from documents")
@@ -189,10 +212,88 @@ def diversify(t):
     return dv.diversify(t.vectors.withColumn("rel", F.col("vec_id") % 97), 40, 0.7, relevance_col="rel", ordinal_col="vec_id", **VEC)
 
 
-@query("clu_01_density_clusters")
+# the plain rules, step by step: Kruskal over all pairs of a session in the order of (weight, ends), clusters of three and more,
+# the choice of the greater mass, and what ends below the least distance passes to the cluster around it
+FRAGMENTS["density_density"] = "case when q = 0 then 1000000000000000000000::hugeint else floor(1e9 / sqrt(q / 1e9) + 0.5)::hugeint end"
+DENSITY_SQL = """
+    with recursive unit as (
+        select floor(vec_id / 50)::bigint as session_id, vec_id, row_number() over (partition by floor(vec_id / 50) order by vec_id) as i,
+               list_transform(embedding::double[], lambda x: x / sqrt(list_dot_product(embedding::double[], embedding::double[]))) as u from embeddings),
+    pairs as (
+        select a.session_id, a.i, b.i as j, greatest(0, floor((2.0 - 2.0 * list_dot_product(a.u, b.u)) * 1e9 + 0.5))::bigint as q
+        from unit a join unit b on a.session_id = b.session_id and a.i < b.i),
+    cores as (
+        select session_id, i, list_sort(list(q))[2] as core
+        from (select session_id, i, q from pairs union all select session_id, j, q from pairs) group by session_id, i),
+    edges as (
+        select *, row_number() over (partition by session_id order by q, i, j) as e from (
+            select p.session_id, p.i, p.j, greatest(p.q, x.core, y.core) as q from pairs p
+            join cores x on x.session_id = p.session_id and x.i = p.i join cores y on y.session_id = p.session_id and y.i = p.j)),
+    steps as (
+        select session_id, 0::bigint as e, list(i order by i) as part, 0::bigint as q, null::bigint as x, null::bigint as y from unit group by session_id
+        union all
+        select s.session_id, d.e, list_transform(s.part, lambda p: case when p = s.part[d.j] then s.part[d.i] else p end), d.q, s.part[d.i], s.part[d.j]
+        from steps s join edges d on d.session_id = s.session_id and d.e = s.e + 1),
+    merges as (select session_id, e, q, x, y, part, len(list_filter(part, lambda p: p = x)) as size from steps where x <> y),
+    nodes as (
+        select n.*, l.e as l, r.e as r, coalesce(l.size, 1) >= 3 as bl, coalesce(r.size, 1) >= 3 as br, l.size as ls, r.size as rs
+        from merges n
+        left join merges l on l.session_id = n.session_id and l.e = (select max(m.e) from merges m where m.session_id = n.session_id and m.e < n.e and m.x = n.x)
+        left join merges r on r.session_id = n.session_id and r.e = (select max(m.e) from merges m where m.session_id = n.session_id and m.e < n.e and m.x = n.y)),
+    homes as (
+        select session_id, e, e as c from nodes where size >= 3 and bl = br
+        union all
+        select n.session_id, n.e, h.c from homes h join nodes n on n.session_id = h.session_id and n.bl <> n.br and h.e = case when n.bl then n.l else n.r end),
+    joined as (
+        select session_id, c, sum(@density_density * (size - case when bl <> br then case when bl then ls else rs end else 0 end)) as joined
+        from nodes join homes using (session_id, e) group by session_id, c),
+    ends as (
+        select n.session_id, h.c, n.e as parent, n.q, case when h.e = n.l then n.ls else n.rs end as size
+        from nodes n join homes h on h.session_id = n.session_id and h.e in (n.l, n.r) where n.bl and n.br),
+    own as (
+        select *, joined - @density_density * size as own, row_number() over (partition by session_id order by c) as k from ends join joined using (session_id, c)),
+    masses as (
+        select session_id, 0::bigint as k, []::hugeint[] as inside, []::hugeint[] as mass from own group by session_id
+        union all
+        select session_id, k, list_append(inside, within), list_append(mass, greatest(own, within)) from (
+            select m.session_id, o.k, m.inside, m.mass, o.own,
+                   coalesce((select sum(m.mass[i.k]) from own i where i.session_id = o.session_id and i.parent = o.c), 0)::hugeint as within
+            from masses m join own o on o.session_id = m.session_id and o.k = m.k + 1)),
+    judged as (
+        select o.session_id, o.c, o.parent, o.q, o.own >= m.inside[o.k] as chosen
+        from own o join masses m on m.session_id = o.session_id and m.k = (select max(x.k) from own x where x.session_id = o.session_id)),
+    around as (
+        select session_id, c, c as a from judged
+        union all
+        select r.session_id, r.c, j.parent from around r join judged j on j.session_id = r.session_id and j.c = r.a
+        where exists (select 1 from judged p where p.session_id = j.session_id and p.c = j.parent)),
+    standing as (
+        select distinct s.session_id, min(r.a) as top from judged s join around r on r.session_id = s.session_id and r.c = s.c
+        join judged t on t.session_id = s.session_id and t.c = r.a
+        where s.chosen and not exists (select 1 from around o join judged u on u.session_id = o.session_id and u.c = o.a
+                                       where o.session_id = s.session_id and o.c = s.c and o.a <> s.c and u.chosen)
+          and (not sqrt(t.q / 1e9) < 0.06 or not exists (select 1 from judged p where p.session_id = t.session_id and p.c = t.parent))
+        group by s.session_id, s.c),
+    points as (
+        select u.session_id, u.vec_id, min(n.e) as e from unit u join nodes n on n.session_id = u.session_id and n.size >= 3 and n.part[u.i] = n.x group by all),
+    placed as (
+        select p.session_id, p.vec_id, s.top from points p join homes h on h.session_id = p.session_id and h.e = p.e
+        join around r on r.session_id = p.session_id and r.c = h.c join standing s on s.session_id = p.session_id and s.top = r.a),
+    numbered as (select session_id, top, row_number() over (partition by session_id order by min(vec_id)) - 1 as cluster_id from placed group by session_id, top),
+    few as (select session_id from unit group by session_id having count(*) < 3)
+    select u.session_id, u.vec_id, case when u.session_id in (from few) then 0 else coalesce(n.cluster_id, -1) end::integer as cluster_id
+    from unit u left join placed p on p.session_id = u.session_id and p.vec_id = u.vec_id left join numbered n on n.session_id = p.session_id and n.top = p.top"""
+
+
+@query("clu_01_density_clusters", DENSITY_SQL)
 def density_clusters(t):
-    picked = dv.diversify(t.vectors.withColumn("rel", F.col("vec_id") % 97), relevance_col="rel", ordinal_col="vec_id", **VEC)
-    return cl.density_clusters(t.vectors.join(picked, ["session_id", "vec_id"], "left_semi"), **VEC)
+    return cl.density_clusters(t.vectors, **VEC)
+
+
+@query("clu_01_density_clusters_blocks", DENSITY_SQL)
+def density_clusters_blocks(t):
+    # no session in one task: contraction, chains and running totals over the edges
+    return cl.density_clusters(t.vectors, block_rows=SMALL_BLOCK, **VEC)
 
 
 @query("clu_02_small_sessions", "select floor(vec_id / 2)::bigint as session_id, vec_id, 0 as cluster_id from embeddings")

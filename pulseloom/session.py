@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,3 +53,28 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably, so that a loop's plan does not grow and a lost executor costs no replay."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_STORED: list[str] = []  # folders of this driver, for ``remove_stored``
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet in the same folder and read back.
+
+    Like ``cut``, for loops of many rounds: the optimizer knows nothing of a table's past (constraints of a checkpoint grow from
+    round to round), but its size, so that small tables are joined without a shuffle.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    _STORED.append(path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def remove_stored(spark: SparkSession) -> int:
+    """Removes the tables written so far; for after their results are written elsewhere."""
+    removed, conf = 0, spark.sparkContext._jsc.hadoopConfiguration()
+    while _STORED:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_STORED.pop())
+        removed += bool(target.getFileSystem(conf).delete(target, True))
+    return removed

@@ -20,6 +20,7 @@ DUPLICATE_THRESHOLD = 0.88
 MINHASH_THRESHOLD = 0.7
 MMR_LAMBDA = 0.7
 MMR_TOP_K = 70
+CANDIDATE_RECALL = 0.95
 CLUSTER_MIN_SIZE = 3
 CLUSTER_MIN_SAMPLES = 2
 CLUSTER_EPSILON = 0.06
@@ -68,5 +69,4 @@ EMBEDDING_STAGE, EXTRACTION_STAGE, SYNTHESIS_STAGE = "s1_relevance", "extract_si
 # Sizes that steer the physical layout only; results do not depend on them.
 BLOCK_ROWS = 2048          # rows on one side of a similarity block
 MMR_POOL_ROWS = 1000       # candidates one task diversifies between two passes over the data
-CLUSTER_MAX_ROWS = 2_000_000  # rows of one group whose spanning tree may meet in one task
 QUERY_BROADCAST_BYTES = 32 << 20
