@@ -1,10 +1,14 @@
 """Queries: set operations and table maintenance."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from pulseloom.functions import text as tx
 from pulseloom.operators import sets as st
-from pulseloom.plans.registry import query
+from pulseloom.plans.registry import FRAGMENTS, query
+from pulseloom.session import ensure_checkpoint_dir, stored
+from pulseloom.sources import sinks as sk
 
 
 @query("set_01_ordered_union", "select query, 0 as part_ord, ord from @candidates where source = 'llm' union all select query, 1, ord from @candidates where source = 'trends' union all select query, 2, ord from @candidates where source = 'autocomplete'")
@@ -45,6 +49,56 @@ def insert_or_update(t):
     return st.insert_or_update(base, fresh, ["session_id"], ["result"])
 
 
+CUSTOMERS = "select c_custkey as id, c_mktsegment as topic, c_name as result, c_custkey % 16 as place from customer"
+FRAGMENTS["customers"] = CUSTOMERS
+
+
+def bucketed(t, rows):
+    """A table of sixteen partitions by key, and a way to tell which rows lie in files that were there before."""
+    table = sk.BucketedTable(t.spark, f"{ensure_checkpoint_dir(t.spark)}/bucketed-{uuid.uuid4().hex}", ["id"], 16, F.pmod("id", F.lit(16)))
+    table.create(rows)
+    listed = lambda: t.spark.read.parquet(table.path).select("*", F.input_file_name().alias("file"))
+    before = stored(listed().select("file").distinct())
+    now = lambda: listed().join(before.withColumn("kept", F.lit(True)), "file", "left").select(
+        *rows.columns, F.coalesce("kept", F.lit(False)).alias("same_file"))
+    return table, now
+
+
+def customers(t):
+    return t.customer.select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("topic"), F.col("c_name").alias("result"), (F.col("c_custkey") % 16).alias("place"))
+
+
+# changes and new rows in two partitions of sixteen: the files of the others stay
+@query("set_05_touched_partitions", """
+    select id, case when id % 160 = 3 then 'new' else topic end as topic, case when place = 3 and id % 160 <> 3 and id % 5 = 0 then 'new' else result end as result,
+           place, place not in (3, 5) as same_file from @customers""")
+def touched_partitions(t):
+    c = customers(t)
+    fresh = c.filter("id % 160 = 3").withColumn("topic", F.lit("new"))  # not there yet
+    known = c.filter("place = 3 and id % 160 <> 3 and id % 5 = 0").withColumn("topic", F.lit("ignored")).withColumn("result", F.lit("new"))
+    same = c.filter("place = 5 and id % 7 = 0")
+    table, now = bucketed(t, c.filter("id % 160 <> 3"))
+    table.insert_or_update(fresh.unionByName(known).unionByName(same), ["result"])
+    return now()
+
+
+@query("set_07_touched_partitions", """
+    select id, case when place = 9 and id % 3 = 0 then 'done' else topic end as topic, result, place, place <> 9 as same_file from @customers""")
+def patched_partitions(t):
+    table, now = bucketed(t, customers(t))
+    table.patch(customers(t).filter("place = 9 and id % 3 = 0").select("id", F.lit("done").alias("topic"), F.lit(None).cast("string").alias("result")))
+    return now()
+
+
+# of one partition a part goes, another goes altogether
+@query("set_08_touched_partitions", """
+    select *, place <> 2 as same_file from @customers where not (place = 2 and id % 3 = 0) and place <> 4""")
+def deleted_partitions(t):
+    table, now = bucketed(t, customers(t))
+    table.delete(customers(t).filter("(place = 2 and id % 3 = 0) or place = 4").select("id"))
+    return now()
+
+
 @query("set_06_distinct_urls", "select distinct regexp_replace(url, '[?#].*$', '') as url from pages")
 def distinct_urls(t):
     return t.pages.select(F.regexp_replace("url", r"[?#].*$", "").alias("url")).distinct()
