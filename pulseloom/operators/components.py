@@ -6,44 +6,53 @@ from pyspark.sql import DataFrame, functions as F
 
 from pulseloom import settings
 from pulseloom.operators.similarity import any_large, group_sizes, similarity_forest
-from pulseloom.session import cut
+from pulseloom.session import cut, stored
 
 
-SALTS = 8  # parts in which the rows of one label look it up
+HOT_ROWS = 100_000  # rows of one key from which it is worth a look whether it is hot
+HOT_SHARE = 1000    # a hot key has more than this part of all rows, so there are fewer hot keys than that
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, *, keys: list[str], id_col: str) -> DataFrame:
     """``keys, id, component`` where a component is named after its smallest id.
 
-    Smallest labels spread along edges and every label is replaced by its own label (pointer jumping), so the number
-    of rounds grows with the logarithm of a component's diameter. Minima are aggregated partially before any shuffle,
-    so one node with very many edges does not load one task.
+    Large-star and small-star steps in turn (Kiveris, Lattanzi, Mirrokni, Rastogi, Vassilvitskii, 2014): a large star hangs the greater
+    partners of each node to the smallest of its partners, a small star the smaller ones and the node itself. The table
+    never grows, and ends as one star for each component. Minima are summed up partially before any shuffle; rows that look
+    up the minimum of a hub, or of a giant component's root, stay where they are, as the few hot keys are sent to them.
     """
-    both = edges.select(*keys, "src", "dst").unionByName(
-        edges.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst")))
-    both = cut(both)
-    labels = both.groupBy(*keys, F.col("src").alias("_id")).agg(F.min("dst").alias("_m"))
-    labels = cut(labels.select(*keys, "_id", F.least("_id", "_m").alias("_label")))
-    salt = lambda: F.pmod(F.xxhash64(*keys, "_id"), F.lit(SALTS)).cast("int")
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    pair = lambda a, b: F.struct(F.greatest(a, b).alias("_u"), F.least(a, b).alias("_v"))
+    table = edges.select(*keys, pair("src", "dst").alias("_e")).select(*keys, "_e.*").filter("_u <> _v")
+    table = stored(table.distinct())
+    seen = None
     while True:
-        seen = labels.withColumnRenamed("_id", "dst")
-        lowest = (both.join(seen, keys + ["dst"]).groupBy(*keys, F.col("src").alias("_id"))
-                  .agg(F.min("_label").alias("_near")))
-        near = labels.join(lowest, keys + ["_id"]).withColumn("_to", F.least("_label", "_near"))
-        # all rows of a giant component ask for the label of one row: that row alone is copied to meet them in parts
-        target = labels.select(*keys, F.col("_id").alias("_to"), F.col("_label").alias("_jump"))
-        asked = near.select(*keys, "_to").distinct()
-        target = target.join(asked, keys + ["_to"], "left_semi").select("*", salts)
-        nxt = cut(near.withColumn("_salt", salt()).join(target, keys + ["_to", "_salt"]).select(
-            *keys, "_id", F.least("_to", "_jump").alias("_new"), "_label"))
-        moved = nxt.filter(F.col("_new") != F.col("_label")).limit(1).count()
-        labels = nxt.select(*keys, "_id", F.col("_new").alias("_label"))
-        if not moved:
-            break
-    named = labels.withColumnRenamed("_id", id_col)
-    return nodes.select(*keys, id_col).join(named, keys + [id_col], "left").select(
-        *keys, id_col, F.coalesce("_label", id_col).alias("component"))
+        both = table.select(*keys, F.col("_v").alias("_x"), F.col("_u").alias("_y")).unionByName(table.select(*keys, F.col("_u").alias("_x"), F.col("_v").alias("_y")))
+        lowest = both.groupBy(*keys, "_x").agg(F.min("_y").alias("_m"), F.count("*").alias("_n")).select(*keys, "_x", F.least("_x", "_m").alias("_m"), "_n")
+        large = _looked_up(table, "_v", lowest, keys).select(*keys, "_u", F.col("_m").alias("_v")).distinct()
+        large = stored(large)
+        lowest = large.groupBy(*keys, F.col("_u").alias("_x")).agg(F.min("_v").alias("_m"), F.count("*").alias("_n"))
+        met = _looked_up(large, "_u", lowest, keys)
+        small = met.filter("_v <> _m").select(*keys, F.col("_v").alias("_u"), F.col("_m").alias("_v")).unionByName(
+            lowest.select(*keys, F.col("_x").alias("_u"), F.col("_m").alias("_v")))
+        table = stored(small.distinct())
+        mark = F.xxhash64(*keys, "_u", "_v")
+        now = table.agg(F.count("*"), F.bit_xor(mark), F.bit_xor(F.xxhash64(mark))).first()
+        if now == seen:  # a star for each component: both steps leave it as it is
+            named = table.select(*keys, F.col("_u").alias(id_col), F.col("_v").alias("_label"))
+            return nodes.select(*keys, id_col).join(named, keys + [id_col], "left").select(
+                *keys, id_col, F.coalesce("_label", id_col).alias("component"))
+        seen = now
+
+
+def _looked_up(rows: DataFrame, on: str, lowest: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with the ``_m`` that ``lowest`` has for their key ``on``; ``_n`` there is at least how often the key occurs."""
+    lowest = stored(lowest)
+    most, total = lowest.agg(F.max("_n"), F.sum("_n")).first()
+    table = lowest.select(*keys, F.col("_x").alias(on), "_m")
+    if not most or most <= max(HOT_ROWS, total // HOT_SHARE):
+        return rows.join(table, keys + [on])
+    hot = F.broadcast(lowest.filter(F.col("_n") > max(HOT_ROWS, total // HOT_SHARE)).select(*keys, F.col("_x").alias(on), "_m"))
+    return rows.join(hot, keys + [on]).unionByName(rows.join(hot.drop("_m"), keys + [on], "left_anti").join(table, keys + [on]))
 
 
 def merge_groups(signals: DataFrame, threshold: float = settings.MERGE_THRESHOLD, *, keys: list[str], id_col: str,

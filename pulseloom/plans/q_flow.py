@@ -127,6 +127,18 @@ def running_tokens(t):
     return streamed(t, lambda s: feeds.running_tokens(usage(s)), "update", "tokens", ["session_id", "stage"]).select("session_id", "stage", "prompt_tokens", "output_tokens")
 
 
+# windows that the stream's end has closed; the last one of all stays open
+@query("str_03_streamed_growth", """
+    with v as (select event_type, date_trunc('day', ts) as d, count(*) as mentions from events group by event_type, d)
+    select * from (
+        select event_type, epoch(d)::bigint as day_s, mentions, lag(mentions) over (partition by event_type order by d) as previous,
+               round((mentions - lag(mentions) over (partition by event_type order by d)) / lag(mentions) over (partition by event_type order by d)::double, 6) as growth from v)
+    where day_s + 86400 <= (select epoch(max(ts)) - 3600 from events)""")
+def streamed_growth(t):
+    g = streamed(t, lambda s: feeds.streamed_growth(s, "event_type", "at"), "append", "growth")
+    return g.select("event_type", F.unix_seconds("window_start").alias("day_s"), "mentions", "previous", F.round("growth", 6).alias("growth"))
+
+
 @query("udf_01_embedder", "select doc_id, length(text)::double as first, 3 as dims from documents")
 def own_embedder(t):
     import pandas as pd

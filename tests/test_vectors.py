@@ -193,3 +193,21 @@ def test_similar_sets_are_all_found(spark):
         want = {(a, b) for s, a in first.items() for t, b in first.items() if a < b and len(s & t) / len(s | t) >= threshold}
         assert {(r.id_a, r.id_b) for r in pairs.collect()} == want
         assert {r.id: r.representative for r in copies.collect()} == {i: first[frozenset(w)] for i, w in rows if w}
+
+
+@pytest.mark.parametrize("hot", [100_000, 3])
+def test_components_of_stars_paths_and_hubs(spark, monkeypatch, hot):
+    monkeypatch.setattr(co, "HOT_ROWS", hot)
+    monkeypatch.setattr(co, "HOT_SHARE", 50)
+    edges = [(500, i) for i in range(200)] + [(i, i + 1) for i in range(600, 700)] + [(0, 499), (499, 900), (901, 900), (800, 800), (950, 951), (951, 950)]
+    nodes = range(1000)
+    part = {i: i for i in nodes}
+    for _ in nodes:
+        before = dict(part)
+        for a, b in edges:
+            part[a] = part[b] = min(part[a], part[b])
+        if part == before:
+            break
+    table = spark.createDataFrame([("s", a, b) for a, b in edges], "s string, src long, dst long")
+    got = co.connected_components(spark.createDataFrame([("s", i) for i in nodes], "s string, id long"), table, keys=["s"], id_col="id").collect()
+    assert {r.id: r.component for r in got} == part
