@@ -4,8 +4,10 @@ Words are runs without white space, A-Z lower-cased; a text's set holds its dist
 whole word sequence as one shingle if it has fewer. Texts of equal sets are one node. Each of ``TREES`` orders sorts all
 nodes by their own minima in turn; neighbours in an order are candidates when the prefix they share is at least
 ``MIN_DEPTH`` long. Neighbours share the longest prefixes of their region, so where many nodes resemble each other only the
-deepest are compared. Candidates whose sketches differ too much for the threshold are dropped (the bound is over four
-standard deviations away), all others are confirmed on the full sets of both texts.
+deepest are compared; nodes that no minimum tells apart come in another order in each tree. Candidates whose sketches differ
+too much for the threshold are dropped (the bound is over four standard deviations away), all others are confirmed on the full
+sets of both texts. The first ``FIRST_TREES`` orders link the next neighbour only, which is enough to bring a large group
+together; then all orders are searched again, among nodes of different components: a group that is one already gives no more pairs.
 
 The forest links most of each group at small cost, but it may miss partners where more nodes than its neighbours share a
 prefix (templates, common passages). So a second search is complete: similar sets share a shingle among the first few of
@@ -29,12 +31,13 @@ from pulseloom.operators.components import connected_components
 
 WIDTH = 5
 TREES, DEPTH, HASHES = 16, 6, 128
+FIRST_TREES = 4
 MIN_DEPTH = 3
 NEIGHBOURS = 3
 SLACK = 4.5  # standard deviations that an estimate may lie under the threshold
 WIDE_SLACK = 8.5  # the same in the complete search: under 1e-11 of the true pairs lie below at 80 % and 85 %
 # what is known of common shingles only orders them: the search is complete whatever these are
-COMMON_SAMPLE, COMMON_SHARE, COMMON_MOST = 25_000, 2_500, 1_000_000
+COMMON_SAMPLE, COMMON_LEAST, COMMON_MOST = 25_000, 3, 1_000_000
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _MULTIPLIERS = _rng.integers(1, 1 << 63, HASHES // 2, dtype=np.uint64) | np.uint64(1)
@@ -128,8 +131,8 @@ def common_shingles(docs: DataFrame, *, text_col: str) -> tuple[np.ndarray, np.n
     rows = docs.count()
     one_in = max(1, rows // COMMON_SAMPLE)
     text = F.col(text_col).cast("string")
-    sample = docs.filter(F.pmod(F.xxhash64(text), F.lit(one_in)) == 0).select(text.alias("text"))
-    least = max(2, rows // one_in // COMMON_SHARE)
+    sample = docs.filter(F.pmod(F.xxhash64(text), F.lit(one_in)) == 0).select(text.alias("text")).distinct()
+    least = COMMON_LEAST
     counts = stored(sample.mapInArrow(explode, "shingle long").groupBy("shingle").count().filter(F.col("count") >= least), "common")
     while counts.filter(F.col("count") >= least).count() > COMMON_MOST:
         least *= 2
@@ -196,53 +199,54 @@ def signatures(docs: DataFrame, *, id_col: str, text_col: str, percent: int = 80
                        F.col(text_col).cast("string").alias("text")).mapInArrow(sign, SIGNED)
 
 
-def forest_candidates(nodes: DataFrame, *, min_depth: int = MIN_DEPTH, neighbours: int = NEIGHBOURS) -> DataFrame:
-    """``a, b`` (a < b): pairs of nodes within ``neighbours`` places in some tree's order whose prefixes agree long enough.
+def forest_candidates(nodes: DataFrame, *, trees: int = TREES, min_depth: int = MIN_DEPTH, neighbours: int = NEIGHBOURS) -> DataFrame:
+    """``a, b`` (a < b): pairs of nodes within ``neighbours`` places in some tree's order whose prefixes agree long enough, and
+    whose ``part`` is not the same (null: none).
 
     All trees are sorted together by range, so a region of any size is spread over tasks; the few rows at the borders
     between ranges are paired afterwards.
     """
     prefix = 1 + 4 * min_depth  # a key is the tree's number and big-endian minima
 
-    def pair(keys: list[bytes], ids: list[bytes]):
-        heads = [k[:prefix] for k in keys]
+    def pair(rows):
         for far in range(1, neighbours + 1):
-            for i in range(len(keys) - far):
-                if heads[i] == heads[i + far]:
-                    yield (ids[i], ids[i + far]) if ids[i] < ids[i + far] else (ids[i + far], ids[i])
+            for (key, node, part), (key2, node2, part2) in zip(rows, rows[far:]):
+                if key[:prefix] == key2[:prefix] and (part is None or part != part2):
+                    yield (node, node2) if node < node2 else (node2, node)
 
     def neighbours_of(batches):
-        part, _ = attempt_name()
-        last_keys, last_ids, edge, count = [], [], [], 0
+        range_, _ = attempt_name()
+        last, edge, count = [], [], 0
         for batch in batches:
-            keys, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            rows = list(zip(*(batch.column(k).to_pylist() for k in range(3))))
             if count < neighbours:
-                edge += list(zip(keys, ids))[:neighbours - count]
-            count += len(keys)
-            keys, ids = last_keys + keys, last_ids + ids
+                edge += rows[:neighbours - count]
+            count += len(rows)
+            rows = last + rows
             # pairs among the rows kept from the batch before come again; they are the same pairs
-            found = list(set(pair(keys, ids)))
+            found = list(set(pair(rows)))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.binary()),
-                                                  pa.nulls(len(found), pa.int64()), pa.nulls(len(found), pa.binary())], names=["a", "b", "part", "key"])
-            last_keys, last_ids = keys[-neighbours:], ids[-neighbours:]
-        rows = dict.fromkeys(edge + list(zip(last_keys, last_ids)))
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.binary()), pa.nulls(len(found), pa.int64()),
+                                                  pa.nulls(len(found), pa.binary()), pa.nulls(len(found), pa.int64())], names=["a", "b", "range", "key", "part"])
+            last = rows[-neighbours:]
+        rows = list(dict.fromkeys(edge + last))
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows], pa.binary()), pa.nulls(len(rows), pa.binary()),
-                                              pa.array([part] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.binary())], names=["a", "b", "part", "key"])
-
-    trees = nodes.select(F.explode("keys").alias("key"), "node")
-    ordered = trees.repartitionByRange("key", "node").sortWithinPartitions("key", "node")
-    found = stored(ordered.mapInArrow(neighbours_of, "a binary, b binary, part long, key binary"), "neighbours")
-    borders = found.filter(F.col("part").isNotNull())
-    # a few rows for each partition, of which each task had its own
-    order = Window.partitionBy(F.lit(0)).orderBy("key", "a")
-    across = borders.select("a", "key", *[F.struct(F.lead("a", k).over(order).alias("b"), F.lead("key", k).over(order).alias("k")).alias(f"_{k}")
-                                          for k in range(1, neighbours + 1)])
-    across = across.select(F.col("a").alias("x"), "key", F.explode(F.array(*[f"_{k}" for k in range(1, neighbours + 1)])).alias("o"))
-    across = across.filter(F.substring("key", 1, prefix) == F.substring("o.k", 1, prefix)).select(
+            yield pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows], pa.binary()), pa.nulls(len(rows), pa.binary()), pa.array([range_] * len(rows), pa.int64()),
+                                              pa.array([r[0] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.int64())], names=["a", "b", "range", "key", "part"])
+
+    sorted_by = ["key", "tie", "node"]
+    listed = nodes.select(F.explode(F.slice("keys", 1, trees)).alias("key"), "node", "part")
+    ordered = listed.withColumn("tie", F.xxhash64(F.substring("key", 1, 1), "node")).repartitionByRange(*sorted_by).sortWithinPartitions(*sorted_by)
+    found = stored(ordered.select("key", "node", "part").mapInArrow(neighbours_of, "a binary, b binary, range long, key binary, part long"), "neighbours")
+    borders = found.filter(F.col("range").isNotNull())
+    # a few rows for each range, of which each task had its own
+    order = Window.partitionBy(F.lit(0)).orderBy("key", F.xxhash64(F.substring("key", 1, 1), "a"), "a")
+    across = borders.select("a", "key", "part", *[F.struct(F.lead("a", k).over(order).alias("b"), F.lead("key", k).over(order).alias("k"), F.lead("part", k).over(order).alias("p")).alias(f"_{k}")
+                                                  for k in range(1, neighbours + 1)])
+    across = across.select(F.col("a").alias("x"), "key", "part", F.explode(F.array(*[f"_{k}" for k in range(1, neighbours + 1)])).alias("o"))
+    across = across.filter((F.substring("key", 1, prefix) == F.substring("o.k", 1, prefix)) & (F.col("part").isNull() | (F.col("part") != F.col("o.p")))).select(
         F.least("x", "o.b").alias("a"), F.greatest("x", "o.b").alias("b"))
-    return found.filter(F.col("part").isNull()).select("a", "b").unionByName(across).filter("a <> b").distinct()
+    return found.filter(F.col("range").isNull()).select("a", "b").unionByName(across).filter("a <> b").distinct()
 
 
 def prefix_candidates(nodes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
@@ -320,16 +324,15 @@ def near_duplicates(docs: DataFrame, *, percent: int = 80, id_col: str = "doc_id
 
     A component is named after its smallest ``doc_id``, which is the document kept (of rows that share it, the one with the
     smallest key; rows equal in both are one document, and all kept or none). Confirmation goes in three turns: first
-    each node with its likest candidate, then the candidates that are in different components still, then what the complete
-    search finds between different components. A pair inside one component changes nothing, so all candidates count, but
-    large groups don't confirm every pair.
+    each node with its likest next neighbour, then what the whole forest, and last what the complete search finds between
+    different components. A pair inside one component changes nothing, so all candidates count, but large groups don't confirm
+    every pair.
     """
     signed = stored(signatures(docs, id_col=id_col, text_col=text_col, percent=percent), "signatures")
     some = signed.filter(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
     nodes = stored(some.groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("_first"),
                                             F.first("keys").alias("keys"), F.first("sketch").alias("sketch"),
                                             F.first("n_shingles").alias("n_shingles"), F.first("prefix").alias("prefix")), "nodes")
-    pairs = stored(resembling(forest_candidates(nodes, min_depth=min_depth, neighbours=neighbours), nodes, percent), "candidates")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(text_col).alias("text_key"))
 
     def texts_of(pairs):  # the texts of nodes that have candidates, once
@@ -337,14 +340,14 @@ def near_duplicates(docs: DataFrame, *, percent: int = 80, id_col: str = "doc_id
         first = nodes.join(involved, "node").select("node", "_first.doc_id", "_first.text_key")
         return stored(source.join(first, ["doc_id", "text_key"]).select("node", "text").dropDuplicates(["node"]), "texts")
 
-    texts = texts_of(pairs)
-    likest = pairs.select("*", F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.max(F.struct("guess", "a", "b")).alias("_m"))
-    links = stored(confirmed(likest.select("_m.a", "_m.b").distinct(), texts, percent), "links")
+    unlinked = nodes.withColumn("part", F.lit(None).cast("long"))
+    first = stored(resembling(forest_candidates(unlinked, trees=FIRST_TREES, min_depth=min_depth, neighbours=1), nodes, percent), "candidates")
+    likest = first.select("*", F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.max(F.struct("guess", "a", "b")).alias("_m")).select("_m.a", "_m.b").distinct()
+    links = stored(confirmed(likest, texts_of(likest), percent), "links")
     groups = stored(_components(nodes, links), "groups")
-    of = lambda side: groups.select(F.col("node").alias(side), F.col("component").alias(f"_{side}"))
-    open_pairs = pairs.join(of("a"), "a").join(of("b"), "b").filter("_a <> _b").select("a", "b")
-    more = stored(confirmed(open_pairs, texts, percent), "links")
-    links = links.unionByName(more)
+    parted = nodes.join(groups.select("node", F.xxhash64("component").alias("part")), "node")
+    more = stored(resembling(forest_candidates(parted, min_depth=min_depth, neighbours=neighbours), nodes, percent).select("a", "b"), "candidates")
+    links = links.unionByName(stored(confirmed(more, texts_of(more), percent), "links"))
     groups = stored(_components(nodes, links), "groups")
     last = stored(resembling(prefix_candidates(nodes, groups, percent), nodes, percent, WIDE_SLACK).select("a", "b"), "candidates")
     groups = stored(_components(nodes, links.unionByName(confirmed(last, texts_of(last), percent))), "groups")
