@@ -16,9 +16,11 @@ are looked for in the ``CONTEXT_CHARS`` characters on each side.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import Window
 
+from pulseloom.functions.once import bind
 from pulseloom.llm.common import stored
-from pulseloom.llm.spans import found, of_kind
+from pulseloom.llm.spans import accumulated, found, of_kind
 
 # fixed values: the forms, written so that each is matched in one go (no form is retried inside a run it failed on)
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -136,6 +138,21 @@ def discovered(met: DataFrame, *, rounds: int | None = None, min_seeds: int = MI
     return best.select("value", F.col("_b._of").alias("kind"), F.col("_b.score").alias("score"))
 
 
+def _with_seeds(scanned: DataFrame) -> DataFrame:
+    """The instances of each row with the kind of the first fixed form (in the order of kinds) that they overlap, if any.
+
+    Forms of one kind don't overlap, so of those that begin before an instance ends, the last one ends last: one running
+    maximum for each kind over the places of a text settles all its instances.
+    """
+    base = scanned.select("_id", "_key", F.inline("base")).select(
+        "_id", "_key", F.col("start").alias("_at"), F.lit(1).alias("_form"), *[F.when(F.col("kind") == k, F.col("end")).alias(f"_end_{k}") for k in KINDS])
+    met = scanned.select("_id", "_key", F.inline("_met")).withColumns({"_at": F.col("end"), "_form": F.lit(0)})  # a form at the very end is beyond it
+    so_far = Window.partitionBy("_key", "_id").orderBy("_at", "_form").rowsBetween(Window.unboundedPreceding, 0)
+    last = met.unionByName(base, allowMissingColumns=True).withColumns({f"_last_{k}": F.max(f"_end_{k}").over(so_far) for k in KINDS})
+    kind = F.coalesce(*[F.when(F.col(f"_last_{k}") > F.col("start"), F.lit(k)) for k in KINDS])
+    return last.filter("_form = 0").select("_id", "_key", "start", "end", "value", "left", "right", "left2", "right2", kind.alias("kind"))
+
+
 def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **learning) -> DataFrame:
     """``<id>, text_key, base, spans``: the fixed forms of each row, and all its spans (``kind, start, end, value``).
 
@@ -144,10 +161,7 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **l
     text = F.col(text_col).cast("string")
     scanned = stored(docs.select(F.col(id_col).alias("_id"), F.xxhash64(id_col, text_col).alias("_key"), base_spans(text).alias("base"),
                                  instances(text).alias("_met")), "scanned")
-    met = scanned.filter(F.size("_met") > 0).select("_id", "_key", "base", F.inline("_met"))
-    # the seed that an instance overlaps, if any
-    seed = F.filter("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
-    met = met.select("_id", "_key", "start", "end", "value", "left", "right", "left2", "right2", F.get(seed, F.lit(0))["kind"].alias("kind"))
+    met = stored(_with_seeds(scanned.filter(F.size("_met") > 0).dropDuplicates(["_id", "_key"])), "met")
     new = discovered(met, **learning).select(F.col("value").alias("_value"), F.col("kind").alias("_as"))
     more = met.filter(F.col("kind").isNull()).join(new, F.xxhash64("value") == F.col("_value")).groupBy("_id", "_key").agg(F.array_sort(F.collect_set(F.struct(
         F.concat(F.lit("like_"), F.col("_as")).alias("kind"), "start", "end", "value"))).alias("_more")).withColumnRenamed("_id", "_other")
@@ -159,14 +173,22 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **l
 
 
 def redacted(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its kind in brackets; of overlapping spans the first by start, then the longest."""
+    """The text with personal data replaced by its kind in brackets. Spans that overlap are one: it takes the kind of the first by start,
+    then of the longest, and nothing of any of them is left."""
     keyed = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("a"), (-s["end"]).alias("b"), s["kind"].alias("k"))))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
-
-    def step(acc, s):
-        keep = F.substring(text, acc["at"] + 1, s["a"] - acc["at"])
-        mark = F.concat(F.lit("["), F.upper(F.regexp_replace(s["k"], "^like_", "")), F.lit("]"))
-        return F.when(s["a"] < acc["at"], acc).otherwise(F.struct((-s["b"]).alias("at"), F.concat(acc["out"], F.array(keep, mark)).alias("out")))
-
-    done = F.aggregate(keyed, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+    mark = lambda s: F.concat(F.lit("["), F.upper(F.regexp_replace(s["k"], "^like_", "")), F.lit("]"))
+
+    def pieces(s, ends, part):
+        """Text and mark at each span that begins after all before it have ended, and the text behind the last."""
+        before = lambda i: F.when(i == 0, 0).otherwise(F.get(ends, i - 1))
+        one = lambda x, i: F.when(x["a"] >= before(i), F.concat(part(before(i), x["a"]), mark(x))).otherwise(F.lit(""))
+        return F.concat(F.array_join(F.transform(s, one), ""), part(F.element_at(ends, -1), F.length(text)))
+
+    # a place in a text is counted from its beginning, so with many spans the text is taken apart once
+    cut = lambda a, b: F.substring(text, a + 1, F.greatest(b - a, F.lit(0)))
+    letters = lambda c: lambda a, b: F.when(b > a, F.array_join(F.transform(F.sequence(a, b - 1), lambda i: F.get(c, i)), "")).otherwise(F.lit(""))
+    few = lambda s, ends: pieces(s, ends, cut)
+    many = lambda s, ends: bind(F.split(text, ""), lambda c: pieces(s, ends, letters(c)))
+    done = bind(keyed, lambda s: bind(accumulated(F.transform(s, lambda x: -x["b"]), F.greatest), lambda ends: F.when(
+        F.size(s) <= 64, few(s, ends)).otherwise(many(s, ends))))
     return F.when(F.size(spans) > 0, done).otherwise(text)

@@ -2,8 +2,41 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
+from pulseloom.functions.once import bind
+
+CHUNK = 64  # values that are accumulated at once
+
+
+def accumulated(values: Column, combine: Callable[[Column, Column], Column] = lambda a, x: a + x, levels: int = 3) -> Column:
+    """Of an array of integers, for each place what ``combine`` (associative) makes of all values up to there.
+
+    An array grows by copies, so long ones are accumulated in chunks, and the chunks' ends in the same way: the work is in
+    proportion to the length up to millions of values.
+    """
+    none = F.expr("cast(array() as array<int>)")
+
+    def step(acc, x):
+        now = F.when(acc["at"].isNull(), x).otherwise(combine(acc["at"], x)).cast("int")
+        return F.struct(now.alias("at"), F.concat(acc["list"], F.array(now)).alias("list"))
+
+    plain = lambda v: F.aggregate(v, F.struct(F.lit(None).cast("int").alias("at"), none.alias("list")), step, lambda acc: acc["list"])
+    if not levels:
+        return plain(values)
+
+    def in_chunks(v):
+        chunk = lambda c: plain(F.transform(F.sequence(c * CHUNK, F.least(F.size(v), (c + 1) * CHUNK) - 1), lambda i: F.get(v, i)))
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / CHUNK).cast("int")), chunk)
+        return bind(chunks, lambda parts: bind(
+            accumulated(F.transform(parts, lambda p: F.element_at(p, -1)), combine, levels - 1),
+            lambda ends: F.flatten(F.transform(parts, lambda p, k: F.when(k == 0, p).otherwise(
+                F.transform(p, lambda x: combine(F.get(ends, k - 1), x).cast("int")))))))
+
+    return bind(values, lambda v: F.when(F.size(v) <= CHUNK, plain(v)).otherwise(in_chunks(v)))
+
 
 def found(text: Column, pattern: str) -> Column:
     """All leftmost non-overlapping matches as ``array<struct<start, end, value, before, after>>``.
@@ -12,23 +45,17 @@ def found(text: Column, pattern: str) -> Column:
     neighbours. ``pattern`` must not match the empty text. A text without a match (or null) gives an empty array, after
     a single look at it.
     """
-    gaps, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     place = "struct<start:int,end:int,value:string,before:string,after:string>"
     none = F.expr(f"cast(array() as array<{place}>)")
-    parts = F.zip_with(gaps, matches, lambda gap, match: F.struct(gap.alias("gap"), match.alias("match")))
-    parts = F.zip_with(parts, F.slice(gaps, 2, F.size(gaps)), lambda p, after: F.struct(
-        p["gap"].alias("gap"), p["match"].alias("match"), after.alias("after")))
-
-    def step(acc, part):
-        start = (acc["at"] + F.length(part["gap"])).cast("int")
-        end = (start + F.length(part["match"])).cast("int")
-        one = F.struct(start.alias("start"), end.alias("end"), part["match"].alias("value"),
-                       part["gap"].alias("before"), part["after"].alias("after"))
-        return F.when(part["match"].isNull(), acc).otherwise(
-            F.struct(end.alias("at"), F.concat(acc["list"], F.array(one)).alias("list")))
-
-    start = F.struct(F.lit(0).alias("at"), none.alias("list"))
-    return F.when(text.rlike(pattern), F.aggregate(parts, start, step, lambda acc: acc["list"])).otherwise(none)
+
+    def places(gaps, matches):
+        ends = accumulated(F.transform(matches, lambda m, i: F.length(F.get(gaps, i)) + F.length(m)))
+        return bind(ends, lambda e: F.transform(matches, lambda m, i: F.struct(
+            (F.get(e, i) - F.length(m)).cast("int").alias("start"), F.get(e, i).alias("end"), m.alias("value"),
+            F.get(gaps, i).alias("before"), F.get(gaps, i + 1).alias("after"))))
+
+    all_ = bind(F.split(text, pattern, -1), lambda gaps: bind(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda matches: places(gaps, matches)))
+    return F.when(text.rlike(pattern), all_).otherwise(none)
 
 
 def of_kind(places: Column, kind: str) -> Column:

@@ -214,7 +214,8 @@ def test_pipeline_stages(spark, tmp_path):
     rows = list(enumerate(good))
     rows += [(200 + k, prose(60).upper().replace(" ", "!! ")) for k in range(40)]
     rows += [(300, good[5]), (301, good[6] + " more"), (5, good[5]), (302, prose(40) + " " + item + " " + prose(40)), (303, prose(50) + " mail me a.b@c.de now"), (None, prose(50))]
-    docs = spark.createDataFrame([(i, t, "en", "s", len(t), "extra") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, score string")
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), "extra", "a", "b", "c") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, "
+                                 "score string, _score string, _own_key string, _Found_Spans string")
     folder = at(str(tmp_path), docs, "documents")
     at(folder, spark.createDataFrame([(i, int(not 200 <= i < 240), 0) for i, _ in rows[:160]], "doc_id long, quality int, toxic int"), "labels")
     at(folder, spark.createDataFrame([(1, item)], "item_id long, text string"), "benchmark")
@@ -236,7 +237,7 @@ def test_pipeline_stages(spark, tmp_path):
 
 def test_every_operator_has_a_query():
     names = queries.queries()
-    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10 and "pipeline" in names
+    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)] == [1] * 13 and "pipeline" in names
     assert quality.THRESHOLD == 0.7
 
 
@@ -245,3 +246,21 @@ def test_runs_can_be_removed(spark):
     table = stored(spark.range(5), "gone")
     assert table.count() == 5 and remove_runs(spark) == 1 and remove_runs(spark) == 0
     assert stored(spark.range(3), "next").count() == 3
+
+
+def test_texts_with_very_many_matches(spark):
+    """Time in proportion to the matches of a text, and the same places as in a plain scan."""
+    text = "é " + "".join(f"a{k}@b.co {'0123456789abcdef' * 2} " for k in range(30_000))
+    rows = frame(spark, [(1, text), (2, "a@b.co")])
+    mails = {r["doc_id"]: [(s["start"], s["end"]) for s in r["base"] if s["kind"] == "email"] for r in pii.find(rows, rounds=1).collect()}
+    assert mails[1] == [(m.start(), m.end()) for m in re.finditer(r"a[0-9]+@b\.co", text)] and mails[2] == [(0, 6)]
+    hexes = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"]] for r in secret_scan.scan(rows).collect()}
+    assert hexes[1] == [(m.start(), m.end()) for m in re.finditer(r"[0-9a-f]{32}", text)]
+    clean = pii.find(rows, rounds=1).select("doc_id", "base").join(rows.select("doc_id", "text"), "doc_id").select("doc_id", pii.redacted(F.col("text"), F.filter("base", lambda s: s["kind"] == "email")).alias("t"))
+    assert {r["doc_id"]: r["t"] for r in clean.collect()} == {1: re.sub(r"a[0-9]+@b\.co", "[EMAIL]", text), 2: "[EMAIL]"}
+
+
+def test_overlapping_spans_leave_nothing(spark):
+    spans = "array(struct('ip' as kind, 2 as start, 6 as end), struct('phone' as kind, 4 as start, 9 as end), struct('like_card' as kind, 9 as start, 10 as end))"
+    got = spark.sql("select '0123456789xé' as t, " + spans + " as s").select(pii.redacted(F.col("t"), F.col("s")).alias("r")).first()["r"]
+    assert got == "01[IP][CARD]xé"
