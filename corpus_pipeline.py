@@ -15,33 +15,45 @@ from pulseloom.llm.common import documents, stored
 SIMILARITY_PERCENT = 80  # shared five-word shingles from which two documents are near duplicates
 
 
+def _unused(docs: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of ``docs`` has."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """``docs`` without the rows whose id and key (of id and text) are in ``gone``."""
-    out = gone.select(F.col("doc_id").alias("_gone_id"), F.col("_gone_key"))
-    same = F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (F.xxhash64("doc_id", "text") == F.col("_gone_key"))
-    return docs.join(out, same, "left_anti")
+    id_, key = _unused(docs, "_gone_id", "_gone_key")
+    out = gone.select(F.col("doc_id").alias(id_), F.col("_gone_key").alias(key))
+    return docs.join(out, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("doc_id", "text") == F.col(key)), "left_anti")
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble takes for good; it learns from labelled rows that are not held out."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = quality.scored(docs, model, docs.columns, score_col="_score_of_quality")
-    return scored.filter(F.col("_score_of_quality") >= quality.THRESHOLD).select(*docs.columns)
+    score, = _unused(docs, "_score")
+    scored = quality.scored(docs, model, docs.columns, score_col=score)
+    return scored.filter(F.col(score) >= quality.THRESHOLD).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest id. Rows without an id stay."""
+    own, id_, key = _unused(docs, "_own_key", "_other_id", "_other_key")
     judged = stored(neardup.near_duplicates(docs, percent=SIMILARITY_PERCENT), "judged")
-    keyed = docs.withColumn("_key_of_text", F.xxhash64("text"))
-    gone = judged.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key")).distinct()
-    left = keyed.join(gone, (F.col("doc_id") == F.col("_gone_id")) & (F.col("_key_of_text") == F.col("_gone_key")), "left_anti")
+    same = (F.col("doc_id") == F.col(id_)) & (F.col(own) == F.col(key))
+    keyed = docs.withColumn(own, F.xxhash64("text"))
+    gone = judged.filter(~F.col("kept")).select(F.col("doc_id").alias(id_), F.col("text_key").alias(key)).distinct()
+    left = keyed.join(gone, same, "left_anti")
     # rows equal in id and text; only they are brought together
     twice = judged.filter("kept").groupBy("doc_id", "text_key").count().filter("count > 1 and doc_id is not null").select(
-        F.col("doc_id").alias("_twice_id"), F.col("text_key").alias("_twice_key"))
-    repeated = (F.col("doc_id") == F.col("_twice_id")) & (F.col("_key_of_text") == F.col("_twice_key"))
-    once = left.join(twice, repeated, "left_anti")
+        F.col("doc_id").alias(id_), F.col("text_key").alias(key))
+    once = left.join(twice, same, "left_anti")
     if twice.limit(1).count():
-        once = once.unionByName(left.join(twice, repeated, "left_semi").dropDuplicates(["doc_id", "_key_of_text"]))
+        once = once.unionByName(left.join(twice, same, "left_semi").dropDuplicates(["doc_id", own]))
     return once.select(*docs.columns)
 
 
@@ -54,14 +66,14 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data replaced by its kind in brackets; ``n_chars`` is that of the new text."""
-    found = pii.find(docs).filter(F.size("spans") > 0).select(
-        F.col("doc_id").alias("_found_id"), F.col("text_key").alias("_found_key"), F.col("spans").alias("_found_spans"))
-    found = stored(found.dropDuplicates(["_found_id", "_found_key"]), "personal")
-    same = F.col("doc_id").eqNullSafe(F.col("_found_id")) & (F.xxhash64("doc_id", "text") == F.col("_found_key"))
-    text = F.when(F.col("_found_spans").isNull(), F.col("text")).otherwise(pii.redacted(F.col("text"), F.col("_found_spans")))
+    id_, key, spans = _unused(docs, "_found_id", "_found_key", "_found_spans")
+    found = pii.find(docs).filter(F.size("spans") > 0).select(F.col("doc_id").alias(id_), F.col("text_key").alias(key), F.col("spans").alias(spans))
+    found = stored(found.dropDuplicates([id_, key]), "personal")
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("doc_id", "text") == F.col(key))
+    text = F.when(F.col(spans).isNull(), F.col("text")).otherwise(pii.redacted(F.col("text"), F.col(spans)))
     changed = docs.join(found, same, "left").withColumn("text", text)
     if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.col("_found_spans").isNull(), F.col("n_chars")).otherwise(
+        changed = changed.withColumn("n_chars", F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(
             F.length("text")).cast(docs.schema["n_chars"].dataType))
     return changed.select(*docs.columns)
 
