@@ -195,6 +195,25 @@ def test_similar_sets_are_all_found(spark):
         assert {r.id: r.representative for r in copies.collect()} == {i: first[frozenset(w)] for i, w in rows if w}
 
 
+@pytest.mark.parametrize("lexicon,block", [(1 << 20, 512), (20, 3)])
+def test_sets_of_pairs_travel_once_for_a_family(spark, monkeypatch, lexicon, block):
+    import random
+    rng = random.Random(5)
+    monkeypatch.setattr(gr, "LEXICON_ROWS", lexicon)
+    monkeypatch.setattr(gr, "SLICE_TOKENS", 50)
+    sets = {k: frozenset(f"f{k // 20}-{w}" for w in range(60) if rng.random() > 0.08) for k in range(80)}
+    df = spark.createDataFrame([(k, list(s)) for k, s in sets.items()], "id bigint, t array<string>")
+    want = {(a, b): round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 9) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8}
+    assert len(want) > 300
+    pairs, _ = gr.similar_sets(df, 0.8, id_col="id", tokens_col="t")
+    assert {(r.id_a, r.id_b): round(r.jaccard, 9) for r in pairs.collect()} == want
+    # families of twenty and their pairs: each set is read once per family and pair of blocks
+    links = spark.createDataFrame(list(want), "id_a bigint, id_b bigint")
+    rows = spark.createDataFrame([(k, sorted(hash(w) for w in s)) for k, s in sets.items()], "_id bigint, _set array<long>")
+    counted = gr._shared_tokens(links, rows, block)
+    assert {(r.id_a, r.id_b): round(r.both / (r.na + r.nb - r.both), 9) for r in counted.collect()} == want
+
+
 @pytest.mark.parametrize("hot", [100_000, 3])
 def test_components_of_stars_paths_and_hubs(spark, monkeypatch, hot):
     monkeypatch.setattr(co, "HOT_ROWS", hot)
