@@ -26,6 +26,20 @@ def test_queries_as_rows(spark, limit):
     assert ak.matching(p.limit(0), q, id_col="id", attributes=["title"]).count() == 0 and ak.matching(p, q.limit(0), id_col="id", attributes=["title"]).count() == 0
 
 
+def test_matches_are_not_shuffled_and_rows_of_one_id_are_one_post(spark, monkeypatch):
+    monkeypatch.setattr(ak, "OUT_ROWS", 3)
+    posts = spark.createDataFrame([(k, f"cat {'dog' if k % 2 else 'owl'}") for k in range(20)], "id long, body string")
+    queries = spark.createDataFrame([(1, "cat"), (2, "cat OR dog"), (3, "owl dog"), (4, None), (5, "cat cat OR owl")], "query_id int, query string")
+    found = ak.matching(posts, queries, id_col="id", attributes=["body"])
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    rows = [tuple(r) for r in found.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == {(q, k) for q in (1, 2, 4, 5) for k in range(20)}
+    # the words of a post may stand in several of its rows
+    more = posts.unionByName(spark.createDataFrame([(0, "dog"), (0, "dog"), (1, "none")], "id long, body string"))
+    rows = [tuple(r) for r in ak.matching(more, queries, id_col="id", attributes=["body"]).collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == {(q, k) for q in (1, 2, 4, 5) for k in range(20)} | {(3, 0)}
+
+
 def test_profiles_decide_or_stay_silent(spark):
     en, fr = "the quick brown fox jumps over the lazy dog and then the other " * 3, "le renard brun saute par dessus le chien paresseux et puis les autres " * 3
     known = pf.learnt(spark.createDataFrame([(en, "en"), (fr, "fr"), (None, "en"), ("x", None)], "t string, l string"), text_col="t", language_col="l").cache()
