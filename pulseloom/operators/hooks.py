@@ -9,7 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, types as T
+
+from pulseloom.functions.pages import parsed
 
 REPLY = "session_id {key}, cluster_id bigint, reply string, prompt_tokens bigint, output_tokens bigint"
 
@@ -41,16 +43,15 @@ def provide_replies(prompts: DataFrame, provider: Callable[[list[str]], list[tup
 def parse_pages(pages: DataFrame, parser: Callable[[str], Iterator[dict]], schema: str, keys: list[str], html: str = "html") -> DataFrame:
     """Rows that ``parser`` finds in each page. ``schema`` describes keys and rows; if it has a column ``error``, a page that
     the parser fails on gives a row with its keys and the error, else none."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [part.strip().split(" ")[0] for part in schema.split(",")]
-        for batch in batches:
-            rows = []
-            for *key, text in batch[keys + [html]].itertuples(index=False):
-                try:
-                    found = list(parser(text or ""))
-                except Exception as failure:  # noqa: BLE001
-                    found = [{"error": f"{type(failure).__name__}: {failure}"}] if "error" in columns else []
-                rows += [{**dict(zip(keys, key)), **row} for row in found]
-            yield pd.DataFrame(rows, columns=columns)
-
-    return pages.select(*keys, html).mapInPandas(run, schema)
+    out = T.StructType.fromDDL(schema)
+
+    def rows_of(key, text):
+        try:
+            found = list(parser(text or ""))
+        except Exception as failure:  # noqa: BLE001
+            found = [{"error": f"{type(failure).__name__}: {failure}"}] if "error" in out.names else []
+        for row in found:
+            row = {**dict(zip(keys, key)), **row}
+            yield tuple(row.get(name) for name in out.names)
+
+    return parsed(pages, keys, html, out, rows_of)

@@ -185,3 +185,20 @@ def test_payloads_keep_whole_signals(spark):
 def test_language_is_right_for_most_texts(spark):
     rows = registry.callables()["txt_13_accuracy"](spark, "/root/testdata/sf0.01").collect()
     assert sum(r.right_ones for r in rows) >= 0.9 * sum(r.n for r in rows), rows
+
+
+def test_pages_are_parsed_one_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from pulseloom.functions.pages import row_batches
+    # one batch of 400 pages of 400 kB as Python texts (four bytes a character); all at once are 160 MB
+    batch = pa.record_batch({"p": pa.array(range(400)), "html": pa.array(["🚀" + "x" * 100_000] * 400)})
+    schema = pa.schema([("p", pa.int64()), ("body", pa.string())])
+    tracemalloc.start()
+    got = [(b.num_rows, b["p"].to_pylist()) for b in row_batches([batch], schema, lambda key, text: [(*key, text)] if key[0] % 2 else [])]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [p for _, ps in got for p in ps] == list(range(1, 400, 2)) and max(n for n, _ in got) < 20
+    assert peak < 20e6, peak
