@@ -5,10 +5,10 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pulseloom.functions.documents import field, text_field
+from pulseloom.functions.pages import parsed
 
 # Where a page keeps its data, tried in this order.
 PAGE_DATA = [
@@ -41,18 +41,15 @@ def find_renderers(pages: DataFrame, keys: list[str], data: str = "data") -> Dat
     names = ("videoRenderer", "continuationItemRenderer")
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in pages.select(*keys).schema] + ["kind string", "pos int", "record string"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for *key, text in batch[keys + [data]].itertuples(index=False):
-                try:
-                    tree = json.loads(text)
-                except (TypeError, ValueError):
-                    continue
-                out += [(*key, kind, i, json.dumps(found, ensure_ascii=False)) for i, (kind, found) in enumerate(_walk(tree, names))]
-            yield pd.DataFrame(out, columns=keys + ["kind", "pos", "record"])
-
-    return pages.select(*keys, data).mapInPandas(run, schema)
+    def found(key, text):
+        try:
+            tree = json.loads(text)
+        except (TypeError, ValueError):
+            return
+        for i, (kind, record) in enumerate(_walk(tree, names)):
+            yield (*key, kind, i, json.dumps(record, ensure_ascii=False))
+
+    return parsed(pages, keys, data, schema, found)
 
 
 def run_text(doc: Column, path: str) -> Column:
