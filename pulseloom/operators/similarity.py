@@ -22,6 +22,7 @@ from pulseloom.session import cut
 
 Kernel = Callable[..., pa.Table]
 BUCKET_ROWS = 64  # rows that a bucket of candidates is meant to hold
+STRIP_CELLS = 1 << 20  # products that a task holds at once
 PROBES = 2        # least certain signs of a code that are tried the other way
 
 
@@ -407,12 +408,17 @@ def _nearest(k: int, metric: str):
         square = (against ** 2).sum(1)[:, None] + (vectors ** 2).sum(1)[None, :] - 2.0 * against @ vectors.T
         return np.maximum(square, 0.0)
 
-    def nearest(rows: pa.Table, asked: pa.Table) -> pa.Table:
-        dist = distances(matrix(rows["_vec"]), matrix(asked["_q"]))
-        by_id = rows.append_column("_row", pa.array(np.arange(rows.num_rows))).sort_by("id")["_row"].to_numpy()
-        best = by_id[np.argsort(dist[:, by_id], axis=1, kind="stable")[:, :k]]
+    def best_of(rows: pa.Table, vectors: np.ndarray, asked: pa.Table) -> pa.Table:
+        dist = distances(vectors, matrix(asked["_q"]))
+        best = np.argsort(dist, axis=1, kind="stable")[:, :k]
         qi = np.repeat(np.arange(asked.num_rows), best.shape[1])
         return pa.table({"query_id": asked["query_id"].take(pa.array(qi)), "id": rows["id"].take(pa.array(best.ravel())),
                          "distance": pa.array(dist[qi, best.ravel()])})
 
+    def nearest(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        # distances of a strip of queries at a time: what a task holds does not grow with the queries
+        rows = rows.sort_by("id")
+        vectors, step = matrix(rows["_vec"]), max(1, STRIP_CELLS // max(1, rows.num_rows))
+        return pa.concat_tables([best_of(rows, vectors, asked.slice(at, step)) for at in range(0, max(1, asked.num_rows), step)])
+
     return nearest

@@ -175,6 +175,28 @@ def test_search_in_chunks(spark):
     assert key(once) == key(rounds) and len(once) == 12
 
 
+@pytest.mark.parametrize("metric", ["cosine", "l2", "dot"])
+def test_search_holds_a_strip_of_queries(metric):
+    import tracemalloc
+
+    import pyarrow as pa
+    rng = np.random.default_rng(3)
+    vectors, asked = rng.normal(size=(2000, 8)), rng.normal(size=(5000, 8))
+    table = lambda m, id_, vec: pa.table({id_: pa.array(range(len(m))), vec: pa.array(m.tolist())})
+    rows, queries = table(vectors, "id", "_vec"), table(asked, "query_id", "_q")
+    tracemalloc.start()
+    got = si._nearest(3, metric)(rows, queries)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50e6, peak  # all products at once are 80 MB, their order as much
+    unit = lambda m: m / np.linalg.norm(m, axis=1)[:, None]
+    want = {"cosine": lambda: 1 - unit(asked) @ unit(vectors).T, "dot": lambda: 1 - asked @ vectors.T,
+            "l2": lambda: ((asked[:, None, :] - vectors[None]) ** 2).sum(2)}[metric]()
+    best = np.argsort(want, axis=1)[:, :3]
+    assert got["query_id"].to_pylist() == np.repeat(np.arange(5000), 3).tolist() and got["id"].to_pylist() == best.ravel().tolist()
+    assert np.allclose(got["distance"].to_numpy(), np.take_along_axis(want, best, 1).ravel())
+
+
 def test_similar_sets_are_all_found(spark):
     import random
     rng, rows = random.Random(1), []
