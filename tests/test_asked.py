@@ -78,3 +78,18 @@ def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
     kept = {r["_id"] for r in gr._first_independent(nodes, spark.createDataFrame(edges, "s string, _id long, _p long"), ["s"]).collect()}
     assert kept == {i for i in range(0, n + 1, 2)} | {61, 70}
     assert len(turns) <= 2
+
+
+def test_copies_for_buckets_are_few_and_made_in_parts(spark, monkeypatch):
+    # a vector travels once for each code: at 100,000 rows there were 564 such copies
+    bits, tables = si._tables_for(100_000, 0.4, 0.95)
+    assert tables * (1 + si.PROBES) <= 120 and 100_000 * 0.5 ** bits < 4096
+    monkeypatch.setattr(si, "COPY_CELLS", 5000)
+    rng = np.random.default_rng(11)
+    v = rng.normal(size=(300, 16)).astype(np.float32)
+    df = spark.createDataFrame([(1, k, x.tolist()) for k, x in enumerate(v)], "g int, id long, v array<float>")
+    how = dict(keys=["g"], id_col="id", vec_col="v")
+    exact = {(r.id_a, r.id_b) for r in si.similar_pairs(df, 0.5, **how).collect()}
+    found = {(r.id_a, r.id_b) for r in si.candidate_pairs(df, 0.5, block_rows=16, **how).collect()}
+    unit = v.astype(float) / np.linalg.norm(v.astype(float), axis=1)[:, None]
+    assert exact == {(a, b) for a, b in zip(*np.nonzero(np.triu(unit @ unit.T > 0.5, 1)))} and found <= exact and len(found) >= 0.9 * len(exact)
