@@ -152,6 +152,24 @@ def dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
     return True
 
 
+def _filled(path: tuple | None) -> Packing:
+    """The fillings along a path of the search, first one first."""
+    out = []
+    while path:
+        path, filling = path
+        out.append(filling)
+    return out[::-1]
+
+
+def _without(counts: dict[int, int], packing: Packing) -> dict[int, int]:
+    """The pieces that a packing leaves."""
+    left = dict(counts)
+    for contents, number in packing:
+        for size, k in contents:
+            left[size] -= k * number
+    return {s: n for s, n in left.items() if n}
+
+
 def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> Packing:
     """A packing into as few bins as the search finds; the fewest there can be if it ends within ``nodes``.
 
@@ -167,10 +185,14 @@ def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int
         raise ValueError("lengths must lie between 1 and the capacity")
     best = best_fit(counts, capacity)
     fewest, bound, opened = sum(n for _, n in best), lower_bound(counts, capacity), 0
-    stack: list[tuple[dict[int, int], Packing, int]] = [(counts, [], 0)]
+    # a branch waits as its last filling and the branch that it goes on from: what is left is counted when its turn comes, as
+    # thousands of branches wait and each would hold a table of all lengths
+    stack: list[tuple[tuple | None, int]] = [(None, 0)]
     while stack and fewest > bound and opened < nodes:
-        left, done, used = stack.pop()
+        path, used = stack.pop()
         opened += 1
+        done = _filled(path)
+        left = _without(counts, done)
         if not left:
             if used < fewest:
                 best, fewest = done, used
@@ -188,10 +210,9 @@ def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int
             pieces = {largest: 1}
             for size in filling:
                 pieces[size] = pieces.get(size, 0) + 1
-            times = min(left[s] // k for s, k in pieces.items())
+            times, contents = min(left[s] // k for s, k in pieces.items()), tuple(pieces.items())
             for number in dict.fromkeys((times, 1)):
-                after = {s: n - number * pieces.get(s, 0) for s, n in left.items()}
-                branches.append(({s: n for s, n in after.items() if n}, done + [(tuple(pieces.items()), number)], used + number))
+                branches.append(((path, (contents, number)), used + number))
         stack.extend(reversed(branches))
     return best
 

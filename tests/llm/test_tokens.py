@@ -1,6 +1,7 @@
 """Encoding, Simple-8b files and packing against the tokenizer and brute force."""
 
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -125,6 +126,17 @@ def test_bin_completion_finds_the_fewest_bins():
         packing.bin_completion({1025: 1})
 
 
+def test_branches_that_wait_hold_no_counts():
+    rng = np.random.default_rng(5)
+    counts = {s: int(n) for s, n in zip(range(1, 1025), rng.integers(1, 200, 1024))}
+    tracemalloc.start()
+    found = packing.bin_completion(counts, 1024, 300)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert used(counts, 1024, found) <= sum(n for _, n in packing.best_fit(counts, 1024))
+    assert peak < 6_000_000  # 13 MB with a table of counts for each branch, and more with each node
+
+
 def test_dominated_fillings_are_left_out():
     assert packing.dominates((7,), (4, 3)) and not packing.dominates((4, 3), (7,))
     assert packing.fillings(10, {10: 1, 7: 1, 4: 1, 3: 1}, 17, waste=2)[0] == (7,)
