@@ -22,10 +22,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from pulseloom.llm.common import attempt_name, stored
+from pulseloom.llm.common import attempt_name, removed, stored
 from pulseloom.llm.tokens import slices
 from pulseloom.operators.components import connected_components
 
@@ -35,6 +35,7 @@ FIRST_TREES = 4
 MIN_DEPTH = 3
 NEIGHBOURS = 3
 SLACK = 4.5  # standard deviations that an estimate may lie under the threshold
+BEFORE = 4  # shared shingles before one that are looked at to tell whether a pair has met already
 WIDE_SLACK = 8.5  # the same in the complete search: under 1e-11 of the true pairs lie below at 80 % and 85 %
 # what is known of common shingles only orders them: the search is complete whatever these are
 COMMON_SAMPLE, COMMON_LEAST, COMMON_MOST = 25_000, 3, 1_000_000
@@ -249,31 +250,44 @@ def forest_candidates(nodes: DataFrame, *, trees: int = TREES, min_depth: int =
     return found.filter(F.col("range").isNull()).select("a", "b").unionByName(across).filter("a <> b").distinct()
 
 
-def prefix_candidates(nodes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: every pair of nodes of different components that may satisfy ``100 * intersection >= percent * union``.
+def node_number() -> Column:
+    """60 bits of a node's hash; nodes of equal numbers are all candidates."""
+    return F.conv(F.substring(F.hex("node"), 1, 15), 16, 10).cast("long")
+
+
+def meetings(nodes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """``i, j``, numbers of nodes: every pair of nodes of different components that may satisfy ``100 * intersection >= percent * union``.
 
     The smaller set of a pair (n of n <= m shingles) shares one of its first n - ceil(2 p n / (100 + p)) + 1 with the first
     m - ceil(p m / 100) + 1 of the larger. Shingles met in one component only pair nothing, and are settled by partial sums.
-    Of the others, the rows of each shingle's largest component never meet each other.
+    Of the others, the rows of each shingle's largest component never meet each other. A pair is needed once only, at the first
+    shingle that it shares: where it shares one of the last ``BEFORE`` as well, it has met there already.
     """
-    number = F.conv(F.substring(F.hex("node"), 1, 15), 16, 10).cast("long")  # nodes of equal numbers are all candidates
     of = groups.select("node", F.xxhash64("component").alias("c"))
-    entries = stored(nodes.join(of, "node").select(number.alias("i"), "c", F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("at", "t")), "prefixes")
+    entries = stored(nodes.join(of, "node").select(node_number().alias("i"), "c", F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("at", "t")), "prefixes")
     several = entries.groupBy("t").agg(F.min("c").alias("_low"), F.max("c").alias("_high")).filter("_low <> _high").select("t")
     met = stored(entries.join(several, "t"), "shared_prefixes")
+    removed(entries)  # by far the largest table, and not needed any more
     largest = met.groupBy("t", "c").count().groupBy("t").agg(F.max(F.struct("count", "c"))["c"].alias("_of"))
-    met = stored(met.join(largest, "t").withColumn("most", F.col("c") == F.col("_of")).drop("_of"), "shared_prefixes")
+    # one node's, and what two nodes of different components share is among them
+    before = Window.partitionBy("i", "c", "n").orderBy("at").rowsBetween(-BEFORE, -1)
+    met = stored(met.join(largest, "t").withColumn("most", F.col("c") == F.col("_of")).drop("_of").withColumn("before", F.collect_list("t").over(before)),
+                 "shared_prefixes")
     n, m = F.col("n"), F.col("m")
     least = lambda total, over: F.expr(f"({total} + {over} - 1) div {over}")
     left = met.filter(F.col("at") <= F.col("n") - least(f"{2 * percent} * n", 100 + percent))
-    right = met.select("t", F.col("i").alias("j"), F.col("c").alias("d"), F.col("n").alias("m"), F.col("at").alias("by"), F.col("most").alias("usual"))
+    right = met.select("t", F.col("i").alias("j"), F.col("c").alias("d"), F.col("n").alias("m"), F.col("at").alias("by"), F.col("most").alias("usual"), F.col("before").alias("earlier"))
     shared = F.least(n - F.col("at"), m - F.col("by"))  # at most, if this is the first they share
-    possible = (F.col("c") != F.col("d")) & (n <= m) & (100 * n >= percent * m) & ((n < m) | (F.col("i") != F.col("j"))) & (
-        shared >= least(f"{percent} * (n + m)", 100 + percent))
-    found = left.filter("not most").join(right, "t").filter(possible).select("i", "j").unionByName(
+    possible = (F.col("c") != F.col("d")) & (n <= m) & (100 * n >= percent * m) & ((n < m) | (F.col("i") < F.col("j"))) & (
+        shared >= least(f"{percent} * (n + m)", 100 + percent)) & ~F.arrays_overlap("before", "earlier")
+    return left.filter("not most").join(right, "t").filter(possible).select("i", "j").unionByName(
         left.filter("most").join(right.filter("not usual"), "t").filter(possible).select("i", "j"))
-    found = found.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct()
-    named = nodes.select(number.alias("i"), "node")
+
+
+def prefix_candidates(nodes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: the nodes of every pair that meets, once."""
+    found = meetings(nodes, groups, percent).select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct()
+    named = nodes.select(node_number().alias("i"), "node")
     return found.join(named.withColumnRenamed("node", "a"), "i").join(named.select(F.col("i").alias("j"), F.col("node").alias("b")), "j").select("a", "b").filter("a <> b")
 
 

@@ -101,6 +101,23 @@ def test_repeated_and_missing_ids_have_rows_of_their_own(spark):
     assert neardup.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_a_pair_meets_at_few_of_its_shared_shingles(spark):
+    rng = random.Random(21)
+    base = prose(rng, 400)
+    rows = [(i, edited(rng, base, 4)) for i in range(1, 61)] + [(i, edited(rng, base, 1)) for i in range(101, 105)]
+    signed = neardup.signatures(frame(spark, rows), id_col="doc_id", text_col="text", percent=85).cache()
+    nodes = signed.drop("keys")
+    alone = nodes.select("node", F.col("node").alias("component"))
+    met = neardup.meetings(nodes, alone, 85).cache()
+    pairs = met.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct().count()
+    assert pairs > 1000 and met.count() < 1.2 * pairs  # at each shared shingle of both prefixes before
+    ids = {r.node: r.doc_id for r in nodes.collect()}
+    found = {tuple(sorted((ids[r.a], ids[r.b]))) for r in neardup.prefix_candidates(nodes, alone, 85).collect()}
+    sets = {i: shingles(t) for i, t in rows}
+    alike = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    assert alike and alike <= found
+
+
 def weighted(words):
     return collections.Counter(tuple(words[k:k + 5]) for k in range(len(words) - 4)) if len(words) >= 5 else collections.Counter([tuple(words)] * bool(words))
 
