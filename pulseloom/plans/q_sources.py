@@ -347,7 +347,8 @@ def session_resume(t):
                 "summed": lambda s, todo: s.read("counted", todo).groupBy("session_id").agg(F.sum("n").alias("vectors"), F.count("*").alias("labels"))}
 
     def listed():
-        return t.spark.read.parquet(tables.path("summed")).select("session_id", "_run", F.input_file_name().alias("file"))
+        rows = t.spark.read.parquet(tables.path("summed")).select("session_id", "_run", F.input_file_name().alias("file"))
+        return rows.join(tables.done("summed").withColumnRenamed("run", "_run"), ["session_id", "_run"], "left_semi")
 
     tables.run(stages(t.vectors.filter("session_id <> 3 or vec_id % 2 = 0")), sessions)
     before = stored(listed().select("file").distinct())

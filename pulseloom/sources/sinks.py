@@ -70,11 +70,12 @@ class StageTables:
 
 
 class SessionStages:
-    """Stages of many sessions, finished one by one: a dataset per stage, partitioned by session, and a record of what is complete.
+    """Stages of many sessions, finished one by one: a dataset per stage, partitioned by run, and a record of what is complete.
 
-    A stage is built for the sessions that have no valid record of it, and only their partitions are written. Rows carry the number
-    of the run that wrote them and count only if the session's record names that run: what a failed run leaves behind, or what a
-    session had before it became empty, is never read. Records are only appended; the latest of a stage and session holds.
+    A stage is built for the sessions that have no valid record of it, and only their rows are written, as the partition of that run.
+    Rows count only if their session's record names the run: what a failed run leaves behind, or what a session had before it was
+    built again, is never read, and runs that no record names any more are removed. So the number of files follows the data and the
+    runs, not the sessions. Records are only appended; the latest of a stage and session holds.
     """
 
     RECORD = "stage string, session_id {kind}, run long, valid boolean"
@@ -102,7 +103,7 @@ class SessionStages:
         return self._records().filter((F.col("stage") == stage) & F.col("valid")).select("session_id", "run")
 
     def read(self, stage: str, sessions: DataFrame | None = None) -> DataFrame:
-        """The complete sessions' rows, or those of some of them; partitions of others are not opened."""
+        """The complete sessions' rows, or those of some of them; runs that built none of them are not opened."""
         wanted = self.done(stage) if sessions is None else self.done(stage).join(sessions.select("session_id"), "session_id", "left_semi")
         schema = self.spark.read.parquet(f"{self.folder}/schemas").filter(F.col("stage") == stage).agg(F.max_by("schema", "run")).first()[0]
         rows = self.spark.read.schema(T.StructType.fromJson(json.loads(schema))).parquet(self.path(stage))  # no session may have a row
@@ -127,14 +128,27 @@ class SessionStages:
                 continue
             run = self._next_run()
             rows = stages[name](self, todo).withColumn("_run", F.lit(run).cast("long"))
-            # a session's rows come together, a large session's in several files
-            rows.hint("rebalance", "session_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_id").parquet(self.path(name))
+            # a file holds the rows of many sessions, a large session's lie in several
+            rows.hint("rebalance", "session_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_run").parquet(self.path(name))
             self.spark.createDataFrame([(name, run, rows.schema.json())], "stage string, run long, schema string").write.mode("append").parquet(f"{self.folder}/schemas")
             self._note(todo, [name], run, True)
             if names[k + 1:]:
                 self._note(todo, names[k + 1:], run, False)
+            self._tidy(name)
         return built
 
+    def _tidy(self, stage: str) -> None:
+        """Removes the runs of a stage that no session's record names any more. There are as many rows here as runs at most."""
+        named = {r[0] for r in self._records().filter(F.col("stage") == stage).select("run").distinct().collect()}
+        if not path_exists(self.spark, self.path(stage)):  # no row so far
+            return
+        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(stage))
+        files = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        for found in files.listStatus(folder):
+            name = found.getPath().getName()
+            if name.startswith("_run=") and int(name.removeprefix("_run=")) not in named:
+                files.delete(found.getPath(), True)
+
 
 class BucketedTable:
     """A table in a fixed number of partitions by key, changed where keys change: partitions without a changed key are not touched.

@@ -202,3 +202,24 @@ def test_pages_are_parsed_one_at_a_time():
     tracemalloc.stop()
     assert [p for _, ps in got for p in ps] == list(range(1, 400, 2)) and max(n for n, _ in got) < 20
     assert peak < 20e6, peak
+
+
+def test_files_of_session_stages_follow_runs(spark, tmp_path):
+    rows = spark.range(4000).select((F.col("id") % 400).alias("session_id"), F.col("id").alias("n"))
+    tables = sk.SessionStages(spark, str(tmp_path))
+    stages = {"kept": lambda s, todo: rows.join(todo, "session_id", "left_semi"),
+              "counted": lambda s, todo: s.read("kept", todo).groupBy("session_id").agg(F.count("*").alias("n"))}
+    files = lambda stage: {str(p) for p in (tmp_path / stage).rglob("*.parquet")}
+    assert tables.run(stages, rows) == {"kept": 400, "counted": 400}
+    before = files("counted")
+    assert len(files("kept")) < 100 and len(before) < 100  # one or more for each session before
+    tables.forget(spark.createDataFrame([(7,)], "session_id long"), ["kept"])
+    assert tables.run(stages, rows) == {"kept": 1, "counted": 1}
+    assert before < files("counted")
+    assert sorted(map(tuple, tables.read("counted").collect())) == [(k, 10) for k in range(400)]
+    tables.forget(rows, ["counted"])
+    tables.run(stages, rows)
+    assert not before & files("counted")  # no record names those runs any more
+    assert sorted(map(tuple, tables.read("counted").collect())) == [(k, 10) for k in range(400)]
+    assert tables.run({"none": lambda s, todo: rows.join(todo, "session_id", "left_semi").filter("n < 0")}, rows) == {"none": 400}
+    assert tables.done("none").count() == 400
