@@ -325,19 +325,22 @@ def best_query_similarity(docs: DataFrame, queries: DataFrame, *, key: str, id_c
         return (unit_rows(vectors) @ unit_rows(against).T).max(axis=1)
 
     if size <= broadcast_bytes:
-        per_group: dict = {}
-        for row in q.toLocalIterator():
-            per_group.setdefault(row[key], []).append(row["_q"])
-        shared = docs.sparkSession.sparkContext.broadcast({k: np.array(v) for k, v in per_group.items()})
+        def by_group(names: list) -> dict:
+            rows: dict = {}
+            for at, g in enumerate(names):
+                rows.setdefault(g, []).append(at)
+            return rows
+
+        asked = q.toArrow().combine_chunks()
+        shared = docs.sparkSession.sparkContext.broadcast(
+            {g: matrix(asked["_q"].take(pa.array(rows))) for g, rows in by_group(asked[key].to_pylist()).items()})
 
         def scan(batches):
             for batch in batches:
                 table = pa.Table.from_batches([batch])
-                groups = np.array(table[key].to_pylist(), object)
-                score = np.full(len(groups), np.nan)
-                for g in set(groups.tolist()):
+                score = np.full(table.num_rows, np.nan)
+                for g, rows in by_group(table[key].to_pylist()).items():
                     if g in shared.value:
-                        rows = np.nonzero(groups == g)[0]
                         score[rows] = best(matrix(table["_vec"].take(pa.array(rows))), shared.value[g])
                 keep = pa.array(np.nonzero(~np.isnan(score))[0])
                 out = pa.table({key: table[key].take(keep), id_col: table[id_col].take(keep),

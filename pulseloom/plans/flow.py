@@ -63,11 +63,13 @@ class Run:
 
     def relevant(self, s: StageTables) -> DataFrame:
         vectors = s.read("embedded")
-        asked = self._embed(self.queries, "query")
+        asked = cut(self._embed(self.queries, "query"))  # read several times
         scores = best_query_similarity(vectors, asked, key="session_id", id_col="id", vec_col="vec")
-        scored = cut(vectors.join(scores, ["session_id", "id"]))
-        kept = rk.threshold_or_floor(scored, self.relevance_threshold, self.relevance_floor, keys=["session_id"],
-                                     score="relevance_score", ordinal="ord")
+        # who is kept is settled on ids and scores; texts and vectors travel once, for those alone
+        scored = cut(vectors.select("session_id", "id", "ord").join(scores, ["session_id", "id"]))
+        names = rk.threshold_or_floor(scored, self.relevance_threshold, self.relevance_floor, keys=["session_id"],
+                                      score="relevance_score", ordinal="ord")
+        kept = vectors.join(names.drop("ord"), ["session_id", "id"])
         return rk.rerank(kept, self.scorer, keys=["session_id"], query="query", text="text", ordinal="ord")
 
     def grouped(self, s: StageTables) -> DataFrame:

@@ -30,6 +30,22 @@ def test_text_steps(spark, step, cases):
     assert values(spark, list(cases), "string", step) == list(cases.values())
 
 
+def test_text_steps_leave_out_what_cannot_match(spark):
+    """Counting to fifteen makes no list of words, and the results of guarded steps are those of their plain patterns."""
+    blanks = [" ", "\t", "\u00a0", "\u3000", "\x1f", "\n \r", "\u2028"]
+    texts = [pre + sep.join(["w\U0001F680é"[:1 + n % 3]] * n) + end for n in (0, 1, 14, 15, 16) for sep in blanks for pre in ("", " ") for end in ("", sep)]
+    assert values(spark, texts, "string", lambda x: fl.enough_words(x)) == [n >= 15 for n in values(spark, texts, "string", tx.word_count)]
+    assert values(spark, ["", "a"], "string", lambda x: fl.enough_words(x, 0), lambda x: fl.enough_words(x, 1)) == [(True, False), (True, True)]
+    odd = ["", "a:b", "[x]", "http://e.com/x", "HTTP://e", "EDIT : thank for the GOLD", "x [Removed] y", "edit", "\u2190\u21ff\ufe0f", "\u2189\u2200\u25ff\u27c0",
+           "\U0001F1E6\U0001F1FF\U0001F2FF", "\U0001FAFF\U0001FB00", "“ü”", "!?.", "a!!b", "...", "!", "a?!.!b.c"]
+    pattern = lambda p, to: lambda x: F.regexp_replace(x, p, to)
+    got = values(spark, odd, "string", tx.strip_boilerplate, pattern(tx.BOILERPLATE, " "), tx.strip_emoji, pattern(tx.EMOJI, " "),
+                 tx.collapse_marks, pattern(r"([!?.]){2,}", "$1"))
+    assert all(a == b and c == d and e == f for a, b, c, d, e, f in got)
+    plan = lambda c: spark.range(1).select(c(F.col("id").cast("string")).alias("v"))._jdf.queryExecution().analyzed().toString()
+    assert "split(" not in plan(fl.enough_words)
+
+
 def test_word_chunks(spark):
     text = " ".join(f"w{i}" for i in range(331))
     chunks = values(spark, ["", "a b", text, " ".join(["x"] * 330)], "string", tx.chunk_words)
