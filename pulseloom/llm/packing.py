@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from pulseloom.llm.common import stored
-from pulseloom.llm.tokens import Encoder, slices
+from pulseloom.llm.tokens import kept_encoder, slices
 
 CAPACITY = 1024
 END_ID = 2
@@ -221,27 +221,27 @@ def token_pieces(docs: DataFrame, *, vocabulary: str, capacity: int = CAPACITY,
                  id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` and, if asked for, ``ids``: every whole text in pieces."""
     def cut(batches):
-        own = Encoder(vocabulary)
-        for batch in batches:
-            for at, texts in slices(batch.column(1)):
-                ids, counts = own.encode(texts)
-                ids = np.insert(ids, np.cumsum(counts), end_id)
-                sizes = counts + 1
-                number = -(-sizes // capacity)
-                doc = np.repeat(np.arange(len(sizes)), number)
-                piece = np.arange(len(doc)) - np.repeat(np.cumsum(number) - number, number)
-                first = sizes - (number - 1) * capacity
-                start = np.where(piece == 0, 0, first[doc] + (piece - 1) * capacity)
-                length = np.where(piece == 0, first[doc], capacity)
-                ends = np.cumsum(length)
-                raw = memoryview(ids.astype("<u4").tobytes())
-                sums = [crc32(raw[4 * (e - n):4 * e]) for e, n in zip(ends.tolist(), length.tolist())]
-                columns = {"doc_id": batch.column(0).slice(at, len(texts)).take(pa.array(doc)).cast(pa.int64()),
-                           "piece": pa.array(piece.astype(np.int32)), "start": pa.array(start), "length": pa.array(length),
-                           "ids_crc32": pa.array(sums, pa.int64())}
-                if with_ids:
-                    columns["ids"] = pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype(np.int32), pa.array(ids.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+        with kept_encoder(vocabulary) as own:
+            for batch in batches:
+                for at, texts in slices(batch.column(1)):
+                    ids, counts = own.encode(texts)
+                    ids = np.insert(ids, np.cumsum(counts), end_id)
+                    sizes = counts + 1
+                    number = -(-sizes // capacity)
+                    doc = np.repeat(np.arange(len(sizes)), number)
+                    piece = np.arange(len(doc)) - np.repeat(np.cumsum(number) - number, number)
+                    first = sizes - (number - 1) * capacity
+                    start = np.where(piece == 0, 0, first[doc] + (piece - 1) * capacity)
+                    length = np.where(piece == 0, first[doc], capacity)
+                    ends = np.cumsum(length)
+                    raw = memoryview(ids.astype("<u4").tobytes())
+                    sums = [crc32(raw[4 * (e - n):4 * e]) for e, n in zip(ends.tolist(), length.tolist())]
+                    columns = {"doc_id": batch.column(0).slice(at, len(texts)).take(pa.array(doc)).cast(pa.int64()),
+                               "piece": pa.array(piece.astype(np.int32)), "start": pa.array(start), "length": pa.array(length),
+                               "ids_crc32": pa.array(sums, pa.int64())}
+                    if with_ids:
+                        columns["ids"] = pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype(np.int32), pa.array(ids.astype(np.int32)))
+                    yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(cut, schema)

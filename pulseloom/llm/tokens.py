@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import unicodedata
+from contextlib import contextmanager
 from itertools import islice
 
 import numpy as np
@@ -50,6 +51,8 @@ class Encoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # each word comes once: what it would remember is never asked for
         size = self.tokenizer.get_vocab_size()
         self.blank = np.fromiter(((self.tokenizer.id_to_token(i) or "?")[0] == "\u0120" for i in range(size)), bool, size)
         self._empty()
@@ -146,6 +149,20 @@ class Encoder:
         return ids, counts
 
 
+_KEPT: dict[str, Encoder] = {}  # of this worker process, between its tasks
+
+
+@contextmanager
+def kept_encoder(path: str):
+    """An encoder that still knows the words of the tasks this process ran before; its memory ends with the process.
+
+    It is taken out for a task and put back when that ends well, so none is used that broke off halfway.
+    """
+    own = _KEPT.pop(path, None) or Encoder(path)
+    yield own
+    _KEPT[path] = own
+
+
 def spread(first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The positions ``first[k], first[k] + 1, ...`` (``lengths[k]`` of them) for all k in a row."""
     ends = np.cumsum(lengths)

@@ -41,6 +41,23 @@ def test_chunks_give_the_ids_of_whole_texts(plain, monkeypatch):
             at += count
 
 
+def test_words_are_learnt_once_for_all_tasks_of_a_process(plain, monkeypatch):
+    """The next task knows the words of the one before; an encoder that broke off is not used again."""
+    monkeypatch.setattr(tokens, "_KEPT", {})
+    text = "some words é to remember"
+    ids = plain.encode(text, add_special_tokens=False).ids
+    with tokens.kept_encoder(VOCABULARY) as first:
+        assert first.encode(pa.array([text]))[0].tolist() == ids
+    with tokens.kept_encoder(VOCABULARY) as second:
+        assert second is first and "remember" in second.numbers
+        assert second.encode(pa.array([text]))[0].tolist() == ids
+    with pytest.raises(ValueError):
+        with tokens.kept_encoder(VOCABULARY) as broken:
+            raise ValueError
+    with tokens.kept_encoder(VOCABULARY) as fresh:
+        assert broken is first and fresh is not first and not fresh.numbers
+
+
 def test_slices_cover_all():
     texts = pa.array(["x" * 10, None, "y" * 50, "", "z"])
     got = [(at, len(part)) for at, part in tokens.slices(texts, 12)]
