@@ -29,14 +29,17 @@ def named(df: DataFrame, **names: str) -> DataFrame:
 def roots(pointers: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, _c, _root``: where the pointers ``_c`` to ``_to`` end. Every target has a pointer; a root points to itself.
 
-    Each round doubles the distance looked over. Many rows may point to one root: its row alone is copied to their parts
-    when Spark splits the skewed side of the join.
+    Each round doubles the distance looked over, twice before it is written: what a round costs in small tables is its jobs. Many
+    rows may point to one root: its row alone is copied to their parts when Spark splits the skewed side of the join.
     """
+    def doubled(now: DataFrame) -> DataFrame:
+        return now.join(now.select(*keys, F.col("_c").alias("_to"), F.col("_to").alias("_next")), keys + ["_to"])
+
+    further = lambda met: met.select(*keys, "_c", F.col("_next").alias("_to"))
     now = stored(pointers.select(*keys, "_c", "_to"))
     while True:
-        step = now.select(*keys, F.col("_c").alias("_to"), F.col("_to").alias("_next"))
-        met = stored(now.join(step, keys + ["_to"]))
-        now = met.select(*keys, "_c", F.col("_next").alias("_to"))
+        met = stored(doubled(further(doubled(now))))
+        now = further(met)
         if not met.filter("_next <> _to").limit(1).count():
             return now.withColumnRenamed("_to", "_root")
 

@@ -252,3 +252,15 @@ def test_components_of_stars_paths_and_hubs(spark, monkeypatch, hot):
     table = spark.createDataFrame([("s", a, b) for a, b in edges], "s string, src long, dst long")
     got = co.connected_components(spark.createDataFrame([("s", i) for i in nodes], "s string, id long"), table, keys=["s"], id_col="id").collect()
     assert {r.id: r.component for r in got} == part
+
+
+def test_pointers_are_followed_in_few_rounds(spark, monkeypatch):
+    """A chain of sixteen takes three written rounds, not five, and ends at its root; so does every short one beside it."""
+    from pulseloom.operators import hierarchy
+    written, stored = [], hierarchy.stored
+    monkeypatch.setattr(hierarchy, "stored", lambda df: written.append(1) or stored(df))
+    rows = [(1, i, max(i - 1, 0)) for i in range(17)] + [(2, 5, 5), (2, 6, 5)]
+    found = hierarchy.roots(spark.createDataFrame(rows, "g int, _c long, _to long"), ["g"]).collect()
+    assert {(r["g"], r["_c"], r["_root"]) for r in found} == {
+        (1, i, 0) for i in range(17)} | {(2, 5, 5), (2, 6, 5)}
+    assert len(found) == len(rows) and len(written) == 4
