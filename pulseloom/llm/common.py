@@ -38,11 +38,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def removed(table: DataFrame) -> None:
-    """Removes a table that ``stored`` wrote, once all that was made of it is written as well."""
+    """Removes a table that ``stored`` wrote, once all that was made of it is written as well.
+
+    Shuffle files are removed when the driver collects its garbage, which it may not do for long: it is asked to as well.
+    """
     spark = table.sparkSession
     for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
         target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(spark.sparkContext._jvm.java.net.URI(folder))
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    spark.sparkContext._jvm.System.gc()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,6 +39,7 @@ BEFORE = 4  # shared shingles before one that are looked at to tell whether a pa
 WIDE_SLACK = 8.5  # the same in the complete search: under 1e-11 of the true pairs lie below at 80 % and 85 %
 # what is known of common shingles only orders them: the search is complete whatever these are
 COMMON_SAMPLE, COMMON_LEAST, COMMON_MOST = 25_000, 3, 1_000_000
+LIKELY_BITS = 1 << 23  # of the bitmap that tells which texts may be needed: a megabyte, whatever the input
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _MULTIPLIERS = _rng.integers(1, 1 << 63, HASHES // 2, dtype=np.uint64) | np.uint64(1)
@@ -139,6 +140,7 @@ def common_shingles(docs: DataFrame, *, text_col: str) -> tuple[np.ndarray, np.n
         least *= 2
     table = counts.filter(F.col("count") >= least).toArrow()
     shingles, number = table.column("shingle").to_numpy().astype(np.int64).view(np.uint64), table.column("count").to_numpy().astype(np.int64)
+    removed(counts)
     order = np.argsort(shingles)
     return shingles[order], np.minimum(number[order], (1 << 30) - 1)
 
@@ -255,39 +257,43 @@ def node_number() -> Column:
     return F.conv(F.substring(F.hex("node"), 1, 15), 16, 10).cast("long")
 
 
-def meetings(nodes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+def meetings(nodes: DataFrame, groups: DataFrame, percent: int, *, spent: tuple[DataFrame, ...] = ()) -> DataFrame:
     """``i, j``, numbers of nodes: every pair of nodes of different components that may satisfy ``100 * intersection >= percent * union``.
 
     The smaller set of a pair (n of n <= m shingles) shares one of its first n - ceil(2 p n / (100 + p)) + 1 with the first
     m - ceil(p m / 100) + 1 of the larger. Shingles met in one component only pair nothing, and are settled by partial sums.
     Of the others, the rows of each shingle's largest component never meet each other. A pair is needed once only, at the first
     shingle that it shares: where it shares one of the last ``BEFORE`` as well, it has met there already.
+    ``spent`` are written tables that nobody needs any more once the prefixes are laid out; they are removed then.
     """
     of = groups.select("node", F.xxhash64("component").alias("c"))
     entries = stored(nodes.join(of, "node").select(node_number().alias("i"), "c", F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("at", "t")), "prefixes")
+    for table in spent:
+        removed(table)
     several = entries.groupBy("t").agg(F.min("c").alias("_low"), F.max("c").alias("_high")).filter("_low <> _high").select("t")
-    met = stored(entries.join(several, "t"), "shared_prefixes")
+    shared = stored(entries.join(several, "t"), "shared_prefixes")
     removed(entries)  # by far the largest table, and not needed any more
-    largest = met.groupBy("t", "c").count().groupBy("t").agg(F.max(F.struct("count", "c"))["c"].alias("_of"))
+    largest = shared.groupBy("t", "c").count().groupBy("t").agg(F.max(F.struct("count", "c"))["c"].alias("_of"))
     # one node's, and what two nodes of different components share is among them
     before = Window.partitionBy("i", "c", "n").orderBy("at").rowsBetween(-BEFORE, -1)
-    met = stored(met.join(largest, "t").withColumn("most", F.col("c") == F.col("_of")).drop("_of").withColumn("before", F.collect_list("t").over(before)),
+    met = stored(shared.join(largest, "t").withColumn("most", F.col("c") == F.col("_of")).drop("_of").withColumn("before", F.collect_list("t").over(before)),
                  "shared_prefixes")
+    removed(shared)
     n, m = F.col("n"), F.col("m")
     least = lambda total, over: F.expr(f"({total} + {over} - 1) div {over}")
     left = met.filter(F.col("at") <= F.col("n") - least(f"{2 * percent} * n", 100 + percent))
     right = met.select("t", F.col("i").alias("j"), F.col("c").alias("d"), F.col("n").alias("m"), F.col("at").alias("by"), F.col("most").alias("usual"), F.col("before").alias("earlier"))
-    shared = F.least(n - F.col("at"), m - F.col("by"))  # at most, if this is the first they share
+    most = F.least(n - F.col("at"), m - F.col("by"))  # that they share, if this is the first
     possible = (F.col("c") != F.col("d")) & (n <= m) & (100 * n >= percent * m) & ((n < m) | (F.col("i") < F.col("j"))) & (
-        shared >= least(f"{percent} * (n + m)", 100 + percent)) & ~F.arrays_overlap("before", "earlier")
+        most >= least(f"{percent} * (n + m)", 100 + percent)) & ~F.arrays_overlap("before", "earlier")
     return left.filter("not most").join(right, "t").filter(possible).select("i", "j").unionByName(
         left.filter("most").join(right.filter("not usual"), "t").filter(possible).select("i", "j"))
 
 
-def prefix_candidates(nodes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: the nodes of every pair that meets, once."""
-    found = meetings(nodes, groups, percent).select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct()
-    named = nodes.select(node_number().alias("i"), "node")
+def prefix_candidates(nodes: DataFrame, groups: DataFrame, percent: int, *, spent: tuple[DataFrame, ...] = ()) -> DataFrame:
+    """``a, b``: the nodes of every pair that meets, once. ``spent`` as in ``meetings``; ``groups`` holds all nodes."""
+    found = meetings(nodes, groups, percent, spent=spent).select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct()
+    named = groups.select(node_number().alias("i"), "node")
     return found.join(named.withColumnRenamed("node", "a"), "i").join(named.select(F.col("i").alias("j"), F.col("node").alias("b")), "j").select("a", "b").filter("a <> b")
 
 
@@ -332,6 +338,18 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(compare, "a binary, b binary")
 
 
+def likely(source: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``source`` whose ``text_key`` may be among those of ``wanted``: all of these, and some others by chance.
+
+    A bitmap of bounded size travels to the rows, so texts that nobody asks for are not shuffled.
+    """
+    bit = F.pmod("text_key", F.lit(LIKELY_BITS))
+    maps = wanted.select(bit.alias("_bit")).groupBy(F.bitmap_bucket_number("_bit").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_bit")).alias("_map"))
+    placed = source.withColumn("_bucket", F.bitmap_bucket_number(bit)).withColumn("_place", F.bitmap_bit_position(bit))
+    byte = F.conv(F.hex(F.expr("substring(_map, cast(_place div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    return placed.join(F.broadcast(maps), "_bucket").filter(F.getbit(byte, F.pmod("_place", F.lit(8)).cast("int")) == 1).select(*source.columns)
+
+
 def near_duplicates(docs: DataFrame, *, percent: int = 80, id_col: str = "doc_id", text_col: str = "text",
                     min_depth: int = MIN_DEPTH, neighbours: int = NEIGHBOURS) -> DataFrame:
     """``doc_id, text_key, n_shingles, component_id, kept``, a row for each row of ``docs``; ``text_key`` is the text's xxhash64.
@@ -340,33 +358,42 @@ def near_duplicates(docs: DataFrame, *, percent: int = 80, id_col: str = "doc_id
     smallest key; rows equal in both are one document, and all kept or none). Confirmation goes in three turns: first
     each node with its likest next neighbour, then what the whole forest, and last what the complete search finds between
     different components. A pair inside one component changes nothing, so all candidates count, but large groups don't confirm
-    every pair.
+    every pair. Written tables are removed as soon as the next ones are written, the wide ones first.
     """
     signed = stored(signatures(docs, id_col=id_col, text_col=text_col, percent=percent), "signatures")
+    members = stored(signed.select("doc_id", "text_key", "n_shingles", "node"), "members")
     some = signed.filter(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
-    nodes = stored(some.groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("_first"),
-                                            F.first("keys").alias("keys"), F.first("sketch").alias("sketch"),
-                                            F.first("n_shingles").alias("n_shingles"), F.first("prefix").alias("prefix")), "nodes")
+    wide = stored(some.groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("_first"),
+                                           F.first("keys").alias("keys"), F.first("sketch").alias("sketch"),
+                                           F.first("n_shingles").alias("n_shingles"), F.first("prefix").alias("prefix")), "nodes")
+    removed(signed)
+    nodes = stored(wide.select("node", "_first", "sketch"), "nodes")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(text_col).alias("text_key"))
 
-    def texts_of(pairs):  # the texts of nodes that have candidates, once
+    def links_of(pairs):
+        """The pairs that the texts of their nodes confirm, written; only texts of nodes that have candidates travel."""
         involved = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        first = nodes.join(involved, "node").select("node", "_first.doc_id", "_first.text_key")
-        return stored(source.join(first, ["doc_id", "text_key"]).select("node", "text").dropDuplicates(["node"]), "texts")
-
-    unlinked = nodes.withColumn("part", F.lit(None).cast("long"))
+        first = stored(nodes.join(involved, "node").select("node", "_first.doc_id", "_first.text_key"), "involved")
+        texts = stored(likely(source, first).join(first, ["doc_id", "text_key"]).select("node", "text").dropDuplicates(["node"]), "texts")
+        links = stored(confirmed(pairs, texts, percent), "links")
+        removed(first)
+        removed(texts)
+        return links
+
+    unlinked = wide.withColumn("part", F.lit(None).cast("long"))
     first = stored(resembling(forest_candidates(unlinked, trees=FIRST_TREES, min_depth=min_depth, neighbours=1), nodes, percent), "candidates")
     likest = first.select("*", F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.max(F.struct("guess", "a", "b")).alias("_m")).select("_m.a", "_m.b").distinct()
-    links = stored(confirmed(likest, texts_of(likest), percent), "links")
+    links = links_of(likest)
     groups = stored(_components(nodes, links), "groups")
-    parted = nodes.join(groups.select("node", F.xxhash64("component").alias("part")), "node")
+    parted = wide.join(groups.select("node", F.xxhash64("component").alias("part")), "node")
     more = stored(resembling(forest_candidates(parted, min_depth=min_depth, neighbours=neighbours), nodes, percent).select("a", "b"), "candidates")
-    links = links.unionByName(stored(confirmed(more, texts_of(more), percent), "links"))
+    links = links.unionByName(links_of(more))
     groups = stored(_components(nodes, links), "groups")
-    last = stored(resembling(prefix_candidates(nodes, groups, percent), nodes, percent, WIDE_SLACK).select("a", "b"), "candidates")
-    groups = stored(_components(nodes, links.unionByName(confirmed(last, texts_of(last), percent))), "groups")
+    last = stored(resembling(prefix_candidates(wide, groups, percent, spent=(wide,)), nodes, percent, WIDE_SLACK).select("a", "b"), "candidates")
+    groups = stored(_components(nodes, links.unionByName(links_of(last))), "groups")
+    removed(nodes)
     named = groups.groupBy("component").agg(F.min("_first").alias("_kept"))
-    result = signed.select("doc_id", "text_key", "n_shingles", "node").join(groups.join(named, "component").select("node", "_kept"), "node", "left")
+    result = members.join(groups.join(named, "component").select("node", "_kept"), "node", "left")
     own = F.struct("doc_id", "text_key")
     return result.select("doc_id", "text_key", "n_shingles", F.coalesce("_kept.doc_id", "doc_id").alias("component_id"),
                          (F.col("_kept").isNull() | F.col("doc_id").isNull() | (own == F.col("_kept"))).alias("kept"))

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import random
 import re
 
@@ -118,6 +119,38 @@ def test_a_pair_meets_at_few_of_its_shared_shingles(spark):
     assert alike and alike <= found
 
 
+def test_spent_tables_are_removed_and_few_texts_travel(spark, copies, monkeypatch):
+    written, moved, stored, likely = [], [], neardup.stored, neardup.likely
+
+    def kept(df, name):
+        table = stored(df, name)
+        written.append((name, table.inputFiles()))
+        return table
+
+    def counted(source, wanted):
+        rows = likely(source, wanted)
+        asked = {r.text_key for r in wanted.collect()}
+        keys = [r.text_key for r in rows.select("text_key").collect()]
+        assert asked == asked & set(keys)
+        moved.append((len(keys), source.filter(F.col("text_key").isin(list(asked))).count()))
+        return rows
+
+    monkeypatch.setattr(neardup, "stored", kept)
+    monkeypatch.setattr(neardup, "likely", counted)
+    rows = neardup.near_duplicates(frame(spark, copies), percent=85).collect()
+    there = collections.Counter(name for name, files in written if any(os.path.exists(re.sub("^file:/+", "/", f)) for f in files))
+    assert len(rows) == len(copies) and not set(there) & {"common", "signatures", "nodes", "involved", "texts", "prefixes"}
+    assert there["shared_prefixes"] <= 1
+    assert moved and all(n <= needed + 1 for n, needed in moved)  # one may come by chance
+    assert any(needed < len(copies) for _, needed in moved)
+
+
+def test_all_asked_texts_are_likely(spark):
+    keys = [0, 1, -1, 2 ** 63 - 1, -2 ** 63, neardup.LIKELY_BITS, *range(32760, 32780), *[random.Random(2).randrange(-2 ** 63, 2 ** 63) for _ in range(3)]]
+    source = spark.createDataFrame([(k,) for k in keys] + [(k + 40_000,) for k in range(32760, 32780)] + [(None,)], "text_key long")
+    assert {r.text_key for r in neardup.likely(source, source.filter(F.col("text_key").isin(keys))).collect()} == set(keys)
+
+
 def weighted(words):
     return collections.Counter(tuple(words[k:k + 5]) for k in range(len(words) - 4)) if len(words) >= 5 else collections.Counter([tuple(words)] * bool(words))
 
