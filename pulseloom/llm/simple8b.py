@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from pulseloom.llm.common import attempt_name, read_file, run_folder, stored, write_file
-from pulseloom.llm.tokens import Encoder, slices
+from pulseloom.llm.tokens import kept_encoder, slices
 
 MAGIC = b"S8BTOK01"
 BLOCK = 4096
@@ -27,6 +27,8 @@ IDS_PER_FILE = 16_000_000
 # fixed values: ids in a word and bits of each, by selector; 0 is the escape, 1 is not used
 COUNTS = np.array([1, 0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 BITS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
+_LIMITS = np.uint64(1) << np.arange(1, 61, dtype=np.uint64)
+_SMALL = np.searchsorted(_LIMITS, np.arange(1 << 16, dtype=np.uint64), side="right").astype(np.uint8) + 1  # bits of ids under 65,536
 MANIFEST = "file string, shard long, roll long, n_docs long, n_ids long, n_bytes long"
 DECODED = "doc_id long, start long, n_tokens long, ids array<long>"
 
@@ -40,7 +42,7 @@ def pack_blocks(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     flat[:n] = ids
     wide[:, :BLOCK] = flat.reshape(rows, BLOCK)
     bits = np.full((rows, BLOCK + 60), 255, np.uint8)
-    need = np.searchsorted(np.uint64(1) << np.arange(1, 61, dtype=np.uint64), flat, side="right").astype(np.uint8) + 1
+    need = _SMALL[flat] if flat.max() < len(_SMALL) else np.searchsorted(_LIMITS, flat, side="right").astype(np.uint8) + 1
     need[n:] = 255
     bits[:, :BLOCK] = need.reshape(rows, BLOCK)
     # the widest of the next c ids, from the widest of the next power of two
@@ -65,10 +67,14 @@ def pack_blocks(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     block, inside = places // BLOCK, places % BLOCK
     selector = choice[block, inside]
     words = selector.astype(np.uint64)
+    row = wide.reshape(-1)
     for s in range(2, 16):
         here = np.flatnonzero(selector == s)
-        for k in range(int(COUNTS[s]) if len(here) else 0):
-            words[here] |= wide[block[here], inside[here] + k] << np.uint64(4 + int(BITS[s]) * k)
+        if len(here):
+            at, own = block[here] * wide.shape[1] + inside[here], words[here]
+            for k in range(int(COUNTS[s])):
+                own |= row[at + k] << np.uint64(4 + int(BITS[s]) * k)
+            words[here] = own
     escaped = np.flatnonzero(selector == 0)
     escapes = wide[block[escaped], inside[escaped]]
     first_word = np.searchsorted(block, np.arange(rows))
@@ -185,7 +191,6 @@ def write_ids(docs: DataFrame, folder: str, *, vocabulary: str, end_id: int = 0,
     """Encodes every whole text, appends ``end_id`` and writes the files; returns the manifest, a row for each file."""
     def write(batches):
         shard, attempt = attempt_name()
-        own = Encoder(vocabulary)
         roll, packer = 0, Packer()
 
         def close():
@@ -194,14 +199,15 @@ def write_ids(docs: DataFrame, folder: str, *, vocabulary: str, end_id: int = 0,
             write_file(folder, name, chunks, attempt)
             return pa.RecordBatch.from_pydict({"file": [name], "shard": [shard], "roll": [roll], "n_docs": [sum(map(len, packer.doc_ids))],
                                                "n_ids": [packer.ids], "n_bytes": [sum(map(len, chunks))]})
-        for batch in batches:
-            for at, texts in slices(batch.column(1), min(4_000_000, ids_per_file)):
-                ids, counts = own.encode(texts)
-                packer.add(batch.column(0).slice(at, len(texts)).to_numpy(zero_copy_only=False).astype(np.int64), counts + 1,
-                           np.insert(ids, np.cumsum(counts), end_id))
-                if packer.ids >= ids_per_file:
-                    yield close()
-                    roll, packer = roll + 1, Packer()
+        with kept_encoder(vocabulary) as own:
+            for batch in batches:
+                for at, texts in slices(batch.column(1), min(4_000_000, ids_per_file)):
+                    ids, counts = own.encode(texts)
+                    packer.add(batch.column(0).slice(at, len(texts)).to_numpy(zero_copy_only=False).astype(np.int64), counts + 1,
+                               np.insert(ids, np.cumsum(counts), end_id))
+                    if packer.ids >= ids_per_file:
+                        yield close()
+                        roll, packer = roll + 1, Packer()
         if packer.ids:
             yield close()
 

@@ -79,7 +79,7 @@ class Encoder:
         self.numbers.new = []
         # a chunk that begins a text is kept with a blank before it, which no other chunk has
         bare = [c[1:] if c[:1] == " " else c for c in new]
-        odd = np.array([not w or _joins(w[0]) or _joins(w[-1]) for w in bare])
+        odd = np.array([not w or not ("!" <= w[0] <= "~" and "!" <= w[-1] <= "~") and (_joins(w[0]) or _joins(w[-1])) for w in bare])
         alone = np.fromiter((c[:1] == " " for c in new), bool, len(new))
         lengths = np.zeros(len(new), np.int64)
         found: dict[int, list[int]] = {int(k): self.tokenizer.encode(new[k][1:], add_special_tokens=False).ids

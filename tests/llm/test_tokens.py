@@ -91,6 +91,29 @@ def test_files_hold_all_documents_in_order(spark, plain):
         at += len(ids)
 
 
+def test_writers_keep_the_words_between_tasks(spark, monkeypatch):
+    """The task that writes token files takes the encoder of the process and puts it back."""
+    taken = []
+
+    class Docs:  # runs the task here, as a worker would
+        sparkSession = spark
+
+        def __getattr__(self, name):
+            return lambda *a, **k: self
+
+        def mapInArrow(self, write, schema):
+            for text in ("some words to remember", "words to remember"):
+                batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([1], pa.int64()), "text": pa.array([text])})
+                assert [b.column("n_docs").to_pylist() for b in write(iter([batch]))] == [[1]]
+                taken.append(dict(tokens._KEPT))
+
+    monkeypatch.setattr(tokens, "_KEPT", {})
+    monkeypatch.setattr(simple8b, "stored", lambda df, name: df)
+    monkeypatch.setattr(simple8b, "attempt_name", lambda: (0, "test"))
+    simple8b.write_ids(Docs(), run_folder(spark, "test"), vocabulary=VOCABULARY)
+    assert taken[0][VOCABULARY] is taken[1][VOCABULARY] and "remember" in taken[0][VOCABULARY].numbers
+
+
 def test_digests_of_repeated_ids_and_of_nothing(spark):
     rows = simple8b.token_digests(frame(spark, [(1, "b"), (1, "a"), (1, "a"), (None, "lost")]), VOCABULARY).collect()
     assert sorted((r.doc_id, r.start, r.n_tokens) for r in rows) == [(1, 0, 2), (1, 2, 2), (1, 4, 2)]
