@@ -40,6 +40,24 @@ def test_matches_are_not_shuffled_and_rows_of_one_id_are_one_post(spark, monkeyp
     assert len(rows) == len(set(rows)) and set(rows) == {(q, k) for q in (1, 2, 4, 5) for k in range(20)} | {(3, 0)}
 
 
+def test_what_many_queries_find_takes_little_room(spark, tmp_path, monkeypatch):
+    """Queries that share an alternative hand on the same posts in runs: a file of them took over a byte for each match."""
+    words = ["the", "of", "ox", "sea", "rye"]
+    texts = [" ".join(w for k, w in enumerate(words) if (i * (k + 3)) % (k + 2) == 0) + f" n{i % 300}" for i in range(400)]
+    asked = [(k, f"the OR n{k % 300}") for k in range(1000)] + [(1000 + k, q) for k, q in enumerate(["sea OR ox OR the AND n7 OR rye", "of AND ox OR sea AND of OR of", None, "nowhere"])] + [(None, "rye or ox or rye")]
+    p, q = spark.createDataFrame(list(enumerate(texts)), "id long, body string").coalesce(1), spark.createDataFrame(asked, "query_id int, query string")
+    want = sorted(((k, i) for k, text in asked for i, body in enumerate(texts) if plain_match(text, [body])), key=str)
+    for rows, cells in ((1 << 18, 1 << 23), (100, 1), (1000, 1 << 12)):
+        monkeypatch.setattr(ak, "OUT_ROWS", rows)
+        monkeypatch.setattr(ak, "CELLS", cells)
+        found = ak.matching(p, q, id_col="id", attributes=["body"])
+        if cells == 1 << 23:
+            found.write.parquet(str(tmp_path / "found"))
+            assert sum(f.stat().st_size for f in (tmp_path / "found").glob("*.parquet")) < len(want) / 3
+            found = spark.read.parquet(str(tmp_path / "found"))
+        assert sorted(((r["query_id"], r["id"]) for r in found.collect()), key=str) == want
+
+
 def test_profiles_decide_or_stay_silent(spark):
     en, fr = "the quick brown fox jumps over the lazy dog and then the other " * 3, "le renard brun saute par dessus le chien paresseux et puis les autres " * 3
     known = pf.learnt(spark.createDataFrame([(en, "en"), (fr, "fr"), (None, "en"), ("x", None)], "t string, l string"), text_col="t", language_col="l").cache()
