@@ -236,6 +236,43 @@ def test_sets_of_pairs_travel_once_for_a_family(spark, monkeypatch, lexicon, blo
     assert {(r.id_a, r.id_b): round(r.both / (r.na + r.nb - r.both), 9) for r in counted.collect()} == want
 
 
+def test_sets_are_not_shuffled_and_rounds_leave_nothing(spark, monkeypatch):
+    """Sets stay in the files they are written to; candidates come in rounds, and what a round made is gone after the last one."""
+    import random
+    from pathlib import Path
+
+    from pulseloom.session import ensure_checkpoint_dir
+    rng = random.Random(9)
+    sets = {k: frozenset(f"f{k // 12}-{w}" for w in range(5 + 30 * (k // 12)) if rng.random() > 0.1) | {f"own-{k}"} for k in range(60)}
+    rows = [(k, sorted(s)) for k, s in sets.items()] + [(100 + k, sorted(sets[k])) for k in range(0, 60, 7)] + [(None, ["lost", "row"]), (200, None), (201, [])]
+    df = spark.createDataFrame(rows, "id bigint, t array<string>").repartition(3, "id")
+    made, copies = gr.distinct_sets(df, id_col="id", tokens_col="t")
+    assert {r["_id"] for r in made.collect()} == set(sets) and len(copies.collect()) == 60 + 9 + 1
+    assert "Exchange hashpartitioning" not in made._jdf.queryExecution().executedPlan().toString()
+    want = {(a, b): round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 9) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8}
+    assert len(want) > 80
+    rounds, alike = [], gr._alike
+    monkeypatch.setattr(gr, "ROUND_LEAST", 400, raising=False)
+    monkeypatch.setattr(gr, "_alike", lambda *a: rounds.append(1) or alike(*a), raising=False)
+    folder = Path(ensure_checkpoint_dir(spark).removeprefix("file:"))
+    before = set(folder.glob("table-*"))
+    pairs, _ = gr.similar_sets(df, 0.8, id_col="id", tokens_col="t")
+    assert {(r.id_a, r.id_b): round(r.jaccard, 9) for r in pairs.collect()} == want
+    assert 2 < len(rounds) < 40 and len(set(folder.glob("table-*")) - before) <= 5
+
+
+def test_long_sets_are_told_apart_by_their_sketches(spark):
+    """Two long sets with little in common never meet as whole sets; the sketch grows with the set, and folds to a smaller one."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(-2**62, 2**62, 9000)
+    rows = [(k, sorted({*base[:3000].tolist(), *base[3000 + 1500 * k:3000 + 1500 * (k + 1)].tolist()})) for k in range(4)]
+    rows += [(4, sorted(base[:4400].tolist())), (5, sorted(base[:30].tolist())), (6, sorted(base[:40].tolist())), (4, sorted(base[:4400].tolist()))]
+    sets = spark.createDataFrame(rows, "_id bigint, _set array<long>")
+    every = [(a, b) for a in range(5) for b in range(a + 1, 5)] + [(5, 6)]  # of like sizes, as those that are nominated
+    found = gr._alike(spark.createDataFrame(every + every[:3], "id_a bigint, id_b bigint"), gr._sketches(sets), 0.74, 3)
+    assert sorted(tuple(r) for r in found.collect()) == [(0, 4, 2), (5, 6, 1)]
+
+
 @pytest.mark.parametrize("hot", [100_000, 3])
 def test_components_of_stars_paths_and_hubs(spark, monkeypatch, hot):
     monkeypatch.setattr(co, "HOT_ROWS", hot)
