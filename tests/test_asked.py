@@ -111,3 +111,38 @@ def test_copies_for_buckets_are_few_and_made_in_parts(spark, monkeypatch):
     found = {(r.id_a, r.id_b) for r in si.candidate_pairs(df, 0.5, block_rows=16, **how).collect()}
     unit = v.astype(float) / np.linalg.norm(v.astype(float), axis=1)[:, None]
     assert exact == {(a, b) for a, b in zip(*np.nonzero(np.triu(unit @ unit.T > 0.5, 1)))} and found <= exact and len(found) >= 0.9 * len(exact)
+
+
+def test_pairs_meet_once_and_copies_of_a_round_are_few(spark, monkeypatch):
+    """Tables come in rounds, each of a few copies of a vector, and a pair is handed on by the first bucket where it meets, not by each."""
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(40, 12))
+    v = np.vstack([c + rng.normal(scale=0.4, size=(6, 12)) for c in centres] + [np.repeat(centres[:1], 20, axis=0), np.zeros((2, 12))]).astype(np.float32)
+    df = spark.createDataFrame([("s", k, x.tolist()) for k, x in enumerate(v)] + [("t", 900, v[0].tolist()), ("t", 901, v[0].tolist()), ("s", None, v[0].tolist())], "s string, id long, v array<float>")
+    how = dict(keys=["s"], id_col="id", vec_col="v")
+    exact = {(r.id_a, r.id_b) for r in si.similar_pairs(df, 0.7, **how).collect()}
+    handed, stored = [], si.stored
+    monkeypatch.setattr(si, "stored", lambda d: handed.append(stored(d)) or handed[-1])
+    monkeypatch.setattr(si, "MEETINGS", 100)
+    monkeypatch.setattr(si, "_tables_for", lambda *a: (5, 17))
+    found = [(r.id_a, r.id_b) for r in si.candidate_pairs(df, 0.7, block_rows=16, **how).collect()]
+    assert len(found) == len(set(found)) and set(found) <= exact and len(found) >= 0.9 * len(exact)
+    rounds = [[(r.s, r.id_a, r.id_b) for r in d.collect() if r.id_a is not None and r.id_b is not None] for d in handed]
+    assert len(rounds) >= 17 * (1 + si.PROBES) / si.ROUND_COPIES
+    assert sum(map(len, rounds)) == len({p for r in rounds for p in r})
+
+
+@pytest.mark.parametrize("cells", [1 << 21, 100])
+def test_copies_for_blocks_are_few(spark, monkeypatch, cells):
+    # a vector of a group of 50 blocks travelled 50 times
+    monkeypatch.setattr(si, "BUNDLE_CELLS", cells)
+    v = np.random.default_rng(13).normal(size=(200, 6))
+    df = spark.createDataFrame([(1, k, x.tolist()) for k, x in enumerate(v)] + [(2, 0, v[0].tolist()), (None, 1, v[0].tolist())], "g int, id long, v array<double>")
+    rows = df.selectExpr("g", "id as _id", "v as _vec", "6 as _dim", "case when g = 1 then 200L end as _rows")
+    assert si._block_tasks(rows, ["g"], 4, 8).count() == 200 * (8 if cells > 100 else 12) + 2
+    how = dict(keys=["g"], id_col="id", vec_col="v")
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    got = [(r.id_a, r.id_b) for r in si.similar_pairs(df, 0.5, block_rows=4, **how).collect()]
+    assert len(got) == len(set(got)) and set(got) == set(zip(*(x.tolist() for x in np.nonzero(np.triu(unit @ unit.T > 0.5, 1)))))
+    best = {r.id: r.best for r in si.best_partner(df.filter("g = 1"), block_rows=4, **how).collect()}
+    assert np.allclose([best[k] for k in range(200)], (unit @ unit.T - 2 * np.eye(200)).max(axis=1))
