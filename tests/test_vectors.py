@@ -261,6 +261,14 @@ def test_sets_are_not_shuffled_and_rounds_leave_nothing(spark, monkeypatch):
     assert 2 < len(rounds) < 40 and len(set(folder.glob("table-*")) - before) <= 5
 
 
+def test_copies_of_equal_sets_read_no_sets(spark):
+    """Who is equal to whom is told by the keys that are written beside the sets."""
+    df = spark.createDataFrame([(3, ["a", "b"]), (1, ["b", "a", "a"]), (2, ["c"]), (None, ["c"]), (4, [])], "id bigint, t array<string>")
+    copies = gr.similar_sets(df, 0.7, id_col="id", tokens_col="t")[1]
+    assert "_set" not in copies._jdf.queryExecution().executedPlan().toString()
+    assert sorted((tuple(r) for r in copies.collect()), key=str) == [(1, 1), (2, 2), (3, 1), (None, 2)]
+
+
 def test_long_sets_are_told_apart_by_their_sketches(spark):
     """Two long sets with little in common never meet as whole sets; the sketch grows with the set, and folds to a smaller one."""
     rng = np.random.default_rng(4)
